@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvella.llm.common import table
 from corvella.llm.exact_dedup import exact_dedup
+from corvella.llm.line_dedup import line_dedup
+from corvella.llm.sharding import shuffle_into_shards
+from corvella.llm.url_filter import url_filter
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +18,28 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of `documents` in three-line windows that occur earlier, removed."""
+    return line_dedup(table(spark, sf_dir, "documents")).drop("text")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents` dealt to shards 0 to 23 as a uniform shuffle with exact shard sizes."""
+    return shuffle_into_shards(table(spark, sf_dir, "documents"), n_shards=24)
+
+
+#: The rules of the url query: (host, path).
+BLOCK = [("net", "/"), ("example.com", "/de/")]
+ALLOW = [("example.net", "/en/"), ("org", "/fr/")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every url of `pages`."""
+    return url_filter(table(spark, sf_dir, "pages"), BLOCK, ALLOW)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_exact_dedup,)}
+    return {f.__name__: f for f in (op4_exact_dedup, op6_line_dedup, op9_sharding, op10_url_filter)}
 
 
 OP4_SQL = """
@@ -26,5 +49,31 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+OP6_SQL = """
+WITH l AS (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS lines FROM documents),
+p AS (SELECT doc_id, lines, unnest(range(len(lines))) AS i FROM l),
+w AS (SELECT doc_id, i, lines[i + 1:i + 3] AS win FROM p WHERE i + 3 <= len(lines)),
+f AS (SELECT win, min((doc_id, i)) AS first FROM w GROUP BY win HAVING count(*) > 1),
+late AS (SELECT w.doc_id, w.i FROM w JOIN f USING (win) WHERE (w.doc_id, w.i) > f.first),
+gone AS (SELECT DISTINCT doc_id, i + unnest([0, 1, 2]) AS i FROM late),
+m AS (SELECT p.doc_id, p.i, p.lines[p.i + 1] AS line, g.i IS NOT NULL AS out FROM p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i),
+s AS (SELECT *, out AND NOT coalesce(lag(out) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM m),
+a AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (out) AS n_removed, count(*) FILTER (starts) AS n_spans,
+      coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT out), '') AS kept FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id
+"""
+
+OP10_SQL = """
+WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+rules AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) AS t(rhost, rpath, rverdict)),
+m AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath) * 1000 + length(rhost)) AS rule, arg_max(rverdict, length(rhost || rpath) * 1000 + length(rhost)) AS v
+      FROM u, rules WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+SELECT u.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN m ON m.page_id = u.page_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op10_url_filter": OP10_SQL}

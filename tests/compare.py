@@ -28,7 +28,7 @@ def main(sf, names):
 
     import __spark_entry__ as entry
 
-    spark = SparkSession.builder.master("local[8]").config("spark.driver.memory", "8g").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.master("local[8]").config("spark.driver.memory", "8g").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     base = f"/root/testdata/{sf}"
     con = duckdb.connect()
@@ -40,7 +40,7 @@ def main(sf, names):
         t = time.time()
         try:
             df = queries[name](spark, base)
-            got = rows_of(df.columns, [tuple(r.asDict(recursive=True).values()) if False else tuple(r) for r in df.collect()])
+            got = rows_of(df.columns, [tuple(r) for r in df.collect()])
             took, t = time.time() - t, time.time()
             if name not in sql:
                 print(f"{name}: rows {len(got)} in {took:.1f} s, no SQL", flush=True)
