@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from corvella.llm.bpe import bpe_encode_decode
 from corvella.llm.common import table
 from corvella.llm.exact_dedup import exact_dedup
 from corvella.llm.line_dedup import line_dedup
@@ -23,6 +25,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).drop("text")
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of `documents` as ids of a byte-level vocabulary, and decoded again."""
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe_encode_decode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, with_ids=False)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All `documents` dealt to shards 0 to 23 as a uniform shuffle with exact shard sizes."""
     return shuffle_into_shards(table(spark, sf_dir, "documents"), n_shards=24)
@@ -39,7 +47,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_exact_dedup, op6_line_dedup, op9_sharding, op10_url_filter)}
+    return {f.__name__: f for f in (op4_exact_dedup, op6_line_dedup, op8_bpe, op9_sharding, op10_url_filter)}
 
 
 OP4_SQL = """

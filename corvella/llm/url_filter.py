@@ -35,8 +35,7 @@ class Level:
 
     @staticmethod
     def positions(key: Column, seed: int, hashes: int, size: int) -> list[Column]:
-        first, step = F.xxhash64(F.lit(seed), key), F.xxhash64(F.lit(seed), F.lit("step"), key)
-        return [F.pmod(first + step * F.lit(j), F.lit(size)) for j in range(hashes)]
+        return [F.pmod(F.xxhash64(F.lit(seed), F.lit(j), key), F.lit(size)) for j in range(hashes)]
 
     def has(self, key: Column) -> Column:
         def bit(p: Column) -> Column:
@@ -53,7 +52,7 @@ def _level(members: DataFrame, n: int, rate: float, seed: int) -> Level | None:
     if size // 8 > MAX_LEVEL_BYTES:
         return None
     bit = F.explode(F.array(*Level.positions(F.col("key"), seed, hashes, size))).alias("bit")
-    words = members.select(bit).groupBy(F.floor(F.col("bit") / 8).alias("byte")).agg(F.bit_or(F.shiftleft(F.lit(1), (F.col("bit") % 8).cast("int"))).alias("v"))
+    words = members.select(bit).groupBy(F.floor(F.col("bit") / 8).alias("byte")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("bit") % 8).cast("int"))).alias("v"))
     filled = bytearray(size // 8)
     for row in words.toLocalIterator():  # at most MAX_LEVEL_BYTES rows, whatever the corpus
         filled[row["byte"]] = row["v"]
