@@ -9,12 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvella.llm.bpe import bpe_encode_decode
 from corvella.llm.common import table
+from corvella.llm.decontaminate import contamination_report, decontaminate
 from corvella.llm.exact_dedup import exact_dedup
 from corvella.llm.line_dedup import line_dedup
 from corvella.llm.sharding import shuffle_into_shards
 from corvella.llm.url_filter import url_filter
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of `documents` lie in passages of `benchmark`."""
+    return contamination_report(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which rows of `documents` stay when of equal texts the one with the largest doc_id does."""
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
@@ -47,8 +53,23 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_exact_dedup, op6_line_dedup, op8_bpe, op9_sharding, op10_url_filter)}
-
+    return {f.__name__: f for f in (op1_decontamination, op4_exact_dedup, op6_line_dedup, op8_bpe, op9_sharding, op10_url_filter)}
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bi AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, w[i:i + 12] AS win FROM bi),
+ls AS (SELECT DISTINCT len(win) AS l FROM bw),
+di AS (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, ls WHERE len(w) >= l),
+h AS (SELECT di.doc_id, di.i, di.l, bw.item_id FROM di JOIN bw ON bw.win = di.w[di.i:di.i + di.l - 1]),
+hw AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + l)) AS p FROM h) GROUP BY doc_id),
+hi AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hw ON hw.doc_id = d.doc_id LEFT JOIN hi ON hi.doc_id = d.doc_id
+"""
 
 OP4_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
@@ -84,4 +105,4 @@ SELECT u.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op10_url_filter": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op10_url_filter": OP10_SQL}
