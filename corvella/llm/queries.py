@@ -13,6 +13,7 @@ from corvella.llm.decontaminate import contamination_report, decontaminate
 from corvella.llm.exact_dedup import exact_dedup
 from corvella.llm.line_dedup import line_dedup
 from corvella.llm.sharding import shuffle_into_shards
+from corvella.llm.substring_dedup import substring_dedup
 from corvella.llm.url_filter import url_filter
 
 
@@ -31,6 +32,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).drop("text")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of `documents` in passages of 20 words that occur earlier, removed."""
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("text")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of `documents` as ids of a byte-level vocabulary, and decoded again."""
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -53,7 +59,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op4_exact_dedup, op6_line_dedup, op8_bpe, op9_sharding, op10_url_filter)}
+    return {f.__name__: f for f in (op1_decontamination, op4_exact_dedup, op6_line_dedup, op7_substring_dedup, op8_bpe, op9_sharding, op10_url_filter)}
 
 
 OP1_SQL = r"""
@@ -93,6 +99,19 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_re
 FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id
 """
 
+OP7_SQL = r"""
+WITH l AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM l),
+w AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS win FROM p WHERE i + 19 <= len(ws)),
+f AS (SELECT win, min((doc_id, i)) AS first FROM w GROUP BY win HAVING count(*) > 1),
+late AS (SELECT w.doc_id, w.i FROM w JOIN f USING (win) WHERE (w.doc_id, w.i) > f.first),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(20)) AS i FROM late),
+a AS (SELECT p.doc_id, count(*) AS n_words, count(g.i) AS n_removed, string_agg(p.ws[p.i], ' ' ORDER BY p.i) FILTER (g.i IS NULL) AS kept
+      FROM p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i GROUP BY p.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id
+"""
+
 OP10_SQL = """
 WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 u AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -105,4 +124,4 @@ SELECT u.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op10_url_filter": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op10_url_filter": OP10_SQL}
