@@ -14,6 +14,7 @@ from corvella.llm.exact_dedup import exact_dedup
 from corvella.llm.line_dedup import line_dedup
 from corvella.llm.sharding import shuffle_into_shards
 from corvella.llm.substring_dedup import substring_dedup
+from corvella.llm.suffix_dedup import suffix_dedup
 from corvella.llm.url_filter import url_filter
 
 
@@ -27,6 +28,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of `documents` in strings of 100 bytes that occur earlier, removed."""
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of `documents` in three-line windows that occur earlier, removed."""
     return line_dedup(table(spark, sf_dir, "documents")).drop("text")
@@ -59,7 +65,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op4_exact_dedup, op6_line_dedup, op7_substring_dedup, op8_bpe, op9_sharding, op10_url_filter)}
+    return {f.__name__: f for f in (op1_decontamination, op4_exact_dedup, op5_suffix_dedup, op6_line_dedup, op7_substring_dedup, op8_bpe, op9_sharding, op10_url_filter)}
 
 
 OP1_SQL = r"""
