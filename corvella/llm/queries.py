@@ -15,6 +15,7 @@ from corvella.llm.line_dedup import line_dedup
 from corvella.llm.sharding import shuffle_into_shards
 from corvella.llm.substring_dedup import substring_dedup
 from corvella.llm.suffix_dedup import suffix_dedup
+from corvella.llm.toxicity import toxicity
 from corvella.llm.url_filter import url_filter
 
 
@@ -23,6 +24,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely each text of `documents` is toxic, as `labels` marks it."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("words")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which rows of `documents` stay when of equal texts the one with the largest doc_id does."""
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
@@ -65,7 +71,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op4_exact_dedup, op5_suffix_dedup, op6_line_dedup, op7_substring_dedup, op8_bpe, op9_sharding, op10_url_filter)}
+    return {f.__name__: f for f in (op1_decontamination, op3_toxicity, op4_exact_dedup, op5_suffix_dedup, op6_line_dedup, op7_substring_dedup, op8_bpe, op9_sharding, op10_url_filter)}
 
 
 OP1_SQL = r"""
