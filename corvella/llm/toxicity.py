@@ -23,6 +23,8 @@ LEET = {
     "ò": "o", "ó": "o", "ô": "o", "ö": "o", "ù": "u", "ú": "u", "û": "u", "ü": "u", "ç": "c", "ñ": "n",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i",
 }
+#: Letters that look like a plain one; a word of letters alone is read in both ways without decoding.
+_PLAIN = {ord(c): x for c, x in LEET.items() if c.isalpha() and not c.isascii()}
 #: Costs, as negative log probabilities, of what the channel does to a character.
 SUBSTITUTED, DELETED, DOUBLED, REPEATED = 2.0, 2.5, 6.0, 0.5
 #: A longer token is no obfuscated word (keys, addresses, encoded data); it is taken as it stands.
@@ -132,7 +134,9 @@ class Restorer:
             if len(self.known) > self.memory:
                 self.known.clear()
             bare = token.strip(_ENDS).rstrip("!")
-            if bare.isalpha() and bare.isascii() and not _TRIPLE.search(bare) or not any(c.isalpha() or c in LEET for c in bare) or len(bare) > LONGEST_TOKEN:
+            if bare.isalpha() and not _TRIPLE.search(bare):
+                got = (bare,) if bare.isascii() else tuple(dict.fromkeys((bare, bare.translate(_PLAIN))))
+            elif not any(c.isalpha() or c in LEET for c in bare) or len(bare) > LONGEST_TOKEN:
                 got = (bare,)
             else:
                 got = tuple(dict.fromkeys((bare, *self.decode(bare).split())))
@@ -143,8 +147,9 @@ class Restorer:
         """All words of a text after restoration, spaced-out words included."""
         text = text.lower()
         out: set[str] = set()
+        known = self.known.get
         for token in set(text.split()):
-            out.update(self.words(token))
+            out.update(known(token) or self.words(token))
         for m in _SPACED.finditer(text):
             if len(m[0]) <= 2 * LONGEST_TOKEN:
                 out.update(self.words(re.sub(r"[.\-_*]", " ", m[0])))
