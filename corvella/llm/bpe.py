@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -248,10 +249,12 @@ def bpe_encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: st
                 digests.append(hashlib.sha256(ids).hexdigest())
                 decoded.append(back.hexdigest())
                 if with_ids:
-                    packed.append(memoryview(ids).cast("I").tolist())
+                    packed.append(ids)
             out = {"row": batch["row"], "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
             if with_ids:
-                out["ids"] = pa.array(packed, pa.list_(pa.int32()))
+                flat = pa.py_buffer(b"".join(packed))
+                ends = pa.array([0, *itertools.accumulate(counts)], pa.int32())
+                out["ids"] = pa.ListArray.from_arrays(ends, pa.Array.from_buffers(pa.int32(), len(flat) // 4, [None, flat]))
             yield pa.RecordBatch.from_pydict(out)
 
     schema = "row long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

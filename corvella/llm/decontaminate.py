@@ -118,10 +118,11 @@ def _matches(words: Words, windows: Windows, sieve: np.ndarray) -> tuple[np.ndar
     return start[exact], window[exact]
 
 
-_STATE = "row long, text string, hits binary, items array<string>"
+def _texts(batch: pa.RecordBatch, text_col: str | None) -> pa.Array:
+    return batch["doc"].field(text_col) if text_col else batch["text"]
 
 
-def _join(shared):
+def _join(shared, text_col: str | None):
     """Add one block's hits (a bit for each word) and items to the rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +130,7 @@ def _join(shared):
         sieve = windows.sieve()
         for batch in batches:
             hits, items = batch["hits"].to_pylist(), [set(x or ()) for x in batch["items"].to_pylist()]
-            for first, texts in slices(batch["text"]):
+            for first, texts in slices(_texts(batch, text_col)):
                 words = Words(texts, WORD, lower=True)
                 start, window = _matches(words, windows, sieve)
                 cover = np.zeros(len(words.start) + 1, np.int64)
@@ -144,13 +145,15 @@ def _join(shared):
                     if before is not None:
                         own = own | np.unpackbits(np.frombuffer(before[8:], np.uint8), count=b - a).astype(bool)
                     hits[first + i] = int(b - a).to_bytes(8, "little") + np.packbits(own).tobytes()
-            yield pa.RecordBatch.from_arrays([batch["row"], batch["text"], pa.array(hits, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=["row", "text", "hits", "items"])
+            marks = {"hits": pa.array(hits, pa.binary()), "items": pa.array([sorted(x) for x in items], pa.list_(pa.string()))}
+            yield pa.RecordBatch.from_pydict({n: marks.get(n, batch[n]) for n in batch.schema.names})
 
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13) -> DataFrame:
-    """One row per row of `docs`: id_col, text, n_words, n_hit, items (sorted ids of items found), hits (8 bytes: n_words; then a bit for each word).
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13, carry: bool = False) -> DataFrame:
+    """One row per row of `docs`: id_col, n_words, n_hit, items (sorted ids of items found), hits (8 bytes: n_words; then a bit for each word).
+    Other columns are neither read nor returned; with carry=True the whole row comes along instead, as the struct `doc`.
 
     Words are runs of lower-cased letters, digits and non-ASCII characters. A window is `width` consecutive words of an
     item, or all words of a shorter one; a document's word is hit if it lies in any occurrence of any window.
@@ -170,15 +173,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    state = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).alias("text"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+    doc = [F.struct(*docs.columns).alias("doc")] if carry else [F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")]
+    state = docs.select(*doc, F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
     for block in range(n_blocks):
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == block).collect()  # BLOCK_BYTES or thereabouts
         windows = Windows([(r["item"], r["text"]) for r in part], width)
         shared = spark.sparkContext.broadcast(windows)
         counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_count(shared), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
         windows.order({r["shingle"]: r["n"] for r in counted.collect()})  # no more rows than the block has shingles
-        state = state.mapInArrow(_join(spark.sparkContext.broadcast(windows)), _STATE)
-    return state.mapInArrow(_totals, "row long, text string, n_words long, n_hit long, items array<string>, hits binary").withColumnRenamed("row", id_col)
+        state = state.mapInArrow(_join(spark.sparkContext.broadcast(windows), text_col if carry else None), state.schema)
+    zero = F.lit(0).cast("long")
+    totals = state.select("doc", zero.alias("n_words"), zero.alias("n_hit"), "items", "hits")
+    out = state.select("doc", "items", "hits").mapInArrow(_totals, totals.schema)
+    return out if carry else out.withColumnRenamed("doc", id_col)
 
 
 def _totals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,13 +193,13 @@ def _totals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = batch["hits"].to_pylist()
         n_words = [int.from_bytes(h[:8], "little") for h in hits]
         n_hit = [int.from_bytes(h[8:], "little").bit_count() for h in hits]
-        yield pa.RecordBatch.from_arrays([batch["row"], batch["text"], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), batch["items"], batch["hits"]], names=["row", "text", "n_words", "n_hit", "items", "hits"])
+        yield pa.RecordBatch.from_pydict({"doc": batch["doc"], "n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "items": batch["items"], "hits": batch["hits"]})
 
 
 def contamination_report(found: DataFrame, id_col: str = "doc_id", share: int = 20) -> DataFrame:
     """The digest columns: id_col, n_words, n_hit, n_items, items_sha256, contaminated (one word in `share` is hit, or more)."""
     return found.select(
-        id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        *([id_col] if id_col in found.columns else ["doc"]), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"),
     )
 

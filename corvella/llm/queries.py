@@ -11,6 +11,7 @@ from corvella.llm.bpe import bpe_encode_decode
 from corvella.llm.common import table
 from corvella.llm.decontaminate import contamination_report, decontaminate
 from corvella.llm.exact_dedup import exact_dedup
+from corvella.llm.jaccard_join import jaccard_classes
 from corvella.llm.line_dedup import line_dedup
 from corvella.llm.sharding import shuffle_into_shards
 from corvella.llm.substring_dedup import substring_dedup
@@ -24,6 +25,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near-duplicates among `documents`, and how many documents each is linked to."""
+    return jaccard_classes(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How likely each text of `documents` is toxic, as `labels` marks it."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("words")
@@ -71,7 +77,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_toxicity, op4_exact_dedup, op5_suffix_dedup, op6_line_dedup, op7_substring_dedup, op8_bpe, op9_sharding, op10_url_filter)}
+    return {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op3_toxicity, op4_exact_dedup, op5_suffix_dedup, op6_line_dedup, op7_substring_dedup, op8_bpe, op9_sharding, op10_url_filter)}
 
 
 OP1_SQL = r"""

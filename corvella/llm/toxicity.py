@@ -247,8 +247,9 @@ def train(docs: DataFrame, labels: DataFrame, costs, id_col: str, text_col: str,
     return lexicon, _fit([(r["label"], list(r["found"]), r["count"]) for r in rows], len(lexicon))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """One row per row of `docs`: id_col, held_out, score, predicted, words (of the lexicon found, in its restored form). Other columns are neither read nor returned.
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, carry: bool = False) -> DataFrame:
+    """One row per row of `docs`: id_col, held_out, score, predicted, words (of the lexicon found, in its restored form). Other columns are neither read nor returned;
+    with carry=True the whole row comes along instead, as the struct `doc`, and nothing has to be joined to filter documents.
 
     1. A character model is counted over all texts.
     2. Tokens that look obfuscated - letters mixed with other characters, characters three times or more in a row, words
@@ -268,11 +269,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = _restorer(costs)
         for batch in batches:
-            found = [sorted(w for w in restorer.restored(t or "") if w in weight) for t in batch["text"].to_pylist()]
+            texts = batch["doc"].field(text_col) if carry else batch["text"]
+            found = [sorted(w for w in restorer.restored(t or "") if w in weight) for t in texts.to_pylist()]
             scores = [1 / (1 + np.exp(-(bias + sum(weight[w] for w in ws)))) for ws in found]
-            yield pa.RecordBatch.from_pydict({"row": batch["row"], "held_out": batch["held_out"], "score": pa.array(scores, pa.float64()), "words": pa.array(found, pa.list_(pa.string()))})
-
-    held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    rows = docs.select(F.col(id_col).cast("long").alias("row"), held.alias("held_out"), F.col(text_col).alias("text"))
-    scored = rows.mapInArrow(run, "row long, held_out boolean, score double, words array<string>")
-    return scored.select(F.col("row").alias(id_col), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "words")
+            yield pa.RecordBatch.from_pydict({"doc": batch["doc"], "held_out": batch["held_out"], "score": pa.array(scores, pa.float64()), "words": pa.array(found, pa.list_(pa.string()))})
+
+    held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out")
+    doc = F.struct(*docs.columns) if carry else F.col(id_col).cast("long")
+    rows = docs.select(doc.alias("doc"), held, *([] if carry else [F.col(text_col).alias("text")]))
+    schema = rows.select("doc", "held_out", F.lit(0.0).alias("score"), F.lit(None).cast("array<string>").alias("words")).schema
+    scored = rows.mapInArrow(run, schema)
+    own = F.col("doc") if carry else F.col("doc").alias(id_col)
+    return scored.select(own, "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "words")
