@@ -1 +1,6 @@
-"""See the modules of this package."""
+"""All queries of the library, by name."""
+
+from corvella.plans import rules, text  # noqa: F401
+from corvella.plans.registry import QUERIES, SQL, query
+
+__all__ = ["QUERIES", "SQL", "query"]
