@@ -61,7 +61,7 @@ def tagged_sections(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.\w+$", 1).alias("pmcid"), "value")
     parts = F.regexp_extract_all("value", F.lit(r"(?m)^(\[[A-Z0-9 _-]+\]\n(?:(?!\[[A-Z0-9 _-]+\]\n).*\n?)*)"), 1)
     block = whole.select("pmcid", F.posexplode(parts).alias("pos", "block"))
-    return block.select("pmcid", "pos", F.regexp_extract("block", r"^\[([^\]]+)\]", 1).alias("section"), F.trim(F.regexp_replace("block", r"^\[[^\]]+\]\n", "")).alias("text"))
+    return block.select("pmcid", "pos", F.regexp_extract("block", r"^\[([^\]]+)\]", 1).alias("section"), F.regexp_replace("block", r"^\[[^\]]+\]\n|\s+$", "").alias("text"))
 
 
 def self_uri(spark: SparkSession, path: str) -> DataFrame:
