@@ -175,3 +175,24 @@ def jaccard(a: Column, b: Column, both_empty: float) -> Column:
     """Jaccard similarity of two arrays as sets; what two empty ones give differs from use to use."""
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, both_empty).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
+#: How paragraphs begin that say nothing about a study (fixed values).
+BOILERPLATE = ["copyright", "open access", "conflict of interest", "author contributions", "funding", "acknowledg", "received:", "correspondence"]
+
+
+def is_relevant(text: str | Column) -> Column:
+    """Whether a paragraph is worth reading: no boilerplate, byline, reference or link to one, and four words or more."""
+    t = F.trim(_c(text))
+    low = F.lower(t)
+    boiler = reduce(lambda a, b: a | b, (F.startswith(low, F.lit(b)) for b in BOILERPLATE))
+    byline = t.rlike(r"^(?:[A-Z][a-z]+ [A-Z]\.? [A-Z][a-z]+,? ?){2,}")
+    link = low.rlike(r"crossref|doi\.org/10\.") | t.rlike(r"\d{4};\d+")
+    return ~(boiler | byline | link | is_reference_entry(t)) & (F.size(F.split(t, r"\s+")) >= 4)
+
+
+def numeric_contradiction(a: str | Column, b: str | Column, ratio: float = 2.0) -> Column:
+    """Whether two texts have just one number each and these differ by the ratio or more."""
+    x, y = numbers(a), numbers(b)
+    p, q = F.try_element_at(x, F.lit(1)).cast("double"), F.try_element_at(y, F.lit(1)).cast("double")
+    return F.when((F.size(x) == 1) & (F.size(y) == 1), F.greatest(p, q) >= ratio * F.least(p, q)).otherwise(False)

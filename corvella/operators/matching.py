@@ -66,3 +66,26 @@ def match(pairs: DataFrame, method: str = "optimal", threshold: float = 0.55) ->
         return pd.DataFrame({"case_id": [case["case_id"].iloc[0]] * len(found), "a": [table.index[i] for i, _ in found], "b": [table.columns[j] for _, j in found], "similarity": [s[i, j] for i, j in found]})
 
     return pairs.groupBy("case_id").applyInPandas(one, "case_id long, a long, b long, similarity double")
+
+
+def alignment_f1(pairs: DataFrame, method: str = "optimal", threshold: float = 0.0) -> DataFrame:
+    """(case_id, f1): matched similarity over the mean number of both sides; 1 if both are empty can't occur among pairs."""
+    from pyspark.sql import functions as F
+
+    sizes = pairs.groupBy("case_id").agg(F.count_distinct("a").alias("na"), F.count_distinct("b").alias("nb"))
+    got = match(pairs, method, threshold).groupBy("case_id").agg(F.sum("similarity").alias("s"))
+    return sizes.join(got, "case_id", "left").select("case_id", F.round(2 * F.coalesce("s", F.lit(0.0)) / (F.col("na") + F.col("nb")), 5).alias("f1"))
+
+
+def verbatim_ratio(rows: DataFrame, quote: str, source: str) -> DataFrame:
+    """How much of a quote its source has: 1 if it holds it whole, else the ratio of longest matching blocks."""
+    from difflib import SequenceMatcher
+
+    from pyspark.sql import functions as F
+
+    @F.pandas_udf("double")
+    def ratio(q: pd.Series, s: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in zip(q, s, strict=True)])
+
+    q, s = F.lower(F.trim(F.col(quote))), F.lower(F.trim(F.col(source)))
+    return rows.withColumn("ratio", F.when(F.contains(s, q), 1.0).otherwise(F.round(ratio(q, s), 6))).withColumn("code", F.when(F.col("ratio") < 0.25, "FABRICATED").when(F.col("ratio") < 0.6, "WEAK").otherwise("ok"))
