@@ -102,6 +102,22 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+OP5_SQL = """
+WITH l AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, list_transform(range(0, greatest(len(h) // 2 - 99, 0)), lambda i: hash(encode(h)[2 * i + 1:2 * i + 200])) AS ws FROM l),
+w AS (SELECT doc_id, unnest(range(0, len(ws))) AS i, unnest(ws) AS win FROM p),
+f AS (SELECT win, min((doc_id, i)) AS first FROM w GROUP BY win HAVING count(*) > 1),
+late AS (SELECT w.doc_id, w.i FROM w JOIN f USING (win) WHERE (w.doc_id, w.i) > f.first),
+g AS (SELECT doc_id, i, sum(CASE WHEN i <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS span
+      FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM late)),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, span),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS kept_from FROM s),
+r AS (SELECT k.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * kept_from + 1, 2 * (a - kept_from)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+      FROM k JOIN l ON l.doc_id = k.doc_id GROUP BY k.doc_id)
+SELECT l.doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM l LEFT JOIN r ON r.doc_id = l.doc_id
+"""
+
 OP6_SQL = """
 WITH l AS (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS lines FROM documents),
 p AS (SELECT doc_id, lines, unnest(range(len(lines))) AS i FROM l),
@@ -142,4 +158,4 @@ SELECT u.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op10_url_filter": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op5_suffix_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op10_url_filter": OP10_SQL}
