@@ -55,7 +55,7 @@ def digest_groups(rows: DataFrame, smallest: bool, fan_in: int) -> DataFrame:
     rounds = max(1, math.ceil(math.log(partitions, fan_in) - 1e-9))
     slots = fan_in**rounds
     at = F.conv(F.substring(F.hex("digest"), 1, 12), 16, 10).cast("long") % slots  # the digest's last place
-    runs = rows.select(F.spark_partition_id().alias("slot"), "digest", "n_bytes", "witness", F.col("id").alias("best"), F.lit(1).cast("long").alias("n"))
+    runs = rows.select((F.spark_partition_id() % slots).alias("slot"), "digest", "n_bytes", "witness", F.col("id").alias("best"), F.lit(1).cast("long").alias("n"))
     runs = runs.sortWithinPartitions(*keys).mapInArrow(_collapse(smallest), _RUN)
     for r in range(rounds):
         unit = fan_in**r
