@@ -13,30 +13,57 @@ def _c(x: str | Column) -> Column:
 
 
 #: Ligatures and what they stand for (fixed values).
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ft", "ﬆ": "st"}
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+#: The same by their glyph names (fixed values).
+LIGATURE_NAMES = {"FB00": "ff", "FB01": "fi", "FB02": "fl", "FB03": "ffi", "FB04": "ffl", "FB05": "st", "FB06": "st"}
+#: Letters that extraction tears off their words (fixed values).
+ACCENTED = "àáâãäåèéêëìíîïòóôõöùúûüýÿñçÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝŸÑÇ"
+#: What is cut out of prose, in order, and what takes its place (fixed values).
+CITATIONS = [
+    (r"https?://\S+", ""),
+    (r"\[\d+(?:[,–\-]\d+)*\]", ""),
+    (r"(?<!\n)\.\s+\d{1,3}(?:[,–\-]\d{1,3})*(?=\s|$)", ". "),
+    (r",\s+\d{1,3}(?:[,–\-]\d{1,3})*(?=\s|$)", ", "),
+    (r"(?<=\s)\d{1,3}(?:[,–\-]\d{1,3})+(?=\s|$)", ""),
+    (r"\s+([.,;])", "$1"),
+    (r"  +", " "),
+]
 #: Words that tell a direction, tried in order: first those against, then those for (fixed values).
-AGAINST = ["no association", "not associated", "absence of", "negative for", "decreased", "reduced", "lower", "loss of", "without"]
-FOR = ["associated with", "positive for", "increased", "higher", "presence of", "expression of", "overexpress"]
+AGAINST = [
+    "not immunoreactive", "not reactive", "non-reactive", "not identified", "not detected", "not expressed", "no recurrence", "no metastasis", "no pleomorphism", "no cytologic atypia", "no atypia", "no mitoses",
+    "not seen", "not observed", "non-", "absent", "negative", "lacking", "without", "no ", "not ",
+]
+FOR = ["present", "positive", "expressed", "immunoreactive", "reactive", "identified", "detected", "seen", "observed", "exhibits", "shows", "found"]
+#: Words with a polarity, and words that turn round one among the three tokens after them (fixed values).
+UPWARD = ["positive", "present", "increased", "detected", "high", "expressed", "elevated", "overexpressed", "upregulated"]
+DOWNWARD = ["negative", "absent", "decreased", "low", "reduced", "downregulated", "lost", "undetected"]
+NEGATIONS = ["not", "no", "without", "lack", "lacking", "never", "neither", "nor"]
 #: Endings that mark how something is expressed, cut off the end of a name (fixed values).
-MARKERS = [" overexpression", " expression", " positivity", " negativity"]
+MARKERS = [" expression", " positivity", " staining", " immunoreactivity"]
 SCOPE_KEYS = ["population", "disease_stage", "treatment", "method", "tissue", "timepoint", "comparator", "subgroup"]
 
 
 def fix_ligatures(text: str | Column) -> Column:
-    return reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), LIGATURES.items(), _c(text))
+    """Ligatures spelled out, by character or glyph name, and accented letters put back to their words."""
+    t = reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), LIGATURES.items(), _c(text))
+    t = reduce(lambda t, x: F.regexp_replace(t, rf"(?i)\s*/uni{x[0]}\s*", x[1]), LIGATURE_NAMES.items(), t)
+    t = F.regexp_replace(t, f"([A-Za-z{ACCENTED}]) ([{ACCENTED}])", "$1$2")
+    return F.regexp_replace(t, f"([{ACCENTED}]) ([A-Za-z{ACCENTED}])", "$1$2")
 
 
 def remove_citations(text: str | Column) -> Column:
-    """Cut bracketed numbers, bracketed author-year citations and superscript-like numbers after a word's end."""
-    t = F.regexp_replace(_c(text), r"\s*\[\d+(?:\s*[,–-]\s*\d+)*\]", "")
-    t = F.regexp_replace(t, r"\s*\((?:[A-Z]\w+(?: et al\.?)?,? \d{4}[a-z]?(?:; )?)+\)", "")
-    return F.trim(F.regexp_replace(t, r" {2,}", " "))
+    """Cut links and numbers of citations in brackets, after full stops and commas, and in lists; years stay."""
+    return reduce(lambda t, x: F.regexp_replace(t, x[0], x[1]), CITATIONS, _c(text))
 
 
 def is_reference_entry(text: str | Column) -> Column:
-    """Whether a text looks like an entry of a reference list: numbered authors, a year in brackets, or two initials or more."""
-    head = F.substring(_c(text), 1, 150)
-    return head.rlike(r"^\s*\[?\d{1,3}[\].]\s+[A-Z]\w+,? [A-Z]\.") | head.rlike(r"\(\d{4}[a-z]?\)[.:]") | (F.size(F.regexp_extract_all(head, F.lit(r"([A-Z]\w+,? (?:[A-Z]\.)+)"), 1)) >= 2)
+    """Whether a text looks like an entry of a reference list: numbered, two authors or more, or an author with et al. and a year."""
+    t = F.trim(_c(text))
+    year = t.rlike(r"\b(19|20)\d{2}\b")
+    numbered = t.rlike(r"^\d+\.\s+") & (t.rlike(r"[A-Z][a-z]+\s+[A-Z][\.,]") | (year & (t.rlike(r"\b(doi|DOI|http|www|PMID|ISBN)") | (F.length(t) > 100))))
+    authors = F.size(F.regexp_extract_all(t, F.lit(r"([0-9A-Za-z_][0-9A-Za-z_\u00C0-\u024F]+,\s+[A-Z]\.)"), 1)) >= 2
+    et_al = t.rlike(r"^[A-Z][a-z]+[\s,]+[A-Z]") & F.substring(t, 1, 150).rlike(r"(?i)\bet\s+al\.") & year
+    return numbered | authors | et_al
 
 
 def clean_text(text: str | Column) -> Column:
@@ -79,11 +106,11 @@ def _name(ref: str | Column) -> str:
 
 
 def strip_marker(name: str | Column) -> Column:
-    """A name without the first expression marker that ends it."""
-    n = _c(name)
+    """A name in lower case without the first expression marker that ends it."""
+    n = F.lower(F.trim(_c(name)))
     out = n
     for m in reversed(MARKERS):
-        out = F.when(F.endswith(F.lower(n), F.lit(m)), F.substring(n, F.lit(1), F.length(n) - len(m))).otherwise(out)
+        out = F.when(F.endswith(n, F.lit(m)), F.substring(n, F.lit(1), F.length(n) - len(m))).otherwise(out)
     return out
 
 
@@ -145,12 +172,19 @@ def gene_like(text: str | Column, blocked: list[str]) -> Column:
     return F.array_except(F.array_distinct(F.regexp_extract_all(_c(text), F.lit(r"\b([A-Z][A-Z0-9]{2,6})\b"), 1)), F.array(*map(F.lit, blocked)) if blocked else F.array().cast("array<string>"))
 
 
-def polarity(tokens: Column, words: list[str], negations: list[str], window: int = 3) -> Column:
-    """+1 or -1 for the first polar word of a token array, turned round by a negation among the `window` tokens before it; else 0."""
-    found = F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda x: x["t"].isin(*words))
-    first = F.try_element_at(found, F.lit(1))
-    before = F.slice(tokens, F.greatest(first["i"] - window + 1, F.lit(1)), F.least(first["i"], F.lit(window)))
-    return F.when(first.isNull(), 0).when(F.exists(before, lambda t: t.isin(*negations)), -1).otherwise(1)
+def polarity(text: str | Column, window: int = 3) -> Column:
+    """+1 or -1 if all polar words of a text agree, else 0. A negation among the `window` tokens before one turns it round, as does a leading non-."""
+    tokens = F.split(F.trim(F.lower(_c(text))), r"\s+")
+
+    def sign(t: Column, i: Column) -> Column:
+        non = F.startswith(t, F.lit("non-"))
+        bare = F.when(non, F.substring(t, F.lit(5), F.length(t))).otherwise(t)
+        base = F.when(bare.isin(*UPWARD), 1).when(bare.isin(*DOWNWARD), -1).otherwise(0)
+        before = F.slice(tokens, F.greatest(i - window + 1, F.lit(1)), F.least(i, F.lit(window)))
+        return F.when(non | F.exists(before, lambda b: b.isin(*NEGATIONS)), -base).otherwise(base)
+
+    signs = F.array_distinct(F.filter(F.transform(tokens, sign), lambda x: x != 0))
+    return F.when(F.size(signs) == 1, signs[0]).otherwise(0)
 
 
 def reason_code(reason: str | Column, patterns: dict[str, str]) -> Column:

@@ -28,14 +28,16 @@ class EntityLinker(Protocol):
     def link(self, mentions: DataFrame) -> DataFrame: ...
 
 
-#: Semantic types that say nothing about a finding (fixed values).
-JUNK_TYPES = ["T077", "T078", "T079", "T080", "T081", "T169", "T170"]
+#: Semantic types of organisms, places, organisations and groups, which are never a finding's entity (fixed values).
+JUNK_TYPES = ["T001", "T002", "T004", "T005", "T007", "T008", "T009", "T010", "T011", "T012", "T013", "T014", "T015", "T083", "T093", "T097"]
+#: Human, which counts as junk where mentions are linked but not where hits are looked up (fixed value).
+HUMAN = "T016"
 
 
-def is_junk() -> Column:
-    """Links all of whose types are junk, and short acronyms with any."""
-    junk = F.array(*map(F.lit, JUNK_TYPES))
-    return (F.size(F.array_except("types", junk)) == 0) | (F.col("mention").rlike("^[A-Z]{2,5}$") & F.arrays_overlap("types", junk))
+def is_junk(with_human: bool = False) -> Column:
+    """Links all of whose types are junk (those without any aren't), and short acronyms with any."""
+    junk = F.array(*map(F.lit, JUNK_TYPES + [HUMAN] * with_human))
+    return ((F.size("types") > 0) & (F.size(F.array_except("types", junk)) == 0)) | (F.trim("mention").rlike("^[A-Z]{2,5}$") & F.arrays_overlap("types", junk))
 
 
 def best_concept(links: DataFrame) -> DataFrame:

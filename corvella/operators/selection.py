@@ -25,15 +25,9 @@ def relatedness(sets: list[str], a: str = "a_", b: str = "b_") -> Column:
 
 
 def related_pairs(papers: DataFrame, sets: list[str], block: str) -> DataFrame:
-    """Relatedness of papers that share an element of the set `block` (those that share none score little or nothing).
-
-    Papers meet by element, so unrelated ones are never paired; an element in more than a thousandth of all papers (and in
-    more than 100) says little and pairs no one by itself.
-    """
+    """Relatedness of all papers that share an element of the set `block`; they meet by element, so others are never paired."""
     e = papers.select("id", F.explode(block).alias("e"))
-    n = F.count("*").over(Window.partitionBy("e"))
-    rare = e.withColumn("_n", n).where(F.col("_n") <= 100).drop("_n")
-    ids = rare.select(F.col("id").alias("i"), "e").join(rare.select(F.col("id").alias("j"), "e"), "e").where("i < j").select("i", "j").distinct()
+    ids = e.select(F.col("id").alias("i"), "e").join(e.select(F.col("id").alias("j"), "e"), "e").where("i < j").select("i", "j").distinct()
     side = lambda k, p: papers.select(F.col("id").alias(k), *(F.col(s).alias(p + s) for s in sets))
     return ids.join(side("i", "a_"), "i").join(side("j", "b_"), "j").select("i", "j", F.round(relatedness(sets), 6).alias("score"))
 

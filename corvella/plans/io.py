@@ -113,7 +113,7 @@ def S17_S18_price_book(spark, sf_dir):
 
 @query("SELECT mention, cui FROM (SELECT p_name AS mention, 'C' || CAST(p_partkey AS VARCHAR) AS cui, row_number() OVER (PARTITION BY p_name ORDER BY p_retailprice DESC, 'C' || CAST(p_partkey AS VARCHAR)) AS r FROM part WHERE p_size % 5 <> 0) WHERE r = 1")
 def F07_F08_X02_best_concept(spark, sf_dir):
-    types = F.when(F.col("p_size") % 5 == 0, F.array(F.lit("T078"))).otherwise(F.array(F.lit("T047"), F.lit("T078")))
+    types = F.when(F.col("p_size") % 5 == 0, F.array(F.lit("T008"))).otherwise(F.array(F.lit("T047"), F.lit("T008")))
     links = table(spark, sf_dir, "part").select(F.col("p_name").alias("mention"), F.concat(F.lit("C"), F.col("p_partkey").cast("string")).alias("cui"), F.col("p_retailprice").alias("score"), types.alias("types"))
     return Mo.best_concept(links).select("mention", "cui")
 

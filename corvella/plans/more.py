@@ -16,19 +16,20 @@ from corvella.sources import readers as Rd
 from corvella.sources import writers as Wr
 from corvella.sources.domain import FINDINGS, TEXT_ELEMENTS, findings, runs, table, text_elements
 
-PARAGRAPH = f"(SELECT te_id, pmcid, CASE te_id % 6 WHEN 0 THEN 'Copyright ' || text WHEN 1 THEN 'doi.org/10.1 ' || text WHEN 2 THEN '12. Smith, J. ' || text WHEN 3 THEN 'two words' ELSE text END AS t FROM {TEXT_ELEMENTS})"
+PARAGRAPH = f"(SELECT te_id, pmcid, CASE te_id % 6 WHEN 0 THEN 'Copyright ' || text WHEN 1 THEN 'doi.org/10.1 ' || text WHEN 2 THEN '12. Smith J, ' || text WHEN 3 THEN 'two words' ELSE text END AS t FROM {TEXT_ELEMENTS})"
 
 
 def _paragraphs(spark, sf_dir):
     k, text = F.col("te_id") % 6, F.col("text")
-    t = F.when(k == 0, F.concat(F.lit("Copyright "), text)).when(k == 1, F.concat(F.lit("doi.org/10.1 "), text)).when(k == 2, F.concat(F.lit("12. Smith, J. "), text)).when(k == 3, "two words").otherwise(text)
+    t = F.when(k == 0, F.concat(F.lit("Copyright "), text)).when(k == 1, F.concat(F.lit("doi.org/10.1 "), text)).when(k == 2, F.concat(F.lit("12. Smith J, "), text)).when(k == 3, "two words").otherwise(text)
     return text_elements(spark, sf_dir).select("te_id", "pmcid", t.alias("t"))
 
 
 @query(rf"""SELECT te_id FROM (SELECT te_id, trim(t, ' ') AS t FROM {PARAGRAPH}) WHERE NOT regexp_matches(lower(t), '^(copyright|open access|conflict of interest|author contributions|funding|acknowledg|received:|correspondence)')
  AND NOT regexp_matches(t, '^(?:[A-Z][a-z]+ [A-Z]\.? [A-Z][a-z]+,? ?){{2,}}') AND NOT regexp_matches(lower(t), 'crossref|doi\.org/10\.') AND NOT regexp_matches(t, '\d{{4}};\d+')
- AND NOT regexp_matches(substr(t, 1, 150), '^\s*\[?\d{{1,3}}[\].]\s+[A-Z][0-9A-Za-z_]+,? [A-Z]\.') AND NOT regexp_matches(substr(t, 1, 150), '\(\d{{4}}[a-z]?\)[.:]')
- AND len(regexp_extract_all(substr(t, 1, 150), '([A-Z][0-9A-Za-z_]+,? (?:[A-Z]\.)+)')) < 2 AND len(regexp_split_to_array(t, '\s+')) >= 4""")
+ AND NOT (regexp_matches(t, '^\d+\.\s+') AND (regexp_matches(t, '[A-Z][a-z]+\s+[A-Z][\.,]') OR (regexp_matches(t, '\b(19|20)\d{{2}}\b') AND (regexp_matches(t, '\b(doi|DOI|http|www|PMID|ISBN)') OR length(t) > 100))))
+ AND len(regexp_extract_all(t, '[0-9A-Za-z_][0-9A-Za-z_\x{{00C0}}-\x{{024F}}]+,\s+[A-Z]\.')) < 2
+ AND NOT (regexp_matches(t, '^[A-Z][a-z]+[\s,]+[A-Z]') AND regexp_matches(substr(t, 1, 150), '(?i)\bet\s+al\.') AND regexp_matches(t, '\b(19|20)\d{{2}}\b')) AND len(regexp_split_to_array(t, '\s+')) >= 4""")
 def F03_F04_T03_relevant_paragraphs(spark, sf_dir):
     return _paragraphs(spark, sf_dir).where(T.is_relevant("t")).select("te_id")
 
@@ -60,11 +61,11 @@ def W20_first_unlabelled(spark, sf_dir):
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").groupBy("lang").agg(F.min("doc_id").alias("doc_id"))
 
 
-@query("SELECT polarity, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 4 = 0 THEN -1 WHEN p_partkey % 4 = 1 THEN 1 WHEN p_partkey % 4 = 2 THEN 1 ELSE 0 END AS polarity FROM part) GROUP BY polarity")
+@query("SELECT polarity, count(*) AS n FROM (SELECT CASE p_partkey % 5 WHEN 0 THEN -1 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN -1 ELSE 0 END AS polarity FROM part) GROUP BY polarity")
 def T13_polarity(spark, sf_dir):
-    k = F.col("p_partkey") % 4
-    text = F.when(k == 0, "it was not much raised").when(k == 1, "raised").when(k == 2, "not in that way is it raised").otherwise("nothing")
-    return table(spark, sf_dir, "part").select(T.polarity(F.split(text, " "), ["raised"], ["not"]).alias("polarity")).groupBy("polarity").agg(F.count("*").alias("n"))
+    k = F.col("p_partkey") % 5
+    text = F.when(k == 0, "it was not much increased").when(k == 1, "Elevated").when(k == 2, "not in that way is it high").when(k == 3, "non-expressed and low").otherwise("high and low")
+    return table(spark, sf_dir, "part").select(T.polarity(text).alias("polarity")).groupBy("polarity").agg(F.count("*").alias("n"))
 
 
 @query("SELECT p_partkey, greatest(p_size, 10) >= 2 * least(p_size, 10) AND p_partkey % 2 = 0 AS contradicts FROM part")

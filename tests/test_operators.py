@@ -27,16 +27,19 @@ def one(spark, column, **values):
 
 def test_text_functions(spark):
     assert one(spark, T.fix_ligatures("t"), t="eﬃcient ﬂow") == "efficient flow"
-    assert one(spark, T.remove_citations("t"), t="Seen [1, 2] before (Smith et al., 2010).") == "Seen before."
+    assert one(spark, T.remove_citations("t"), t="The study found. 12 These [1,2] results, 5 in 2020 or 1,2 .") == "The study found. These results, in 2020 or."
     assert one(spark, T.paragraph_class("t"), t=" Table 2. Values") == "table"
     assert [one(spark, T.is_cut_off("t"), t=t) for t in ("ends in hy-", "ends with", "It ends.", "")] == [True, True, False, False]
     assert one(spark, T.sentences("t"), t="One. Two?  Three") == ["One.", "Two?", "Three"]
     assert one(spark, T.unrepeated("t"), t="ababab") == "ab"
-    assert one(spark, T.polarity(F.split("t", " "), ["raised"], ["not"]), t="it was not raised") == -1
+    assert one(spark, T.polarity("t"), t="it was not detected") == -1
+    assert one(spark, T.polarity("t"), t="Non-expressed but high") == 0
     assert one(spark, T.gene_like("t", ["DNA"]), t="TP53 and DNA and TP53") == ["TP53"]
     assert one(spark, T.mod_of_md5(F.col("t"), 100), t="42:x") == int(__import__("hashlib").md5(b"42:x").hexdigest(), 16) % 100
     assert one(spark, T.jaccard(F.array().cast("array<string>"), F.array().cast("array<string>"), 1.0), t="") == 1.0
-    assert one(spark, T.is_reference_entry("t"), t="12. Smith, J. A study of things.")
+    assert one(spark, T.is_reference_entry("t"), t="1. Smith J, Jones A. Nature. 2020;123:456.")
+    assert not one(spark, T.is_reference_entry("t"), t="The results were significant.")
+    assert one(spark, T.fix_ligatures("t"), t="in /uniFB02 uenza Mart í n") == "influenza Martín"
 
 
 def test_normalize_keeps_incomplete_findings_apart(spark):
