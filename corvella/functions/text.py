@@ -38,6 +38,9 @@ FOR = ["present", "positive", "expressed", "immunoreactive", "reactive", "identi
 UPWARD = ["positive", "present", "increased", "detected", "high", "expressed", "elevated", "overexpressed", "upregulated"]
 DOWNWARD = ["negative", "absent", "decreased", "low", "reduced", "downregulated", "lost", "undetected"]
 NEGATIONS = ["not", "no", "without", "lack", "lacking", "never", "neither", "nor"]
+#: Abbreviations that never end a sentence, and words that never end one (fixed values).
+ABBREVIATIONS = ["fig", "figs", "et al", "vs", "approx", "dept", "no", "nos", "e.g", "i.e", "cf", "ref", "refs"]
+CONNECTORS = ["and", "or", "but", "the", "a", "an", "of", "in", "on", "at", "to", "for", "with", "by", "that", "which", "who", "as", "if", "than"]
 #: Endings that mark how something is expressed, cut off the end of a name (fixed values).
 MARKERS = [" expression", " positivity", " staining", " immunoreactivity"]
 SCOPE_KEYS = ["population", "disease_stage", "treatment", "method", "tissue", "timepoint", "comparator", "subgroup"]
@@ -71,15 +74,21 @@ def clean_text(text: str | Column) -> Column:
 
 
 def paragraph_class(text: str | Column) -> Column:
+    """table, figure or narrative, by how the paragraph begins; list marks count as rows of a table."""
     head = F.lower(F.substring(F.trim(_c(text)), 1, 50))
-    return F.when(head.rlike("^tab(le|\\.)"), "table").when(head.rlike("^fig(ure|\\.)"), "figure").otherwise("narrative")
+    return F.when(head.rlike("^(table |[-|*•])"), "table").when(F.startswith(head, F.lit("figure ")), "figure").otherwise("narrative")
 
 
 def is_cut_off(text: str | Column) -> Column:
-    """Whether a paragraph stops in mid-sentence: a hyphen, comma or connecting word at its end, or no final mark."""
-    t = F.rtrim(_c(text))
-    last = F.lower(F.element_at(F.split(t, r"\s+"), -1))
-    return F.when(t == "", False).when(t.rlike("[-,]$"), True).when(last.isin("and", "or", "of", "the", "in", "with", "a", "to", "by"), True).otherwise(~t.rlike("[.!?:;)\\]\"']$"))
+    """Whether a paragraph stops in mid-sentence: at a hyphen or comma, an abbreviation, or a connecting word without a final mark."""
+    t = F.regexp_replace(_c(text), r"^\s+|\s+$", "")
+    tokens = F.transform(F.split(F.lower(t), r"\s+"), lambda x: F.regexp_replace(x, "[.,;:]+$", ""))
+    last = F.element_at(tokens, -1)
+    two = F.when(F.size(tokens) >= 2, F.concat(F.element_at(tokens, F.size(tokens) - 1), F.lit(" "), last))
+    return (
+        F.when(t == "", False).when(t.rlike("[-,]$"), True).when(last.isin(*ABBREVIATIONS) | F.coalesce(two.isin(*ABBREVIATIONS), F.lit(False)), True)
+        .when(t.rlike("[.?!)\\]\"'»]$"), False).otherwise(last.isin(*CONNECTORS))
+    )
 
 
 def sentences(text: str | Column) -> Column:

@@ -10,6 +10,7 @@ from corvella.operators import sequences as S
 from corvella.plans.registry import query
 from corvella.sources.domain import TEXT_ELEMENTS, table, text_elements
 
+_ABBREVIATIONS, _CONNECTORS = (", ".join(f"'{w}'" for w in x) for x in (T.ABBREVIATIONS, T.CONNECTORS))
 SENTENCES = rf"""(SELECT pmcid, te_id, s AS sentence, i - 1 AS k FROM (SELECT pmcid, te_id, unnest(l) AS s, unnest(range(1, len(l) + 1)) AS i FROM
  (SELECT pmcid, te_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS l FROM {TEXT_ELEMENTS})))"""
 
@@ -34,17 +35,21 @@ def T02_remove_citations(spark, sf_dir):
     return text_elements(spark, sf_dir).withColumn("t", F.concat("text", F.lit(" [1,2] ends. 14 Next, 5 more 1,2 ."))).select("te_id", T.remove_citations("t").alias("cleaned"))
 
 
-@query(rf"""SELECT path, count(*) FILTER (h LIKE 'tab%' AND (h LIKE 'table%' OR h LIKE 'tab.%')) AS n_table, count(*) FILTER (NOT regexp_matches(h, '^tab(le|\.)') AND NOT regexp_matches(h, '^fig(ure|\.)')) AS n_narrative
- FROM (SELECT path, lower(substr(trim(text, ' '), 1, 50)) AS h FROM {TEXT_ELEMENTS}) GROUP BY path""")
+@query(rf"""SELECT path, count(*) FILTER (regexp_matches(h, '^(table |[-|*•])')) AS n_table, count(*) FILTER (NOT regexp_matches(h, '^(table |[-|*•])') AND NOT starts_with(h, 'figure ')) AS n_narrative
+ FROM (SELECT path, lower(substr(trim(CASE te_id % 5 WHEN 0 THEN 'Table 1 ' || text WHEN 1 THEN 'Figure 2 ' || text WHEN 2 THEN '| ' || text ELSE text END, ' '), 1, 50)) AS h FROM {TEXT_ELEMENTS}) GROUP BY path""")
 def T04_paragraph_class(spark, sf_dir):
-    c = T.paragraph_class("text")
+    k, text = F.col("te_id") % 5, F.col("text")
+    c = T.paragraph_class(F.when(k == 0, F.concat(F.lit("Table 1 "), text)).when(k == 1, F.concat(F.lit("Figure 2 "), text)).when(k == 2, F.concat(F.lit("| "), text)).otherwise(text))
     return text_elements(spark, sf_dir).groupBy("path").agg(F.count_if(c == "table").alias("n_table"), F.count_if(c == "narrative").alias("n_narrative"))
 
 
-@query(rf"""SELECT path, count(*) FILTER (cut) AS n_cut, count(*) AS n FROM (SELECT path, CASE WHEN t = '' THEN false WHEN regexp_matches(t, '[-,]$') THEN true
- WHEN lower(list_last(regexp_split_to_array(t, '\s+'))) IN ('and', 'or', 'of', 'the', 'in', 'with', 'a', 'to', 'by') THEN true ELSE NOT regexp_matches(t, '[.!?:;)\]"'']$') END AS cut FROM (SELECT path, rtrim(text, ' ') AS t FROM {TEXT_ELEMENTS})) GROUP BY path""")
+@query(rf"""WITH t AS (SELECT path, t, list_transform(regexp_split_to_array(lower(t), '\s+'), lambda x: rtrim(x, '.,;:')) AS w FROM (SELECT path, regexp_replace(CASE te_id % 4 WHEN 0 THEN text || ' see Fig.' WHEN 1 THEN rtrim(text, '.') || ' and the' ELSE text END, '^\s+|\s+$', '', 'g') AS t FROM {TEXT_ELEMENTS}))
+SELECT path, count(*) FILTER (CASE WHEN t = '' THEN false WHEN regexp_matches(t, '[-,]$') THEN true WHEN w[-1] IN ({_ABBREVIATIONS}) OR coalesce(w[-2] || ' ' || w[-1] IN ({_ABBREVIATIONS}), false) THEN true
+ WHEN regexp_matches(t, '[.?!)\]"''»]$') THEN false ELSE w[-1] IN ({_CONNECTORS}) END) AS n_cut, count(*) AS n FROM t GROUP BY path""")
 def T05_cut_off(spark, sf_dir):
-    return text_elements(spark, sf_dir).groupBy("path").agg(F.count_if(T.is_cut_off("text")).alias("n_cut"), F.count("*").alias("n"))
+    k, text = F.col("te_id") % 4, F.col("text")
+    t = F.when(k == 0, F.concat(text, F.lit(" see Fig."))).when(k == 1, F.concat(F.rtrim(text, F.lit(".")), F.lit(" and the"))).otherwise(text)
+    return text_elements(spark, sf_dir).groupBy("path").agg(F.count_if(T.is_cut_off(t)).alias("n_cut"), F.count("*").alias("n"))
 
 
 @query(f"SELECT pmcid, string_agg('[S' || CAST(pos AS VARCHAR) || '|' || pmcid || '|' || CAST(te_id AS VARCHAR) || '] ' || substr(text, 1, 20), chr(10) ORDER BY pos) AS prompt FROM {TEXT_ELEMENTS} GROUP BY pmcid")

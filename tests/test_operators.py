@@ -29,7 +29,7 @@ def test_text_functions(spark):
     assert one(spark, T.fix_ligatures("t"), t="eﬃcient ﬂow") == "efficient flow"
     assert one(spark, T.remove_citations("t"), t="The study found. 12 These [1,2] results, 5 in 2020 or 1,2 .") == "The study found. These results, in 2020 or."
     assert one(spark, T.paragraph_class("t"), t=" Table 2. Values") == "table"
-    assert [one(spark, T.is_cut_off("t"), t=t) for t in ("ends in hy-", "ends with", "It ends.", "")] == [True, True, False, False]
+    assert [one(spark, T.is_cut_off("t"), t=t) for t in ("ends in hy-", "ends with", "It ends.", "", "see Fig.", "by Smith et al.", "a gene")] == [True, True, False, False, True, True, False]
     assert one(spark, T.sentences("t"), t="One. Two?  Three") == ["One.", "Two?", "Three"]
     assert one(spark, T.unrepeated("t"), t="ababab") == "ab"
     assert one(spark, T.polarity("t"), t="it was not detected") == -1
