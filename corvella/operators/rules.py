@@ -11,10 +11,28 @@ UP, DOWN = ("positive", "partial"), ("negative", "absent")
 FINDING_KEY = ["te_id", "subject", "outcome", "relation", "direction", "category"]
 
 
-def stable_id(prefix: str, *parts: str | Column, size: int = 12) -> Column:
-    """An id that depends on the parts alone."""
-    joined = F.concat_ws("|", *(F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts))
-    return F.concat(F.lit(prefix), F.substring(F.sha2(joined, 256), 1, size))
+def sha8(x: str | Column) -> Column:
+    return F.substring(F.sha2((F.col(x) if isinstance(x, str) else x).cast("string"), 256), 1, 8)
+
+
+def normal_id(pmcid: str = "pmcid", te_ids: Column | None = None) -> Column:
+    """NF_<paper>_<digest of subject|outcome|relation|elements>; a missing part is told as None."""
+    part = lambda c: F.coalesce(F.col(c), F.lit("None"))
+    elements = F.array_join(F.array_sort(te_ids).cast("array<string>"), "_") if te_ids is not None else F.col("te_id").cast("string")
+    return F.concat(F.lit("NF_"), F.col(pmcid), F.lit("_"), sha8(F.concat_ws("|", part("subject"), part("outcome"), part("relation"), elements)))
+
+
+def group_id() -> Column:
+    return F.concat(F.lit("GRP_"), F.concat_ws("_", sha8("pmcid"), sha8("subject"), sha8("outcome"), "relation", sha8("category")))
+
+
+def canonical_id(group: Column) -> Column:
+    return F.concat(F.lit("CR_"), sha8(group), F.lit("_"), F.col("direction"))
+
+
+def relation_id(a: str, b: str) -> Column:
+    """The same for either order of the two rules."""
+    return F.concat(F.lit("COR_"), sha8(F.concat_ws("|", F.array_sort(F.array(F.col(a).cast("string"), F.col(b).cast("string"))))))
 
 
 def first_best(value: Column, score: Column, position: Column) -> Column:
@@ -33,7 +51,7 @@ def normalize(findings: DataFrame) -> DataFrame:
 
 def pass_through(findings: DataFrame) -> DataFrame:
     """Findings that can't be grouped, each as a result of its own."""
-    return findings.where(~groupable()).select("fid", "pmcid", F.lit(1).cast("long").alias("n_members"), F.round("score", 6).alias("mean_score"), non_groupable_reason().alias("reason"))
+    return findings.where(~groupable()).select("fid", "pmcid", normal_id().alias("normal_id"), F.lit(1).cast("long").alias("n_members"), F.round("score", 6).alias("mean_score"), non_groupable_reason().alias("reason"))
 
 
 def groupable() -> Column:
@@ -42,14 +60,14 @@ def groupable() -> Column:
 
 def non_groupable_reason() -> Column:
     """Why a finding can't be grouped, in a fixed order."""
-    return F.concat_ws(", ", F.when(F.col("subject").isNull(), "missing subject"), F.when(F.col("outcome").isNull(), "missing outcome"), F.when(F.coalesce("relation", F.lit("unclear")) == "unclear", "unclear relation"))
+    return F.concat_ws(", ", F.when(F.col("subject").isNull(), "subject_entity=None"), F.when(F.col("outcome").isNull(), "outcome_entity=None"), F.when(F.coalesce("relation", F.lit("unclear")) == "unclear", "relation_type=unclear"))
 
 
 def group(findings: DataFrame) -> DataFrame:
     """Groups by paper, entities, relation and category, with counts of directions."""
     return findings.where(groupable()).groupBy("pmcid", "subject", "outcome", "relation", "category").agg(
         F.count("*").alias("n_findings"), *(F.count_if(F.col("direction") == d).alias(f"n_{d}") for d in ("positive", "negative", "unclear")),
-    ).withColumn("group_id", stable_id("GRP_", "pmcid", "subject", "outcome", "relation", "category"))
+    ).withColumn("group_id", group_id())
 
 
 def heterogeneity(findings: DataFrame, scope: list[str]) -> DataFrame:
@@ -66,7 +84,7 @@ def canonicalize(findings: DataFrame) -> DataFrame:
     )
     whole = Window.partitionBy("pmcid", "subject", "outcome", "relation", "category")
     conflicted = F.sum(F.col("direction").isin(*POLARITY).cast("int")).over(whole) >= 2
-    return rules.withColumn("is_conflicted", conflicted).withColumn("canonical_id", stable_id("CR_", "pmcid", "subject", "outcome", "relation", "category", "direction"))
+    return rules.withColumn("is_conflicted", conflicted).withColumn("canonical_id", canonical_id(group_id()))
 
 
 def study_coverage(findings: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from corvella.plans.registry import query
 from corvella.sources.domain import FINDINGS, findings
 
 GROUPABLE = "subject IS NOT NULL AND outcome IS NOT NULL AND relation <> 'unclear'"
+GROUP_ID = "'GRP_' || concat_ws('_', substr(sha256(pmcid), 1, 8), substr(sha256(subject), 1, 8), substr(sha256(outcome), 1, 8), relation, substr(sha256(category), 1, 8))"
 CORPUS_RULES = f"(SELECT subject, outcome, relation, category, direction, count(*) AS n_findings, count(DISTINCT pmcid) AS n_papers, round(avg(score), 6) AS mean_score, min(fid) AS rule_id FROM {FINDINGS} WHERE {GROUPABLE} GROUP BY ALL)"
 PAIRS = f"""(SELECT subject, outcome, relation, category, a.rule_id AS rule_id_a, b.rule_id AS rule_id_b, a.direction AS direction_a, b.direction AS direction_b, a.mean_score AS mean_score_a, b.mean_score AS mean_score_b
  FROM {CORPUS_RULES} a JOIN {CORPUS_RULES} b USING (subject, outcome, relation, category) WHERE a.rule_id < b.rule_id AND a.direction <> 'unclear' AND b.direction <> 'unclear')"""
@@ -24,8 +25,8 @@ def A01_A02_normalize(spark, sf_dir):
     return R.normalize(findings(spark, sf_dir))
 
 
-@query(f"""SELECT fid, pmcid, CAST(1 AS BIGINT) AS n_members, round(score, 6) AS mean_score,
- concat_ws(', ', CASE WHEN subject IS NULL THEN 'missing subject' END, CASE WHEN outcome IS NULL THEN 'missing outcome' END, CASE WHEN relation = 'unclear' THEN 'unclear relation' END) AS reason FROM {FINDINGS} WHERE NOT ({GROUPABLE})""")
+@query(f"""SELECT fid, pmcid, 'NF_' || pmcid || '_' || substr(sha256(coalesce(subject, 'None') || '|' || coalesce(outcome, 'None') || '|' || relation || '|' || CAST(te_id AS VARCHAR)), 1, 8) AS normal_id, CAST(1 AS BIGINT) AS n_members, round(score, 6) AS mean_score,
+ concat_ws(', ', CASE WHEN subject IS NULL THEN 'subject_entity=None' END, CASE WHEN outcome IS NULL THEN 'outcome_entity=None' END, CASE WHEN relation = 'unclear' THEN 'relation_type=unclear' END) AS reason FROM {FINDINGS} WHERE NOT ({GROUPABLE})""")
 def A03_F12_pass_through(spark, sf_dir):
     return R.pass_through(findings(spark, sf_dir))
 
@@ -36,7 +37,7 @@ def F11_groupable(spark, sf_dir):
 
 
 @query(f"""SELECT pmcid, subject, outcome, relation, category, count(*) AS n_findings, count(*) FILTER (direction = 'positive') AS n_positive, count(*) FILTER (direction = 'negative') AS n_negative, count(*) FILTER (direction = 'unclear') AS n_unclear,
- 'GRP_' || substr(sha256(pmcid || '|' || subject || '|' || outcome || '|' || relation || '|' || category), 1, 12) AS group_id FROM {FINDINGS} WHERE {GROUPABLE} GROUP BY ALL""")
+ {GROUP_ID} AS group_id FROM {FINDINGS} WHERE {GROUPABLE} GROUP BY ALL""")
 def A04_group(spark, sf_dir):
     return R.group(findings(spark, sf_dir))
 
@@ -47,7 +48,7 @@ def A05_scope_heterogeneity(spark, sf_dir):
 
 
 @query(f"""SELECT *, sum(CAST(direction <> 'unclear' AS INT)) OVER (PARTITION BY pmcid, subject, outcome, relation, category) >= 2 AS is_conflicted,
- 'CR_' || substr(sha256(concat_ws('|', pmcid, subject, outcome, relation, category, direction)), 1, 12) AS canonical_id FROM (SELECT pmcid, subject, outcome, relation, category, direction, count(*) AS n_findings, round(avg(score), 6) AS mean_score,
+ 'CR_' || substr(sha256({GROUP_ID}), 1, 8) || '_' || direction AS canonical_id FROM (SELECT pmcid, subject, outcome, relation, category, direction, count(*) AS n_findings, round(avg(score), 6) AS mean_score,
  count(DISTINCT te_id) AS n_te, arg_max(fid, (coalesce(score, -1), -fid)) AS best_fid FROM {FINDINGS} WHERE {GROUPABLE} GROUP BY ALL)""")
 def A06_canonicalize(spark, sf_dir):
     return R.canonicalize(findings(spark, sf_dir))
@@ -108,6 +109,11 @@ def J08_incremental_pairs(spark, sf_dir):
     return R.incremental_pairs(rules.where("rule_id % 3 <> 0"), rules.where("rule_id % 3 = 0"))
 
 
+@query(f"SELECT 'COR_' || substr(sha256(least(CAST(rule_id_a AS VARCHAR), CAST(rule_id_b AS VARCHAR)) || '|' || greatest(CAST(rule_id_a AS VARCHAR), CAST(rule_id_b AS VARCHAR))), 1, 8) AS relation_id, label FROM {RELATIONS}")
+def T16_relation_ids(spark, sf_dir):
+    return R.relations(findings(spark, sf_dir)).select(R.relation_id("rule_id_a", "rule_id_b").alias("relation_id"), "label")
+
+
 @query(f"SELECT rule_id, other, label FROM {ADJACENT}")
 def J09_adjacency(spark, sf_dir):
     return R.adjacency(R.relations(findings(spark, sf_dir)))
@@ -133,10 +139,10 @@ def D11_classify_pairs(spark, sf_dir):
     return pairs.select(R.classify(0.85, 0.9).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT final_id, rank FROM (SELECT 'FR_' || substr(sha256(CAST(rule_id AS VARCHAR)), 1, 12) AS final_id, row_number() OVER (ORDER BY round(0.8 * coalesce(mean_score, 0.5), 4) DESC, rule_id) AS rank FROM {CORPUS_RULES}) WHERE rank <= 100")
+@query(f"SELECT final_id, rank FROM (SELECT 'FR_' || CAST(rule_id AS VARCHAR) AS final_id, row_number() OVER (ORDER BY round(0.8 * coalesce(mean_score, 0.5), 4) DESC, rule_id) AS rank FROM {CORPUS_RULES}) WHERE rank <= 100")
 def O01_top_rules(spark, sf_dir):
     scored = R.corpus_rules(findings(spark, sf_dir)).withColumn("s", F.round(0.8 * F.coalesce("mean_score", F.lit(0.5)), 4))
     top = scored.orderBy(F.desc("s"), "rule_id").limit(100)  # a top-k report: at most 100 rows are numbered
     from pyspark.sql import Window
 
-    return top.select(R.stable_id("FR_", "rule_id").alias("final_id"), F.row_number().over(Window.orderBy(F.desc("s"), "rule_id")).alias("rank"))
+    return top.select(F.concat(F.lit("FR_"), F.col("rule_id").cast("string")).alias("final_id"), F.row_number().over(Window.orderBy(F.desc("s"), "rule_id")).alias("rank"))
