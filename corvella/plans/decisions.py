@@ -37,7 +37,7 @@ def V02_soft_alignment(spark, sf_dir):
     return A.soft_alignment(_pairs(spark, sf_dir), ["case_id"]).select("case_id", F.round("score", 4).alias("score"))
 
 
-@query(f"SELECT case_id, round(max(m), 4) AS deferral FROM (SELECT case_id, v, avg(similarity) AS m FROM (SELECT case_id, a AS v, similarity FROM {SIM} UNION ALL SELECT case_id, b, similarity FROM {SIM}) GROUP BY ALL) GROUP BY case_id")
+@query(f"SELECT case_id, round(max(m), 4) AS deferral FROM (SELECT case_id, v, round(avg(similarity), 6) AS m FROM (SELECT case_id, a AS v, similarity FROM {SIM} UNION ALL SELECT case_id, b, similarity FROM {SIM}) GROUP BY ALL) GROUP BY case_id")
 def V06_D02_consensus(spark, sf_dir):
     return A.consensus(_pairs(spark, sf_dir), ["case_id"]).select("case_id", F.round("deferral", 4).alias("deferral"))
 
