@@ -17,9 +17,9 @@ from corvella.llm.textops import WORD, Runs, Words, mix, slices
 #: Sampled tokens of a set: coordinates of its sketch.
 COORDINATES = 64
 #: Sets that a bucket may have to be compared by brute force.
-BUCKET = 256
-#: Splits after which a bucket that is still larger is compared block by block.
-MAX_DEPTH = 12
+BUCKET = 512
+#: Splits at a time, and rounds of them after which a bucket that is still larger is compared block by block.
+STEPS, MAX_ROUNDS = 2, 6
 _MULTIPLIERS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -41,8 +41,13 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return int(mix(s).sum(dtype=np.uint64).view(np.int64)), int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64))
 
 
+def _bits(sketches: np.ndarray, which: int) -> pa.Array:
+    """One bit of each coordinate's token, as a number of 64 bits."""
+    return pa.array(np.packbits(((sketches >> np.uint32(which)) & 1).astype(np.uint8), axis=1).view(">i8").ravel().astype(np.int64))
+
+
 def _sketch(n: int):
-    """(id, sid, other, size, sketch): the set's signature, its size, and for each coordinate the token sampled by min-hash."""
+    """(id, sid, other, size, sketch, low, high): the set's signature, its size, for each coordinate the token sampled by min-hash, and two bits of each token."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,14 +64,14 @@ def _sketch(n: int):
                 signs = [_signature(s) for s in sets]
                 yield pa.RecordBatch.from_pydict({
                     "id": batch["id"].slice(first, len(sets)), "text_hash": batch["text_hash"].slice(first, len(sets)), "sid": pa.array([s[0] for s in signs], pa.int64()), "other": pa.array([s[1] for s in signs], pa.int64()),
-                    "size": pa.array(sizes), "sketch": pa.array([x.tobytes() for x in sketches], pa.binary()),
+                    "size": pa.array(sizes), "sketch": pa.array([x.tobytes() for x in sketches], pa.binary()), "low": _bits(sketches, 0), "high": _bits(sketches, 1),
                 })
 
     return run
 
 
-def _choose(rate: float):
-    """Paths one step longer: from each path a sample of coordinates, the same for all sets on it, and each set's token there."""
+def _choose(rate: float, steps: int):
+    """Paths `steps` steps longer: from each path a sample of coordinates, the same for all sets on it, and each set's token there."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coordinates = mix(np.arange(COORDINATES, dtype=np.uint64) + np.uint64(77))
@@ -74,12 +79,15 @@ def _choose(rate: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            path = batch["path"].to_numpy().view(np.uint64)
+            path, row = batch["path"].to_numpy().view(np.uint64), np.arange(batch.num_rows)
             sketch = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            draw = mix(path[:, None] ^ coordinates)
-            row, j = np.nonzero(draw < limit)
-            longer = mix(draw[row, j] ^ mix(sketch[row, j].astype(np.uint64) + np.uint64(1)))
-            yield pa.RecordBatch.from_pydict({"path": pa.array(longer.view(np.int64)), "sid": batch["sid"].take(pa.array(row))})
+            for _ in range(steps):
+                draw = mix(path[:, None] ^ coordinates)
+                at, j = np.nonzero(draw < limit)
+                row = row[at]
+                path = mix(draw[at, j] ^ mix(sketch[row, j].astype(np.uint64) + np.uint64(1)))
+            picked = pa.array(row)
+            yield pa.RecordBatch.from_pydict({"path": pa.array(path.view(np.int64)), **{c: batch[c].take(picked) for c in ("sid", "size", "low", "high")}})
 
     return run
 
@@ -130,17 +138,18 @@ def _roots(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
 
 def _candidates(threshold: float):
     """Brute force on sketches in a bucket: groups of sets that may be similar, named by their members."""
-    least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / COORDINATES)  # five standard deviations of the estimate
+    same = threshold + (1 - threshold) / 4  # two bits also agree by chance
+    least = COORDINATES * same - 5 * math.sqrt(COORDINATES * same * (1 - same))
 
     def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
         if t.num_rows < 2:
             return
         sid, size = t["sid"].to_numpy(), t["size"].to_numpy()
-        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint32).reshape(-1, COORDINATES)
+        low, high = t["low"].to_numpy().view(np.uint64), t["high"].to_numpy().view(np.uint64)
 
         def pairs() -> Iterator[tuple[int, np.ndarray]]:
             for i in range(len(sid) - 1):
-                close = (sketch[i + 1 :] == sketch[i]).mean(axis=1) >= least
+                close = np.bitwise_count(~((low[i + 1 :] ^ low[i]) | (high[i + 1 :] ^ high[i]))) >= least
                 close &= np.minimum(size[i + 1 :], size[i]) >= threshold * np.maximum(size[i + 1 :], size[i])
                 yield i, np.flatnonzero(close) + i + 1
 
@@ -228,10 +237,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. Documents with equal sets become one set with a weight. Each set gets a sketch of COORDINATES min-hashed tokens.
     2. Chosen path: a path samples coordinates, the same for all its sets, and splits them by their tokens there, on
        average into rate = 1 / threshold longer paths for each set. Buckets of BUCKET sets or fewer leave the recursion;
-       larger ones go on, and after MAX_DEPTH splits are taken apart into pairs of blocks. `runs_for` tells how many
+       larger ones go on, and after MAX_ROUNDS times STEPS splits are taken apart into pairs of blocks. `runs_for` tells how many
        runs the target recall takes; they go side by side.
-    3. Brute force in small buckets: estimates from sketches single out groups of candidates (five standard deviations
-       below the threshold), equal groups of several buckets are taken once, and exact Jaccard on whole sets verifies them.
+    3. Brute force in small buckets: estimates from two bits a coordinate single out groups of candidates (five standard
+       deviations below the threshold), equal groups of several buckets are taken once, and exact Jaccard on whole sets verifies them.
        Each component of a group gives a chain of links, not all pairs.
     4. Components over all chains are the classes. In each class every link is then counted exactly, by pairs of blocks,
        so that links the paths missed inside a class are found as well.
@@ -240,29 +249,30 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     * Null ids rank below all others; class_id is then null. Repeated rows are documents with equal sets.
     """
     rows = docs.select(safe_id(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    sketched = rows.mapInArrow(_sketch(n), "id long, text_hash long, sid long, other long, size long, sketch binary")
+    sketched = rows.mapInArrow(_sketch(n), "id long, text_hash long, sid long, other long, size long, sketch binary, low long, high long")
     sketched = materialize(sketched)
-    sets = sketched.where("size > 0").groupBy("sid", "other", "size").agg(F.min("id").alias("least"), F.count("*").alias("docs"), F.first("sketch").alias("sketch"))
+    sets = sketched.where("size > 0").groupBy("sid", "other", "size").agg(F.min("id").alias("least"), F.count("*").alias("docs"), *(F.first(c).alias(c) for c in ("sketch", "low", "high")))
     sets = materialize(sets.drop("other").dropDuplicates(["sid"]))
 
     rate = 1 / threshold
-    n_runs = runs_for(recall, threshold, rate, 2)
+    n_runs = runs_for(recall, threshold, rate, STEPS)
     roots = F.explode(F.array(*(F.xxhash64(F.lit(seed), F.lit(r)) for r in range(n_runs)))).alias("path")
-    level = sets.select("sid", "sketch", roots)
+    carried = ["sid", "size", "low", "high"]
+    level = sets.select(*carried, "sketch", roots)
     leaves: DataFrame | None = None
-    for depth in range(1, MAX_DEPTH + 1):
-        paths = materialize(level.mapInArrow(_choose(rate), "path long, sid long"))
+    for depth in range(1, MAX_ROUNDS + 1):
+        paths = materialize(level.mapInArrow(_choose(rate, STEPS), "path long, sid long, size long, low long, high long"))
         crowd = materialize(paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
         counted = materialize(join_facts(paths, crowd, "path", "n").where("n > 1"))
         large = counted.where(F.col("n") > BUCKET)
-        small = counted if depth == MAX_DEPTH else counted.where(F.col("n") <= BUCKET)
+        small = counted if depth == MAX_ROUNDS else counted.where(F.col("n") <= BUCKET)
         leaves = small if leaves is None else leaves.union(small)
-        if depth == MAX_DEPTH or large.isEmpty():
+        if depth == MAX_ROUNDS or large.isEmpty():
             break
-        level = large.join(sets.select("sid", "sketch"), "sid").select("sid", "sketch", "path")
+        level = large.join(sets.select("sid", "sketch"), "sid").select(*carried, "sketch", "path")
     assert leaves is not None
     key = ["path", "i", "j"]
-    met = _in_blocks(leaves, "path", "n", BUCKET).join(sets.select("sid", "size", "sketch"), "sid").select(*key, "sid", "size", "sketch")
+    met = _in_blocks(leaves, "path", "n", BUCKET).select(*key, *carried)
     groups = met.repartition(*key).sortWithinPartitions(*key, "sid").mapInArrow(_grouped(key, _candidates(threshold)), "name long, sid long")
     groups = materialize(groups.distinct())
 
