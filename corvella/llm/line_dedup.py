@@ -11,14 +11,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvella.llm.common import join_facts, materialize, safe_id
+from corvella.llm.textops import Runs, slices
 
 
-def _line_windows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """_id, _th, pos, window: the 128-bit hash of each run of `width` consecutive lines and the number of its first line."""
-    lines = F.split(F.col(text_col), "\n", -1)
-    hashed = F.transform(F.sequence(F.lit(1), F.size(lines) - width + 1), lambda i: F.unhex(F.md5(F.array_join(F.slice(lines, i, width), "\n"))))
-    kept = docs.select(safe_id(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.when(F.size(lines) >= width, hashed).alias("_w"))
-    return kept.select("_id", "_th", F.posexplode("_w").alias("pos", "window"))
+def _windows(width: int):
+    """(_id, _th, pos, window): the 128-bit hash of each run of `width` consecutive lines and the number of its first line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, texts in slices(batch["text"]):
+                data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+                end = np.flatnonzero(data == 10)
+                start = np.append(0, end[:-1] + 1)
+                first = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)]))  # of each text's lines
+                hashes = Runs(data).hash(start, end)
+                forth, back = Runs(hashes).grams(width), Runs(hashes[::-1].copy()).grams(width)[::-1]
+                at = np.arange(len(forth))
+                doc = np.searchsorted(first, at, side="right") - 1
+                inside = at + width <= first[doc + 1]
+                at, doc = at[inside], doc[inside]
+                keys = pa.py_buffer(np.stack([forth[at], back[at]], axis=1).tobytes())
+                picked = pa.array(begin + doc)
+                yield pa.RecordBatch.from_pydict({
+                    "_id": batch["_id"].take(picked), "_th": batch["_th"].take(picked), "pos": pa.array((at - first[doc]).astype(np.int32)),
+                    "window": pa.Array.from_buffers(pa.binary(16), len(at), [None, keys]).cast(pa.binary()),
+                })
+
+    return run
 
 
 def _cut(width: int):
@@ -56,11 +75,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
       and rows alike in id and text get the same result, neither being earlier than the other.
     * Windows are counted by hash with partial sums before the shuffle, so one that is everywhere costs each task a row.
     """
-    found = _line_windows(docs, id_col, text_col, width)
+    rows = docs.select(F.col(id_col).alias("row"), safe_id(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("text"))
+    found = rows.select("_id", "_th", "text").mapInArrow(_windows(width), "_id long, _th long, pos int, window binary")
     repeated = materialize(found.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("_id", "pos")).alias("first")).where("n > 1"))
     places = join_facts(found, repeated, "window", "n").where((F.col("n") > 1) & (F.struct("_id", "pos") > F.col("first")))
     starts = places.groupBy("_id", "_th").agg(F.collect_set("pos").alias("starts"))  # no more than one document has windows
-    rows = docs.select(F.col(id_col).alias("row"), safe_id(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("text"))
     joined = rows.join(starts, ["_id", "_th"], "left").select(F.col("row").cast("long"), "text", "starts")
     cut = joined.mapInArrow(_cut(width), "row long, text string, n_lines long, n_removed long, n_spans long, kept_sha256 string")
     return cut.withColumnRenamed("row", id_col)
