@@ -13,8 +13,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Determinised states and remembered pieces that a worker keeps before it starts anew.
-MAX_STATES, MAX_PIECES = 200_000, 500_000
+from corvella.llm.textops import kept_by_worker
+
+#: Pieces that a worker remembers at most; of determinised states it keeps 2 for 5 pieces, of valid pairs 4.
+MAX_PIECES = 500_000
+#: States are met anew after so many times that the pieces were forgotten.
+RENEWAL = 8
+#: Rows that a worker encodes before it hands them on.
+ROWS = 512
 _ROOT = 0
 _NEVER = 1 << 60
 
@@ -34,7 +40,8 @@ class Transducer:
     What all open runs share is given out at once: lookahead is no longer than runs disagree, which the longest token bounds.
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], pieces: int = MAX_PIECES):
+        self.max_states, self.max_pairs = pieces * 2 // 5, pieces * 4 // 5
         self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
@@ -46,7 +53,7 @@ class Transducer:
         self.valid: dict[tuple[int, int], bool] = {}
         self.right: dict[int, list] = {}
         self.left: dict[int, list] = {}
-        self._forget()
+        self.forget()
 
     def _grow(self, node: int, byte: int) -> int:
         self.children.append({})
@@ -54,7 +61,7 @@ class Transducer:
         self.children[node][byte] = len(self.token) - 1
         return len(self.token) - 1
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.number: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.arcs: list[dict[int, tuple[int, tuple[int, ...]]]] = []
@@ -113,10 +120,10 @@ class Transducer:
             self.valid[pair] = ok
         return ok
 
-    def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Determinise one step: the next state and the tokens given out on the way."""
+    def _step(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
+        """Determinise one step: the runs open after it and the tokens given out on the way."""
         runs, ended = [], None
-        for owed, before, node in self.states[state]:
+        for owed, before, node in state:
             node = self.children[node].get(byte)
             if node is None:
                 continue
@@ -127,28 +134,43 @@ class Transducer:
                 runs.append((owed, before, node))
         if ended is not None:
             runs.append((ended, ended[-1], _ROOT))
-        shared = min(len(r[0]) for r in runs)
+        shared = min([len(r[0]) for r in runs])
+        if not shared:
+            return tuple(runs), ()
         first = runs[0][0]
         while any(r[0][:shared] != first[:shared] for r in runs):
             shared -= 1
-        arc = (self._state(tuple((o[shared:], b, n) for o, b, n in runs)), first[:shared])
-        self.arcs[state][byte] = arc
-        return arc
+        return tuple((o[shared:], b, n) for o, b, n in runs), first[:shared]
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        """The ids of one piece; one that is a token itself gives that token."""
+        """The ids of one piece; one that is a token itself gives that token.
+
+        Once max_states states have been met, steps to others are taken without keeping them.
+        """
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > MAX_STATES:
-            self._forget()
-        state, arcs, out = self.start, self.arcs, []
+        if len(self.valid) > self.max_pairs:
+            self.valid.clear()
+        number, runs, arcs, out = self.start, None, self.arcs, []
         for byte in piece:
-            arc = arcs[state].get(byte) or self._arc(state, byte)
-            state = arc[0]
-            if arc[1]:
-                out.extend(arc[1])
-        out.extend(self.states[state][-1][0])  # the run that ends here is the last one
+            if number is not None:
+                arc = arcs[number].get(byte)
+                if arc is not None:
+                    number = arc[0]
+                    if arc[1]:
+                        out.extend(arc[1])
+                    continue
+                runs = self.states[number]
+            after, given = self._step(runs, byte)
+            out.extend(given)
+            to = self.number.get(after)
+            if to is None and len(self.states) < self.max_states:
+                to = self._state(after)
+            if number is not None and to is not None:
+                arcs[number][byte] = (to, given)
+            number, runs = to, after
+        out.extend((self.states[number] if number is not None else runs)[-1][0])  # the run that ends here is the last one
         return out
 
 
@@ -184,14 +206,18 @@ class Utf8Stream:
 class Codec:
     """Whole texts to ids and back, each match of `pattern` encoded by itself; remembers pieces it has seen."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, pieces: int = MAX_PIECES):
+        self.transducer, self.max_pieces = Transducer(ranks, pieces), pieces
         self.pieces = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
+        self.renewed = 0
 
     def _packed(self, piece: str) -> bytes:
-        if len(self.known) > MAX_PIECES:
+        if len(self.known) > self.max_pieces:
             self.known.clear()
+            self.renewed += 1
+            if self.renewed % RENEWAL == 0:
+                self.transducer.forget()
         ids = self.transducer.encode_piece(piece.encode("utf-8"))
         packed = b"".join(i.to_bytes(4, "little") for i in ids)
         if len(piece) <= 64:
@@ -212,23 +238,16 @@ class Codec:
         stream.close()
 
 
-_codecs: dict[int, Codec] = {}
-
-
-def _codec(shared, pattern: str) -> Codec:
+def _codec(shared, pattern: str, pieces: int) -> Codec:
     """This worker's codec; one is compiled for each broadcast vocabulary."""
-    key = id(shared)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(shared.value, pattern)
-    return _codecs[key]
+    return kept_by_worker(f"codec {id(shared)} {pieces}", lambda: Codec(shared.value, pattern, pieces))
 
 
-def bpe_encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def bpe_encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, pieces: int = MAX_PIECES) -> DataFrame:
     """One row per row of `docs`: id_col, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids. Other columns are neither read nor returned.
 
     `vocabulary` is the path of a rank file, read once by the driver; executors get it as a broadcast of fixed size (its
-    size does not depend on the data). No special tokens. The ids are decoded again and the digest of that is returned.
+    size does not depend on the data). A worker remembers `pieces` pieces at most, fewer where memory is short. No special tokens. The ids are decoded again and the digest of that is returned.
 
     * A null text counts as empty; it has no ids. Null or repeated ids are rows like any others.
     * Texts of any length are encoded whole: memory is that of one text and its ids. An empty table gives an empty result.
@@ -237,25 +256,29 @@ def bpe_encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: st
     shared = spark.sparkContext.broadcast(read_ranks(vocabulary))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared, pattern)
-        for batch in batches:
-            counts, digests, decoded, packed = [], [], [], []
-            for text in batch["text"]:
-                ids = codec.encode(text.as_py() or "")
-                back = hashlib.sha256()
-                for part in codec.decode_stream(ids):
-                    back.update(part.encode("utf-8"))
-                counts.append(len(ids) // 4)
-                digests.append(hashlib.sha256(ids).hexdigest())
-                decoded.append(back.hexdigest())
-                if with_ids:
-                    packed.append(ids)
-            out = {"row": batch["row"], "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+        codec = _codec(shared, pattern, pieces)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):  # few rows at a time bound what texts and ids take
+                yield part(codec, whole.slice(at, ROWS))
+
+    def part(codec: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts, digests, decoded, packed = [], [], [], []
+        for text in batch["text"]:
+            ids = codec.encode(text.as_py() or "")
+            back = hashlib.sha256()
+            for piece in codec.decode_stream(ids):
+                back.update(piece.encode("utf-8"))
+            counts.append(len(ids) // 4)
+            digests.append(hashlib.sha256(ids).hexdigest())
+            decoded.append(back.hexdigest())
             if with_ids:
-                flat = pa.py_buffer(b"".join(packed))
-                ends = pa.array([0, *itertools.accumulate(counts)], pa.int32())
-                out["ids"] = pa.ListArray.from_arrays(ends, pa.Array.from_buffers(pa.int32(), len(flat) // 4, [None, flat]))
-            yield pa.RecordBatch.from_pydict(out)
+                packed.append(ids)
+        out = {"row": batch["row"], "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+        if with_ids:
+            flat = pa.py_buffer(b"".join(packed))
+            ends = pa.array([0, *itertools.accumulate(counts)], pa.int32())
+            out["ids"] = pa.ListArray.from_arrays(ends, pa.Array.from_buffers(pa.int32(), len(flat) // 4, [None, flat]))
+        return pa.RecordBatch.from_pydict(out)
 
     schema = "row long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("row", id_col)

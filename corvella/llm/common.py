@@ -38,11 +38,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Deal rows evenly over the cores, for costly per-row work after a small table was read from few files."""
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism * per_core, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-
-
 def safe_id(column: str | Column) -> Column:
     """An id as long; null becomes NULL_ID."""
     column = F.col(column) if isinstance(column, str) else column

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,22 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+_kept: dict[str, object] = {}
+
+
+def kept_by_worker(key: str, build: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks: one thing at a time, so that operators in turn don't add up in memory."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
+
+
 def slices(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts (null: empty) of about SLICE_BYTES together: the number of the first, and the texts' bytes."""
+    """Runs of texts (null: empty) of about SLICE_BYTES together: the number of the first, and the texts' bytes.
+
+    Who works on slices keeps nothing between tasks; what an earlier operator has kept is let go."""
+    _kept.clear()
     found = [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
     first = size = 0
     for i, x in enumerate(found):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvella.llm.textops import slices
+from corvella.llm.textops import kept_by_worker, slices
 
 # Symbols of the language model: 0 a word's end, 1-26 the letters, 27 any other letter, 28 any other character.
 SYMBOLS = 29
@@ -77,7 +77,7 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 class Restorer:
     """Decodes obfuscated words; remembers what it has decoded."""
 
-    def __init__(self, costs: np.ndarray, memory: int = 300_000):
+    def __init__(self, costs: np.ndarray, memory: int = 200_000):
         self.costs, self.memory = costs.reshape(-1).tolist(), memory
         self.known: dict[str, tuple[str, ...]] = {}
 
@@ -156,15 +156,8 @@ class Restorer:
         return out
 
 
-_restorers: dict[int, Restorer] = {}
-
-
 def _restorer(shared) -> Restorer:
-    key = id(shared)
-    if key not in _restorers:
-        _restorers.clear()
-        _restorers[key] = Restorer(shared.value)
-    return _restorers[key]
+    return kept_by_worker(f"restorer {id(shared)}", lambda: Restorer(shared.value))
 
 
 def _evidence(shared):
