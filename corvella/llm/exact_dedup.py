@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvella.llm.common import join_facts, materialize, safe_id
+from corvella.llm.textops import let_go
 
 _RUN = "slot int, digest binary, n_bytes long, witness long, best long, n long"
 
@@ -24,6 +25,7 @@ def _collapse(smallest: bool):
         keys = ["slot", "digest", "n_bytes", "witness"]
         picked = "best_min" if smallest else "best_max"
         carried: pa.Table | None = None
+        let_go()
         for batch in batches:
             if not batch.num_rows:
                 continue

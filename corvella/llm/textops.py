@@ -39,11 +39,16 @@ def kept_by_worker(key: str, build: Callable[[], object]) -> object:
     return _kept[key]
 
 
+def let_go() -> None:
+    """Drop what an earlier operator has kept in this worker."""
+    _kept.clear()
+
+
 def slices(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts (null: empty) of about SLICE_BYTES together: the number of the first, and the texts' bytes.
 
     Who works on slices keeps nothing between tasks; what an earlier operator has kept is let go."""
-    _kept.clear()
+    let_go()
     found = [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
     first = size = 0
     for i, x in enumerate(found):
