@@ -180,14 +180,34 @@ def _overlaps(t: pa.Table, threshold: float) -> Iterator[tuple[int, np.ndarray]]
 
 
 def _links(threshold: float):
-    """Verified links of a candidate group, as chains through its components: (a, b) of neighbours."""
+    """Verified links of a candidate group, one for each two components that they join: (a, b). Pairs in one component already are not compared."""
 
     def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        sid = t["sid"].to_numpy()
-        root = _roots(len(sid), _overlaps(t, threshold))
-        by = np.argsort(root, kind="stable")
-        same = root[by][1:] == root[by][:-1]
-        yield pa.RecordBatch.from_pydict({"a": pa.array(sid[by][:-1][same]), "b": pa.array(sid[by][1:][same])})
+        sid, sets = t["sid"].to_numpy(), [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
+        _, root = np.unique(t["class"].to_numpy(), return_inverse=True)
+        if root.max() == 0:
+            return
+        size = np.array([len(s) for s in sets])
+        _, tokens = np.unique(np.concatenate(sets), return_inverse=True)
+        own = np.split(tokens, np.cumsum(size)[:-1])
+        inside = np.zeros(int(tokens.max()) + 1, bool)
+        a: list[int] = []
+        b: list[int] = []
+        for i in range(len(sid) - 1):
+            js = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+            js = js[np.minimum(size[js], size[i]) >= threshold * np.maximum(size[js], size[i]) - 1e-9]
+            if not len(js):
+                continue
+            inside[own[i]] = True
+            shared = np.add.reduceat(inside[np.concatenate([own[j] for j in js])], np.cumsum(size[js]) - size[js], dtype=np.int64)
+            inside[own[i]] = False
+            for j in js[shared >= threshold * (size[js] + size[i] - shared) - 1e-9].tolist():
+                if root[j] != root[i]:
+                    root[root == root[j]] = root[i]
+                    a.append(sid[i])
+                    b.append(sid[j])
+        if a:
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return work
 
@@ -216,15 +236,48 @@ def _in_blocks(members: DataFrame, key: str, count: str, size: int) -> DataFrame
     return members.withColumn("_p", F.explode(pairs)).select(*members.columns, "_p.*")
 
 
+def _walk(level: DataFrame, sets: DataFrame, rate: float) -> tuple[DataFrame, DataFrame | None]:
+    """Splits buckets until they are small: the leaves, and how many splits deep the sets of large buckets had to go (sid, depth)."""
+    leaves: DataFrame | None = None
+    deeper: DataFrame | None = None
+    for depth in range(1, MAX_ROUNDS + 1):
+        paths = materialize(level.mapInArrow(_choose(rate, STEPS), "path long, sid long, size long, low long, high long"))
+        crowd = materialize(paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
+        counted = materialize(join_facts(paths, crowd, "path", "n").where("n > 1"))
+        large = counted.where(F.col("n") > BUCKET)
+        small = counted if depth == MAX_ROUNDS else counted.where(F.col("n") <= BUCKET)
+        leaves = small if leaves is None else leaves.union(small)
+        if depth == MAX_ROUNDS or large.isEmpty():
+            break
+        went_on = large.select("sid", F.lit((depth + 1) * STEPS).alias("depth")).distinct()
+        deeper = went_on if deeper is None else deeper.union(went_on)
+        level = large.join(sets.select("sid", "sketch"), "sid").select("sid", "size", "low", "high", "sketch", "path")
+    assert leaves is not None
+    return leaves, deeper
+
+
+def _unsettled(groups: DataFrame, member: DataFrame) -> DataFrame:
+    """Candidate groups less those whose members are all in one component already: they could add no link between components."""
+    known = groups.join(member, "sid", "left").withColumn("class", F.coalesce("class", "sid"))
+    spanning = known.groupBy("name").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("name")
+    return known.join(spanning, "name", "left_semi")
+
+
 def runs_for(recall: float, threshold: float, rate: float, depth: int) -> int:
     """Runs until a pair at the threshold has met in a small bucket with probability `recall`, if buckets are `depth` splits deep.
 
-    A pair stays on a Poisson number of a path's continuations, threshold * rate on average: a branching process.
+    A pair stays on a Poisson number of a path's continuations: a branching process, whose mean is rate times the share of
+    coordinates on which the pair's sketches agree. Sketches are the same in all runs, so recall is averaged over that share.
     """
-    alive = 1.0
+    share = np.arange(COORDINATES + 1) / COORDINATES
+    weight = np.array([math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k) for k in range(COORDINATES + 1)])
+    alive = np.ones(COORDINATES + 1)
     for _ in range(depth):
-        alive = 1 - math.exp(-threshold * rate * alive)
-    return math.ceil(math.log(1 - recall) / math.log(1 - alive))
+        alive = 1 - np.exp(-share * rate * alive)
+    runs = 1
+    while weight @ (1 - alive) ** runs > 1 - recall:
+        runs += 1
+    return runs
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, seed: int = 11) -> DataFrame:
@@ -238,10 +291,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     2. Chosen path: a path samples coordinates, the same for all its sets, and splits them by their tokens there, on
        average into rate = 1 / threshold longer paths for each set. Buckets of BUCKET sets or fewer leave the recursion;
        larger ones go on, and after MAX_ROUNDS times STEPS splits are taken apart into pairs of blocks. `runs_for` tells how many
-       runs the target recall takes; they go side by side.
+       runs the target recall takes at a depth; they go side by side. Sets that were in a bucket of that depth or deeper walk
+       the further runs that it takes: two sets share as many runs as the deepest bucket they met in asks for.
     3. Brute force in small buckets: estimates from two bits a coordinate single out groups of candidates (five standard
-       deviations below the threshold), equal groups of several buckets are taken once, and exact Jaccard on whole sets verifies them.
-       Each component of a group gives a chain of links, not all pairs.
+       deviations below the threshold), equal groups of several buckets are taken once, those of further runs only if they
+       span components, and exact Jaccard on whole sets verifies them.
+       Each component of a group gives a tree of links, not all pairs.
     4. Components over all chains are the classes. In each class every link is then counted exactly, by pairs of blocks,
        so that links the paths missed inside a class are found as well.
 
@@ -254,34 +309,43 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = sketched.where("size > 0").groupBy("sid", "other", "size").agg(F.min("id").alias("least"), F.count("*").alias("docs"), *(F.first(c).alias(c) for c in ("sketch", "low", "high")))
     sets = materialize(sets.drop("other").dropDuplicates(["sid"]))
 
-    rate = 1 / threshold
-    n_runs = runs_for(recall, threshold, rate, STEPS)
-    roots = F.explode(F.array(*(F.xxhash64(F.lit(seed), F.lit(r)) for r in range(n_runs)))).alias("path")
-    carried = ["sid", "size", "low", "high"]
-    level = sets.select(*carried, "sketch", roots)
-    leaves: DataFrame | None = None
-    for depth in range(1, MAX_ROUNDS + 1):
-        paths = materialize(level.mapInArrow(_choose(rate, STEPS), "path long, sid long, size long, low long, high long"))
-        crowd = materialize(paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
-        counted = materialize(join_facts(paths, crowd, "path", "n").where("n > 1"))
-        large = counted.where(F.col("n") > BUCKET)
-        small = counted if depth == MAX_ROUNDS else counted.where(F.col("n") <= BUCKET)
-        leaves = small if leaves is None else leaves.union(small)
-        if depth == MAX_ROUNDS or large.isEmpty():
+    rate, carried = 1 / threshold, ["sid", "size", "low", "high"]
+    bodies = edges = member = deeper = None
+    first = 0
+    for depth in range(STEPS, MAX_ROUNDS * STEPS + 1, STEPS):
+        walkers = sets
+        if depth > STEPS:
+            walkers = materialize(deeper.where(F.col("depth") >= depth).select("sid").distinct().join(sets, "sid"))
+            if walkers.isEmpty():
+                break
+        last = runs_for(recall, threshold, rate, depth)
+        roots = F.explode(F.array(*(F.xxhash64(F.lit(seed), F.lit(r)) for r in range(first, last)))).alias("path")
+        leaves, went_on = _walk(walkers.select(*carried, "sketch", roots), sets, rate)
+        first = last
+        key = ["path", "i", "j"]
+        met = _in_blocks(leaves, "path", "n", BUCKET).select(*key, *carried)
+        groups = met.repartition(*key).sortWithinPartitions(*key, "sid").mapInArrow(_grouped(key, _candidates(threshold)), "name long, sid long")
+        groups = materialize(groups.distinct())
+        if member is not None:
+            groups = materialize(_unsettled(groups, member))
+        if member is None or not groups.isEmpty():
+            wanted = groups.select("sid").distinct()
+            wanted = wanted if bodies is None else wanted.join(bodies, "sid", "left_anti")
+            wanted = wanted.join(sets.select("sid", "least", "docs"), "sid").select(F.col("least").alias("id"), "sid", "docs")
+            fetched = rows.select("id", "text").join(wanted, "id").mapInArrow(_bodies(n), "sid long, docs long, shingles binary")
+            fetched = materialize(fetched.dropDuplicates(["sid"]))
+            bodies = fetched if bodies is None else bodies.union(fetched)
+            if member is None:
+                groups = groups.withColumn("class", F.col("sid"))
+            verified = groups.join(bodies, "sid").repartition("name").sortWithinPartitions("name", "sid")
+            found = materialize(verified.select("name", "sid", "class", "shingles").mapInArrow(_grouped(["name"], _links(threshold)), "a long, b long"))
+            edges = found if edges is None else edges.union(found)
+            member = materialize(components(edges).select(F.col("node").alias("sid"), F.col("root").alias("class")))
+        if went_on is not None:
+            deeper = went_on if deeper is None else deeper.union(went_on)
+        if deeper is None:
             break
-        level = large.join(sets.select("sid", "sketch"), "sid").select(*carried, "sketch", "path")
-    assert leaves is not None
-    key = ["path", "i", "j"]
-    met = _in_blocks(leaves, "path", "n", BUCKET).select(*key, *carried)
-    groups = met.repartition(*key).sortWithinPartitions(*key, "sid").mapInArrow(_grouped(key, _candidates(threshold)), "name long, sid long")
-    groups = materialize(groups.distinct())
-
-    wanted = groups.select("sid").distinct().join(sets.select("sid", "least", "docs"), "sid").select(F.col("least").alias("id"), "sid", "docs")
-    bodies = rows.select("id", "text").join(wanted, "id").mapInArrow(_bodies(n), "sid long, docs long, shingles binary")
-    bodies = materialize(bodies.dropDuplicates(["sid"]))
-    verified = groups.join(bodies, "sid").repartition("name").sortWithinPartitions("name", "sid")
-    edges = verified.select("name", "sid", "shingles").mapInArrow(_grouped(["name"], _links(threshold)), "a long, b long")
-    member = materialize(components(edges).select(F.col("node").alias("sid"), F.col("root").alias("class")))
+    assert bodies is not None and member is not None
 
     size = materialize(member.groupBy("class").agg(F.count("*").alias("n")))
     in_class = join_facts(member, size, "class", "n").join(bodies, "sid")

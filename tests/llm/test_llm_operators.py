@@ -11,6 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+from corvella.llm import jaccard_join as Jac
 from corvella.llm import toxicity as Tox
 from corvella.llm.bpe import Codec, Utf8Stream, bpe_encode_decode, read_ranks
 from corvella.llm.common import join_facts
@@ -169,6 +170,16 @@ def test_jaccard_classes_against_brute_force(spark):
     assert any(links.values())
 
 
+def test_jaccard_finds_pairs_in_crowded_buckets(spark, monkeypatch):
+    monkeypatch.setattr(Jac, "BUCKET", 16)
+    common, rows = [f"c{i}" for i in range(140)], []
+    for p in range(60):
+        shared = [f"s{p}x{i}" for i in range(22)]
+        rows += [(2 * p + k, " ".join(common + shared + [f"u{p}x{k}x{i}" for i in range(20)])) for k in (0, 1)]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_classes(frame(spark, rows), n=1).collect()}
+    assert got == {i: (i - i % 2, 1) for i, _ in rows}
+
+
 def test_exact_dedup_over_many_partitions(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice(["same", f"t{rng.randrange(40)}", f"u{i}"])) for i in range(400)]
