@@ -27,9 +27,10 @@ LEET = {
 _PLAIN = {ord(c): x for c, x in LEET.items() if c.isalpha() and not c.isascii()}
 #: Costs, as negative log probabilities, of what the channel does to a character.
 SUBSTITUTED, DELETED, DOUBLED, REPEATED = 2.0, 2.5, 6.0, 0.5
-#: A longer token is no obfuscated word (keys, addresses, encoded data); it is taken as it stands.
+#: A longer token is decoded like all others but not remembered: keys, addresses and encoded data seldom come again.
 LONGEST_TOKEN = 48
 _SPACED = re.compile(r"(?<!\w)\w(?:[ .\-_*]\w){2,}(?!\w)")
+_JOINED = re.compile(r"[\s._\-/,:;]+")
 _TRIPLE = re.compile(r"(.)\1\1")
 _ENDS = ".,;:?\"'()[]{}<>#%&*-_~`´’‘“”«»…"
 _TABLE = np.full(256, _OTHER, np.uint8)
@@ -111,9 +112,9 @@ class Restorer:
         """The likeliest reading of a lattice: Viterbi over the last three symbols. ¿ and # are letters and characters left as they are."""
         number = {" ": 0, "¿": _OTHER_LETTER, "#": _OTHER}
         n2 = SYMBOLS**2
-        best: dict[int, tuple[float, str]] = {0: (0.0, "")}
+        best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}  # what is said is a chain (before, out), so that long texts take linear time
         for edges in [*self.lattice(text), [(" ", 0.0)]]:
-            then: dict[int, tuple[float, str]] = {}
+            then: dict[int, tuple[float, tuple]] = {}
             for state, (cost, said) in best.items():
                 for out, price in edges:
                     at, total = state, cost + price
@@ -123,26 +124,36 @@ class Restorer:
                         total += self.costs[at * SYMBOLS + s]
                         at = (at % n2) * SYMBOLS + s
                     if at not in then or total < then[at][0]:
-                        then[at] = (total, said + out)
+                        then[at] = (total, (said, out))
             best = then if len(then) <= 64 else dict(sorted(then.items(), key=lambda x: x[1][0])[:64])
-        return min(best.values())[1].strip()
+        said, outs = min(best.values(), key=lambda x: x[0])[1], []
+        while said:
+            said, out = said
+            outs.append(out)
+        return "".join(reversed(outs)).strip()
 
     def words(self, token: str) -> tuple[str, ...]:
         """What a lower-cased token says: itself without marks at its ends, and if it looks obfuscated its decoded words."""
         got = self.known.get(token)
         if got is None:
-            if len(self.known) > self.memory:
-                self.known.clear()
             bare = token.strip(_ENDS).rstrip("!")
             if bare.isalpha() and not _TRIPLE.search(bare):
                 got = (bare,) if bare.isascii() else tuple(dict.fromkeys((bare, bare.translate(_PLAIN))))
-            elif not any(c.isalpha() or c in LEET for c in bare) or len(bare) > LONGEST_TOKEN:
+            elif not any(c.isalpha() or c in LEET for c in bare):
                 got = (bare,)
             else:
-                got = tuple(dict.fromkeys((bare, *self.decode(bare).split())))
-            self.known[token] = got
+                got = tuple(dict.fromkeys((bare, *self.decode(bare).split(), *self.parts(bare))))
+            if len(token) <= LONGEST_TOKEN:
+                if len(self.known) > self.memory:
+                    self.known.clear()
+                self.known[token] = got
         return got
 
+    def parts(self, token: str) -> list[str]:
+        """What the words of a token say that dots, underscores and the like join: as they stand, and decoded if they look obfuscated."""
+        said = [x for x in _JOINED.split(token) if len(x) > 1]
+        return [w for x in said if x != token for w in self.words(x)]
+
     def restored(self, text: str) -> set[str]:
         """All words of a text after restoration, spaced-out words included."""
         text = text.lower()
@@ -151,8 +162,7 @@ class Restorer:
         for token in set(text.split()):
             out.update(known(token) or self.words(token))
         for m in _SPACED.finditer(text):
-            if len(m[0]) <= 2 * LONGEST_TOKEN:
-                out.update(self.words(re.sub(r"[.\-_*]", " ", m[0])))
+            out.update(self.words(re.sub(r"[.\-_*]", " ", m[0])))
         return out
 
 
@@ -253,7 +263,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     * A null or empty text has no words: its score is that of a text with no word of the lexicon. Null ids are not held
       out and never labelled. Repeated rows are scored alike; of several labels for an id the largest holds.
     * Without labels of both kinds every score is the share of label 1, or a small one. An empty table gives an empty result.
-    * Decoding looks at tokens of at most LONGEST_TOKEN characters; longer ones are taken as they stand.
+    * Tokens and spaced-out words are decoded whole, however long they are.
     """
     costs = docs.sparkSession.sparkContext.broadcast(character_model(docs, text_col))
     lexicon, weights = train(docs, labels, costs, id_col, text_col, label_col, max_labelled)

@@ -336,6 +336,22 @@ def test_toxicity_learns_and_sees_through_disguise(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def restorer():
+    counts = np.ones((Tox.SYMBOLS,) * 4)
+    said = "   you are a worthless idiot and a moron or scum or a clown said the other one with a good letter   " * 50
+    codes = Tox._TABLE[np.frombuffer(said.encode(), np.uint8)].astype(int)
+    np.add.at(counts, (codes[:-3], codes[1:-2], codes[2:-1], codes[3:]), 1)
+    return Tox.Restorer(-np.log(counts / counts.sum(axis=-1, keepdims=True)).astype(np.float32))
+
+
+def test_toxicity_decodes_at_any_length():
+    r, spaced = restorer(), " ".join("youareaworthlessidiot" * 4)
+    assert len(spaced) > 96 and {"worthless", "idiot"} <= r.restored(spaced)
+    assert "idiot" in r.restored("an idi" + "o" * 60 + "t")
+    assert {"idiot", "scum"} <= r.restored(".".join(["you"] * 15 + ["idiot", "sc0m", "scum"]))
+    assert "idiot" in r.restored("_".join(["other"] * 10 + ["1d10t"]))
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
