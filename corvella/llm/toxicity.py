@@ -29,10 +29,15 @@ _PLAIN = {ord(c): x for c, x in LEET.items() if c.isalpha() and not c.isascii()}
 SUBSTITUTED, DELETED, DOUBLED, REPEATED = 2.0, 2.5, 6.0, 0.5
 #: A longer token is decoded like all others but not remembered: keys, addresses and encoded data seldom come again.
 LONGEST_TOKEN = 48
-_SPACED = re.compile(r"(?<!\w)\w(?:[ .\-_*]\w){2,}(?!\w)")
+#: Single characters, or symbols read as letters, with any separators between them; a * is a letter only between separators.
+_SPACED = re.compile(r"(?<!\w)(?:\*[\s.\-_]+)?(?:[^\W_]|[@$!|+(<€£¡])(?:[\s.\-_*]+(?:[^\W_]|[@$!|+(<€£¡])){2,}(?:[\s.\-_]+\*)?(?!\w)")
+_SEPARATORS = re.compile(r"(?<![\s.\-_])\*(?=.)|(?<=.)\*(?![\s.\-_]|$)|[\s.\-_]+")
 _JOINED = re.compile(r"[\s._\-/,:;]+")
 _TRIPLE = re.compile(r"(.)\1\1")
+_DOUBLE = re.compile(r"(.)\1")
 _ENDS = ".,;:?\"'()[]{}<>#%&*-_~`´’‘“”«»…"
+#: Marks that no letter is written as; what else stands at a token's ends may be a mark or a letter.
+_MARKS = "".join(c for c in _ENDS if c not in LEET)
 _TABLE = np.full(256, _OTHER, np.uint8)
 _TABLE[[9, 10, 11, 12, 13, 32]] = 0
 _TABLE[97:123] = np.arange(1, 27)
@@ -137,12 +142,17 @@ class Restorer:
         got = self.known.get(token)
         if got is None:
             bare = token.strip(_ENDS).rstrip("!")
+            whole = token.strip(_MARKS)
             if bare.isalpha() and not _TRIPLE.search(bare):
                 got = (bare,) if bare.isascii() else tuple(dict.fromkeys((bare, bare.translate(_PLAIN))))
+                if _DOUBLE.search(bare):
+                    got = tuple(dict.fromkeys((*got, *self.decode(bare).split())))
             elif not any(c.isalpha() or c in LEET for c in bare):
                 got = (bare,)
             else:
                 got = tuple(dict.fromkeys((bare, *self.decode(bare).split(), *self.parts(bare))))
+            if whole != bare and any(c.isalpha() for c in whole):
+                got = tuple(dict.fromkeys((*got, *self.decode(whole).split())))
             if len(token) <= LONGEST_TOKEN:
                 if len(self.known) > self.memory:
                     self.known.clear()
@@ -162,7 +172,7 @@ class Restorer:
         for token in set(text.split()):
             out.update(known(token) or self.words(token))
         for m in _SPACED.finditer(text):
-            out.update(self.words(re.sub(r"[.\-_*]", " ", m[0])))
+            out.update(self.words(" ".join(_SEPARATORS.sub(" ", m[0]).split())))
         return out
 
 
@@ -255,8 +265,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     with carry=True the whole row comes along instead, as the struct `doc`, and nothing has to be joined to filter documents.
 
     1. A character model is counted over all texts.
-    2. Tokens that look obfuscated - letters mixed with other characters, characters three times or more in a row, words
-       spaced out letter by letter - become lattices, and Viterbi decoding under the model restores them.
+    2. Tokens that look obfuscated - letters mixed with other characters (at their ends too, where these may stand for
+       letters), characters twice or more in a row, words spaced out letter by letter with any separators - become lattices, and Viterbi decoding under the model restores them.
     3. A lexicon is learned from labelled rows (at most `max_labelled` of them) whose crc32(id as text) mod 5 is not 0, and
        every restored text is scored. Only texts enter a score.
 

@@ -352,6 +352,11 @@ def test_toxicity_decodes_at_any_length():
     assert "idiot" in r.restored("_".join(["other"] * 10 + ["1d10t"]))
 
 
+@pytest.mark.parametrize(("text", "word"), [("iddiott", "idiot"), ("mmoron", "moron"), ("sccum", "scum"), ("i d ! o t", "idiot"), ("i  d  i  o  t", "idiot"), ("i\td\ni\to\tt", "idiot"), ("i d * o t", "idiot"), ("i*d*i*o*t", "idiot"), ("*diot", "idiot"), ("idi*t", "idiot"), ("m*ron.", "moron"), ("(lown", "clown"), ("<lown,", "clown"), ("a good letter", "good")])
+def test_toxicity_takes_usual_disguises_to_the_lattice(text, word):
+    assert word in restorer().restored(f"you {text} there")
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
