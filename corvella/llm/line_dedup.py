@@ -15,7 +15,7 @@ from corvella.llm.textops import Runs, slices
 
 
 def _windows(width: int):
-    """(_id, _th, pos, window): the 128-bit hash of each run of `width` consecutive lines and the number of its first line."""
+    """(_id, _th, pos, window): two independent 64-bit hashes of each run of `width` consecutive lines, from the lines up, and the number of its first line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -24,13 +24,12 @@ def _windows(width: int):
                 end = np.flatnonzero(data == 10)
                 start = np.append(0, end[:-1] + 1)
                 first = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)]))  # of each text's lines
-                hashes = Runs(data).hash(start, end)
-                forth, back = Runs(hashes).grams(width), Runs(hashes[::-1].copy()).grams(width)[::-1]
-                at = np.arange(len(forth))
+                one, two = (Runs(Runs(data, which).hash(start, end), which).grams(width) for which in (0, 1))
+                at = np.arange(len(one))
                 doc = np.searchsorted(first, at, side="right") - 1
                 inside = at + width <= first[doc + 1]
                 at, doc = at[inside], doc[inside]
-                keys = pa.py_buffer(np.stack([forth[at], back[at]], axis=1).tobytes())
+                keys = pa.py_buffer(np.stack([one[at], two[at]], axis=1).tobytes())
                 picked = pa.array(begin + doc)
                 yield pa.RecordBatch.from_pydict({
                     "_id": batch["_id"].take(picked), "_th": batch["_th"].take(picked), "pos": pa.array((at - first[doc]).astype(np.int32)),

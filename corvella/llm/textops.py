@@ -10,9 +10,10 @@ import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
 SLICE_BYTES = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+_PRIME = np.uint64((1 << 31) - 1)
+#: Two independent streams of a hash, for each of two hashes: bases drawn once at random below the prime (fixed values).
+_BASES = ((1_284_865_837, 603_472_391), (1_937_042_159, 1_106_289_641))
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def byte_class(pattern: bytes) -> np.ndarray:
@@ -68,31 +69,57 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n or more."""
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 4096)
-        with np.errstate(over="ignore"):
-            _powers = tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, b, np.uint64), dtype=np.uint64)]) for b in (_BASE, _INVERSE))
-    return _powers
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo the prime for i below n or more."""
+    known = _powers.get(base)
+    if known is None or len(known[0]) < n:
+        size, out = max(n, SLICE_BYTES + 4096), []
+        for b in (base, pow(base, -1, int(_PRIME))):
+            p = np.ones(size, np.uint32)
+            have = 1
+            while have < size:
+                step = min(have, size - have)
+                p[have : have + step] = p[:step] * np.uint64(pow(b, have, int(_PRIME))) % _PRIME
+                have += step
+            out.append(p)
+        known = _powers[base] = out[0], out[1]
+    return known
 
 
 class Runs:
-    """Hashes of runs [start, end) of a sequence of numbers: equal runs have equal hashes wherever they start."""
-
-    def __init__(self, units: np.ndarray):
-        self.up, self.down = powers(len(units) + 1)
-        self.sums = np.zeros(len(units) + 1, np.uint64)
-        np.cumsum((units.astype(np.uint64) + np.uint64(1)) * self.up[: len(units)], out=self.sums[1:])
+    """Hashes of runs [start, end) of a sequence of numbers: equal runs have equal hashes wherever they start.
+
+    A hash is two polynomials modulo the prime 2**31 - 1 in bases drawn at random, so no family of strings is prone to
+    collide (as some are modulo a power of two): two runs of n units do with a probability of at most (n / 2**31)**2.
+    Numbers of 64 bits must be hashes themselves; each polynomial takes a half of their bits. The hashes of `which` 0 and 1
+    are independent of each other.
+    """
+
+    def __init__(self, units: np.ndarray, which: int = 0):
+        n = len(units)
+        halves = (units & _PRIME, units >> np.uint64(33)) if units.dtype == np.uint64 else (units, units)
+        self.streams = []
+        for base, unit in zip(_BASES[which], halves, strict=True):
+            up, down = powers(base, n + 1)
+            sums = np.zeros(n + 1, np.uint64)
+            term = unit.astype(np.uint64)
+            term += np.uint64(1)
+            term *= up[:n]
+            term %= _PRIME
+            np.cumsum(term, out=sums[1:])
+            self.streams.append((sums, down))
+
+    def _joined(self, differences: list[np.ndarray], size: np.ndarray | np.uint64) -> np.ndarray:
+        high, low = differences
+        return mix((high << np.uint64(31) | low) ^ (size << np.uint64(32)))
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+        return self._joined([(sums[end] - sums[start]) % _PRIME * down[start] % _PRIME for sums, down in self.streams], (end - start).astype(np.uint64))
 
     def grams(self, k: int) -> np.ndarray:
         """The hash of each run of k units."""
-        n = max(0, len(self.sums) - k)
-        return mix((self.sums[k : k + n] - self.sums[:n]) * self.down[:n] + np.uint64(k))
+        n = max(0, len(self.streams[0][0]) - k)
+        return self._joined([(sums[k : k + n] - sums[:n]) % _PRIME * down[:n] % _PRIME for sums, down in self.streams], np.uint64(k))
 
 
 class Words:

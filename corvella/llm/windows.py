@@ -251,8 +251,7 @@ def _window_rows(scheme: Scheme):
             for id_, th, start, piece in zip(batch["id"].to_pylist(), batch["th"].to_pylist(), batch["start"].to_pylist(), batch["piece"].to_pylist(), strict=True):
                 units, _ = scheme.units([piece])
                 runs, at = Runs(units), np.arange(len(units) - scheme.window + 1)
-                other = Runs(units[::-1].copy())  # a second hash, of the units in reverse
-                h2 = other.hash(len(units) - at - scheme.window, len(units) - at)
+                h2 = Runs(units, 1).hash(at, at + scheme.window)
                 n = len(at)
                 yield _batch({"h1": runs.hash(at, at + scheme.window).view(np.int64), "h2": h2.view(np.int64), "id": np.full(n, id_), "th": np.full(n, th), "start": start + at})
 
