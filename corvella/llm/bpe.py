@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+import struct
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -13,16 +14,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvella.llm.common import bounded_batches
 from corvella.llm.textops import kept_by_worker
 
 #: Pieces that a worker remembers at most; of determinised states it keeps 2 for 5 pieces, of valid pairs 4.
-MAX_PIECES = 500_000
+MAX_PIECES = 160_000
 #: States are met anew after so many times that the pieces were forgotten.
 RENEWAL = 8
 #: Rows that a worker encodes before it hands them on.
 ROWS = 512
 _ROOT = 0
 _NEVER = 1 << 60
+_NONE: dict = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,28 +46,30 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], pieces: int = MAX_PIECES):
         self.max_states, self.max_pairs = pieces * 2 // 5, pieces * 4 // 5
         self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
-        self.children: list[dict[int, int]] = [{}]
+        self.children: list[dict[int, int]] = [{}]  # of leaves: the same empty one
         self.token: list[int] = [-1]
         for text, rank in ranks.items():
             node = _ROOT
             for byte in text:
                 node = self.children[node].get(byte) or self._grow(node, byte)
             self.token[node] = rank
-        self.valid: dict[tuple[int, int], bool] = {}
-        self.right: dict[int, list] = {}
-        self.left: dict[int, list] = {}
+        self.valid: dict[int, bool] = {}
+        self.right: dict[int, tuple[bytes, ...]] = {}
+        self.left: dict[int, tuple[bytes, ...]] = {}
         self.forget()
 
     def _grow(self, node: int, byte: int) -> int:
-        self.children.append({})
+        self.children.append(_NONE)
         self.token.append(-1)
+        if self.children[node] is _NONE:
+            self.children[node] = {}
         self.children[node][byte] = len(self.token) - 1
         return len(self.token) - 1
 
     def forget(self) -> None:
         self.number: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.arcs: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}  # by state and byte
         self.start = self._state((((), -1, _ROOT),))
 
     def _state(self, runs: tuple) -> int:
@@ -72,7 +77,6 @@ class Transducer:
         if n is None:
             n = self.number[runs] = len(self.states)
             self.states.append(runs)
-            self.arcs.append({})
         return n
 
     def merge(self, text: bytes, down_to: int = 1) -> list[bytes]:
@@ -85,62 +89,78 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _edge(self, token: bytes, side: int) -> list[tuple[bytes, int, int]]:
-        """The parts that lie at one end (0 left, -1 right) while merges build the token: bytes, rank of birth, rank of the merge that ends it."""
-        out, ended = [], _NEVER
-        while True:
-            born = self.ranks[token] if len(token) > 1 else -1
-            out.append((token, born, ended))
-            if len(token) == 1:
-                return out
-            token, ended = self.merge(token, 2)[side], born
+    def _edge(self, token: bytes, side: int) -> tuple[bytes, ...]:
+        """The parts that lie at one end (0 left, -1 right) while merges build the token, from its first or last byte to itself."""
+        out = [token]
+        while len(token) > 1:
+            token = self.merge(token, 2)[side]
+            out.append(self.bytes_of.get(self.ranks.get(token, -1), token))
+        return tuple(reversed(out))
 
     def _may_follow(self, before: int, token: int) -> bool:
         """Whether the encoding of the two tokens' bytes is the two tokens; before -1: whether the token's own is the token.
 
         It is not if some part at the right end of the first and some part at the left end of the second live at the same
-        time and have a union that ranks before what either is merged into (of equal ranks the left merge goes first).
+        time and have a union that ranks before what either is merged into (of equal ranks the left merge goes first). A
+        part lives from its own rank (a byte: from the beginning) to the rank of the next larger part.
         """
-        pair = (before, token)
-        ok = self.valid.get(pair)
-        if ok is None:
+        if before < 0:
             text = self.bytes_of[token]
-            if before < 0:
-                ok = self.merge(text) == [text]
-            elif not self._may_follow(-1, token):
-                ok = False
-            else:
-                rights = self.right.get(before) or self.right.setdefault(before, self._edge(self.bytes_of[before], -1))
-                lefts = self.left.get(token) or self.left.setdefault(token, self._edge(text, 0))
-                rank = self.ranks.get
-                ok = not any(
-                    (z := rank(x + y)) is not None and z < x_end and z <= y_end and max(x_born, y_born) < min(x_end, y_end)
-                    for x, x_born, x_end in rights for y, y_born, y_end in lefts
-                )
-            self.valid[pair] = ok
+            ok = self.merge(text) == [text]
+        elif not self.may_follow(-1, token):
+            ok = False
+        else:
+            rank, ok = self.ranks.get, True
+            rights = self.right.get(before) or self.right.setdefault(before, self._edge(self.bytes_of[before], -1))
+            lefts = self.left.get(token) or self.left.setdefault(token, self._edge(self.bytes_of[token], 0))
+            i = j = 0
+            while True:
+                x, y = rights[i], lefts[j]
+                x_end = rank(rights[i + 1]) if i + 1 < len(rights) else _NEVER
+                y_end = rank(lefts[j + 1]) if j + 1 < len(lefts) else _NEVER
+                z = rank(x + y)
+                if z is not None and z < x_end and z <= y_end:
+                    ok = False
+                    break
+                if x_end == y_end == _NEVER:
+                    break
+                i += x_end <= y_end
+                j += y_end <= x_end
+        self.valid[(before + 1) << 20 | token] = ok
         return ok
 
+    def may_follow(self, before: int, token: int) -> bool:
+        ok = self.valid.get((before + 1) << 20 | token)
+        return self._may_follow(before, token) if ok is None else ok
+
     def _step(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
         """Determinise one step: the runs open after it and the tokens given out on the way."""
-        runs, ended = [], None
+        children, tokens, valid = self.children, self.token, self.valid
+        runs, ended, empty = [], None, False
         for owed, before, node in state:
-            node = self.children[node].get(byte)
+            node = children[node].get(byte)
             if node is None:
                 continue
-            token = self.token[node]
-            if token >= 0 and ended is None and self._may_follow(before, token):
-                ended = (*owed, token)
-            if self.children[node]:
+            if ended is None:
+                token = tokens[node]
+                if token >= 0:
+                    ok = valid.get((before + 1) << 20 | token)
+                    if self._may_follow(before, token) if ok is None else ok:
+                        ended = (*owed, token)
+            if children[node]:
                 runs.append((owed, before, node))
+                empty = empty or not owed
         if ended is not None:
             runs.append((ended, ended[-1], _ROOT))
-        shared = min([len(r[0]) for r in runs])
-        if not shared:
+        if empty:
             return tuple(runs), ()
         first = runs[0][0]
-        while any(r[0][:shared] != first[:shared] for r in runs):
+        if len(runs) == 1:
+            return (((), *runs[0][1:]),), first
+        shared = min([len(r[0]) for r in runs])
+        while any([r[0][:shared] != first[:shared] for r in runs]):
             shared -= 1
-        return tuple((o[shared:], b, n) for o, b, n in runs), first[:shared]
+        return tuple([(o[shared:], b, n) for o, b, n in runs]), first[:shared]
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """The ids of one piece; one that is a token itself gives that token.
@@ -155,7 +175,7 @@ class Transducer:
         number, runs, arcs, out = self.start, None, self.arcs, []
         for byte in piece:
             if number is not None:
-                arc = arcs[number].get(byte)
+                arc = arcs.get(number << 8 | byte)
                 if arc is not None:
                     number = arc[0]
                     if arc[1]:
@@ -163,12 +183,13 @@ class Transducer:
                     continue
                 runs = self.states[number]
             after, given = self._step(runs, byte)
-            out.extend(given)
+            if given:
+                out.extend(given)
             to = self.number.get(after)
             if to is None and len(self.states) < self.max_states:
                 to = self._state(after)
             if number is not None and to is not None:
-                arcs[number][byte] = (to, given)
+                arcs[number << 8 | byte] = (to, given)
             number, runs = to, after
         out.extend((self.states[number] if number is not None else runs)[-1][0])  # the run that ends here is the last one
         return out
@@ -219,7 +240,7 @@ class Codec:
             if self.renewed % RENEWAL == 0:
                 self.transducer.forget()
         ids = self.transducer.encode_piece(piece.encode("utf-8"))
-        packed = b"".join(i.to_bytes(4, "little") for i in ids)
+        packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
             self.known[piece] = packed
         return packed
@@ -238,9 +259,17 @@ class Codec:
         stream.close()
 
 
-def _codec(shared, pattern: str, pieces: int) -> Codec:
-    """This worker's codec; one is compiled for each broadcast vocabulary."""
-    return kept_by_worker(f"codec {id(shared)} {pieces}", lambda: Codec(shared.value, pattern, pieces))
+def digest_of(ranks: dict[bytes, int], pattern: str) -> str:
+    """What tells vocabularies and patterns apart."""
+    own = hashlib.sha256(pattern.encode())
+    for token, rank in sorted(ranks.items()):
+        own.update(b"%d %d " % (rank, len(token)) + token)
+    return own.hexdigest()
+
+
+def _codec(shared, digest: str, pattern: str, pieces: int) -> Codec:
+    """This worker's codec; one is compiled for each vocabulary."""
+    return kept_by_worker(f"codec {digest} {pieces}", lambda: Codec(shared.value, pattern, pieces))
 
 
 def bpe_encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, pieces: int = MAX_PIECES) -> DataFrame:
@@ -253,10 +282,12 @@ def bpe_encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: st
     * Texts of any length are encoded whole: memory is that of one text and its ids. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(read_ranks(vocabulary))
+    bounded_batches(spark)
+    ranks = read_ranks(vocabulary)
+    shared, digest = spark.sparkContext.broadcast(ranks), digest_of(ranks, pattern)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared, pattern, pieces)
+        codec = _codec(shared, digest, pattern, pieces)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):  # few rows at a time bound what texts and ids take
                 yield part(codec, whole.slice(at, ROWS))

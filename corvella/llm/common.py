@@ -10,10 +10,19 @@ from pyspark.sql import functions as F
 
 #: At most this many keys can each hold more than 1/HOT_KEYS of all rows, so a table of them is always small.
 HOT_KEYS = 1024
+#: Bytes of rows that a Python worker gets at once: documents may be long, and several batches are in memory at a time.
+BATCH_BYTES = 4 << 20
 #: Stands for a null id where rows are ordered or joined by id; it sorts before every other.
 NULL_ID = -(2**63)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Have Spark hand rows to Python workers in batches of at most BATCH_BYTES, unless the session sets a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("64m", "64MB", "67108864b", "67108864"):
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory; the path may be of any store that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,6 +47,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, rows: int, per_task: int = 50_000) -> DataFrame:
+    """The rows in as many partitions as `rows`, their number, asks for, where that is fewer than a shuffle makes.
+
+    Iterations over small tables are then not all task starts, also where adaptive execution is off.
+    """
+    parts = max(1, -(-rows // per_task))
+    return df.coalesce(parts) if parts < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def safe_id(column: str | Column) -> Column:
     """An id as long; null becomes NULL_ID."""
     column = F.col(column) if isinstance(column, str) else column
