@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvella.llm.textops import kept_by_worker, slices
+from corvella.llm.common import bounded_batches, materialize
+from corvella.llm.textops import Runs, kept_by_worker, slices
 
 # Symbols of the language model: 0 a word's end, 1-26 the letters, 27 any other letter, 28 any other character.
 SYMBOLS = 29
@@ -44,8 +49,60 @@ _TABLE[97:123] = np.arange(1, 27)
 _TABLE[65:91] = np.arange(1, 27)
 _TABLE[128:192] = 255  # goes with the byte before
 _TABLE[192:] = _OTHER_LETTER
-#: Words a lexicon has at most, rows of labels it is learned from at most, and how far a word must stand out.
-MAX_LEXICON, MAX_LABELLED, LEAST_Z, LEAST_CONTEXTS = 256, 20_000, 6.0, 8
+#: Words a lexicon has at most, and rows of labels it is learned from at most.
+MAX_LEXICON, MAX_LABELLED = 4096, 20_000
+#: The share of a lexicon that may be there by chance, and the least logarithm of odds that a word must add.
+FALSE_WORDS, LEAST_ODDS = 0.1, 1.5
+#: Texts that are looked at together.
+ROWS = 256
+#: Letters outside ASCII that are written for consonants, and what of them a skeleton has (fixed values).
+_CONSONANTS = {"ß": "b", "ç": "c", "ñ": "n", "р": "p", "с": "c", "х": "x", "у": "y"}
+#: What a skeleton has of a byte: nothing of what may be a vowel, an l, or nothing; the same for what may be one letter or another.
+_BONES = np.zeros(256, np.uint8)
+for _i, _c in enumerate("bcdfhjkmnpqrstvwxyz", 1):
+    _BONES[ord(_c)] = _i
+for _c, _as in {"g": "b", "6": "b", "8": "b", "9": "b", "2": "z", "5": "s", "7": "t"}.items():
+    _BONES[ord(_c)] = _BONES[ord(_as)]
+#: Characters that may be a consonant or nothing: no skeleton tells, so tokens with them are always decoded.
+_EITHER = np.isin(np.arange(256), list(b"$+(<"))
+_BREAK = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+_BLANKS = [c for c in map(chr, range(128, 0x3001)) if c.isspace()]
+_JOINT = np.isin(np.arange(256), list(b"._-/,:;")) | _BREAK
+
+
+def skeletons(data: bytes, joints: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, skeleton, unclear) of each token of lower-cased UTF-8 text: a hash of its consonants, runs of the same one counted once.
+
+    Whatever a lattice makes of a token, its consonants are the token's own but for repetition, so a token can't say a word
+    with another skeleton unless it is `unclear`. With joints=True what dots, underscores and the like join are tokens.
+    """
+    raw = np.frombuffer(data, np.uint8)
+    inside = ~(_JOINT if joints else _BREAK)[raw]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    start, stop = edges[0::2], edges[1::2]
+    bones = _BONES[raw]
+    at = np.flatnonzero(bones)
+    token = np.searchsorted(stop, at, side="right")
+    kept = bones[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (kept[1:] != kept[:-1]) | (token[1:] != token[:-1])
+    kept, token = kept[new], token[new]
+    first = np.searchsorted(token, np.arange(len(start) + 1))
+    unclear = np.zeros(len(start), bool)
+    unclear[np.searchsorted(stop, np.flatnonzero(_EITHER[raw]), side="right")] = True
+    return start, stop, Runs(kept).hash(first[:-1], first[1:]), unclear
+
+
+def _skeleton_text(text: str) -> bytes:
+    """Lower-cased text in which letters outside ASCII that stand for consonants are these, and other blanks are spaces: it has the same tokens."""
+    if not text.isascii():
+        for c, x in _CONSONANTS.items():
+            if c in text:
+                text = text.replace(c, x)
+        for c in _BLANKS:
+            if c in text:
+                text = text.replace(c, " ")
+    return text.encode("utf-8", "replace")
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +140,7 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 class Restorer:
     """Decodes obfuscated words; remembers what it has decoded."""
 
-    def __init__(self, costs: np.ndarray, memory: int = 200_000):
+    def __init__(self, costs: np.ndarray, memory: int = 50_000):
         self.costs, self.memory = costs.reshape(-1).tolist(), memory
         self.known: dict[str, tuple[str, ...]] = {}
 
@@ -114,7 +171,7 @@ class Restorer:
         return out
 
     def decode(self, text: str) -> str:
-        """The likeliest reading of a lattice: Viterbi over the last three symbols. ¿ and # are letters and characters left as they are."""
+        """The likeliest reading of a lattice: Viterbi over the last three symbols, exact. ¿ and # are letters and characters left as they are."""
         number = {" ": 0, "¿": _OTHER_LETTER, "#": _OTHER}
         n2 = SYMBOLS**2
         best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}  # what is said is a chain (before, out), so that long texts take linear time
@@ -130,7 +187,7 @@ class Restorer:
                         at = (at % n2) * SYMBOLS + s
                     if at not in then or total < then[at][0]:
                         then[at] = (total, (said, out))
-            best = then if len(then) <= 64 else dict(sorted(then.items(), key=lambda x: x[1][0])[:64])
+            best = then
         said, outs = min(best.values(), key=lambda x: x[0])[1], []
         while said:
             said, out = said
@@ -164,6 +221,11 @@ class Restorer:
         said = [x for x in _JOINED.split(token) if len(x) > 1]
         return [w for x in said if x != token for w in self.words(x)]
 
+    def spaced(self, text: str) -> Iterator[str]:
+        """Words of a lower-cased text that are spaced out letter by letter."""
+        for m in _SPACED.finditer(text):
+            yield from self.words(" ".join(_SEPARATORS.sub(" ", m[0]).split()))
+
     def restored(self, text: str) -> set[str]:
         """All words of a text after restoration, spaced-out words included."""
         text = text.lower()
@@ -171,49 +233,121 @@ class Restorer:
         known = self.known.get
         for token in set(text.split()):
             out.update(known(token) or self.words(token))
-        for m in _SPACED.finditer(text):
-            out.update(self.words(" ".join(_SEPARATORS.sub(" ", m[0]).split())))
+        out.update(self.spaced(text))
         return out
 
 
-def _restorer(shared) -> Restorer:
-    return kept_by_worker(f"restorer {id(shared)}", lambda: Restorer(shared.value))
-
-
-def _evidence(shared):
+class Finder:
+    """Finds the words of a lexicon in whole texts after restoration: what `Restorer.restored` has of it, but only tokens
+    with the skeleton of a word of the lexicon are decoded."""
+
+    def __init__(self, restorer: Restorer, lexicon: Iterable[str]):
+        self.restorer, self.lexicon = restorer, set(lexicon)
+        hashes = [skeletons(_skeleton_text(w), joints=False)[2] for w in self.lexicon]
+        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]))
+
+    def found(self, texts: list[str | None]) -> list[list[str]]:
+        """For each text the words of the lexicon that it says, sorted."""
+        if not self.lexicon:
+            return [[] for _ in texts]
+        texts = [(t or "").lower() for t in texts]
+        out = [set(self.restorer.spaced(t)) & self.lexicon for t in texts]
+        plain = [_skeleton_text(t) for t in texts]
+        data = b"\n".join(plain) + b"\n"
+        start, stop, skeleton, unclear = skeletons(data, joints=False)
+        wanted = unclear | np.isin(skeleton, self.known)
+        part, _, skeleton, _ = skeletons(data, joints=True)
+        wanted[np.searchsorted(start, part[np.isin(skeleton, self.known)], side="right") - 1] = True  # decoded with its parts
+        first = np.searchsorted(start, np.cumsum([0, *(len(x) + 1 for x in plain)]))  # of each text's tokens
+        at = np.flatnonzero(wanted)
+        doc = np.searchsorted(first, at, side="right") - 1
+        tokens: list[str] = []
+        last = -1
+        for d, i in zip(doc.tolist(), (at - first[doc]).tolist(), strict=True):
+            if d != last:
+                tokens, last = texts[d].split(), d
+            out[d].update(w for w in self.restorer.words(tokens[i]) if w in self.lexicon)
+        return [sorted(x) for x in out]
+
+
+def _restorer(shared, model: str) -> Restorer:
+    """This worker's restorer; `model` tells character models apart."""
+    return kept_by_worker(f"restorer {model}", lambda: Restorer(shared.value))
+
+
+def _evidence(shared, model: str):
     """For each word of a labelled text: the word, a hash of the words around it, and the label."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = _restorer(shared)
-        for batch in batches:
-            words, around, labels = [], [], []
-            for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist(), strict=True):
-                tokens = (text or "").lower().split()
-                seen: set[str] = set()
-                for i, token in enumerate(tokens):
-                    if token in seen:
-                        continue
-                    seen.add(token)
-                    near = " ".join(tokens[max(0, i - 2) : i + 3])
-                    for w in restorer.words(token):
-                        words.append(w)
-                        around.append(near)
-                        labels.append(label)
-            yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "around": pa.array(around, pa.string()), "label": pa.array(labels, pa.int64())})
+        restorer = _restorer(shared, model)
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(first, ROWS)
+                words, around, labels = [], [], []
+                for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist(), strict=True):
+                    tokens = (text or "").lower().split()
+                    seen: set[str] = set()
+                    for i, token in enumerate(tokens):
+                        if token in seen:
+                            continue
+                        seen.add(token)
+                        said = restorer.words(token)
+                        near = xxhash.xxh3_64_intdigest(" ".join(tokens[max(0, i - 2) : i + 3]).encode("utf-8", "replace")) >> 1
+                        words += said
+                        around += [near] * len(said)
+                        labels += [label] * len(said)
+                yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "around": pa.array(around, pa.int64()), "label": pa.array(labels, pa.int64())})
 
     return run
 
 
-def _presence(shared, lexicon: list[str]):
+def _presence(shared, model: str, lexicon: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, index = _restorer(shared), {w: i for i, w in enumerate(lexicon)}
-        for batch in batches:
-            found = [sorted(index[w] for w in restorer.restored(t or "") if w in index) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_pydict({"label": batch["label"], "found": pa.array(found, pa.list_(pa.int32()))})
+        finder, index = Finder(_restorer(shared, model), lexicon), {w: i for i, w in enumerate(lexicon)}
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(first, ROWS)
+                found = [sorted(index[w] for w in ws) for ws in finder.found(batch["text"].to_pylist())]
+                yield pa.RecordBatch.from_pydict({"label": batch["label"], "found": pa.array(found, pa.list_(pa.int32()))})
 
     return run
 
 
+def _tail(n: int, k: int, p: float) -> float:
+    """The probability that of n draws k or more hit (k above the mean; else k or fewer); for many draws a bound of it."""
+    up = k >= n * p
+    if n > 300:
+        share = k / n
+        return math.exp(-n * sum(x * math.log(x / q) for x, q in ((share, p), (1 - share, 1 - p)) if x > 0))
+    hits = range(k, n + 1) if up else range(k + 1)
+    return min(1.0, sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in hits))
+
+
+def telling(counts: Iterable[tuple[int, int, int]], base: float) -> list[tuple[int, int, float]]:
+    """Which (contexts n, of these with label 1 k) make a word of the lexicon, and how telling it is, from (n, k, words that have them).
+
+    Words with about as many contexts are tested together (n = 2, 3, 4, 5 to 8, 9 to 16 and so on), so that rare words,
+    which are many, don't hide what few labels can tell: as many are taken as keep the expected share of chance words
+    below FALSE_WORDS (Benjamini and Hochberg). A word must also add LEAST_ODDS, shrunk as if seen once more at the base rate.
+    """
+    groups: dict[int, list[tuple[float, int, int, int]]] = defaultdict(list)
+    for n, k, words in counts:
+        groups[n if n <= 4 else (n - 1).bit_length() + 2].append((_tail(n, k, base), n, k, words))
+    out = []
+    for group in groups.values():
+        group.sort()
+        m, rank, last = sum(x[3] for x in group), 0, -1.0
+        for p, _, _, words in group:
+            rank += words
+            if p * m <= FALSE_WORDS * rank:
+                last = p
+        for p, n, k, _ in group:
+            odds = math.log((k + base) / (n - k + 1 - base)) - math.log(base / (1 - base))
+            if p <= last and abs(odds) >= LEAST_ODDS:
+                out.append((n, k, -math.log(max(p, 1e-300))))
+    return out
+
+
 def _fit(rows: list[tuple[int, list[int], int]], n: int) -> np.ndarray:
     """Ridge-penalised logistic regression on (label, words present, how many such rows), by Newton's method; the last weight is the bias."""
     x = np.zeros((len(rows), n + 1))
@@ -233,11 +367,11 @@ def _fit(rows: list[tuple[int, list[int], int]], n: int) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, costs, id_col: str, text_col: str, label_col: str, max_labelled: int) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, costs, model: str, id_col: str, text_col: str, label_col: str, max_labelled: int, max_lexicon: int) -> tuple[list[str], np.ndarray]:
     """A lexicon and its weights from at most about `max_labelled` rows of labels (chosen by a hash of the id).
 
-    A word's evidence counts once for each five-word context it stands in, so copies of a document count once. Words whose
-    share of label 1 stands out by LEAST_Z standard deviations make the lexicon; logistic regression weighs them.
+    A word's evidence counts once for each five-word context it stands in, so copies of a document count once, and once
+    for a document. `telling` says which words make the lexicon; logistic regression weighs them.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_l")).agg(F.max(label_col).cast("long").alias("label"))
     known = known.where(F.crc32(F.col("_l").cast("string").cast("binary")) % 5 != 0)
@@ -248,44 +382,53 @@ def train(docs: DataFrame, labels: DataFrame, costs, id_col: str, text_col: str,
     base = sample.agg(F.avg("label").alias("p")).first()["p"] or 0.0
     lexicon: list[str] = []
     if 0 < base < 1:
-        evidence = sample.mapInArrow(_evidence(costs), "word string, around string, label long")
-        once = evidence.groupBy("word", F.xxhash64("around").alias("around")).agg(F.max("label").alias("label"))
-        words = once.groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("k")).where(F.col("n") >= LEAST_CONTEXTS)
-        z = (F.col("k") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base))
-        lexicon = [r["word"] for r in words.withColumn("z", z).where((F.abs("z") >= LEAST_Z) & (F.length("word") > 1)).orderBy(F.abs("z").desc(), "word").limit(MAX_LEXICON).collect()]
-    rows = sample.mapInArrow(_presence(costs, lexicon), "label long, found array<int>").groupBy("label", "found").count().collect() if lexicon else []
+        evidence = sample.mapInArrow(_evidence(costs, model), "word string, around long, label long")
+        once = evidence.groupBy("word", "around").agg(F.max("label").alias("label"))
+        words = once.groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("k")).where((F.col("n") > 1) & (F.length("word") > 1) & ~F.col("word").rlike("[¿#]"))
+        words = materialize(words)
+        counts = words.groupBy("n", "k").agg(F.count("*").alias("words")).collect()  # n and k are at most max_labelled
+        told = telling([(r["n"], r["k"], r["words"]) for r in counts], base)
+        if told:
+            picked = words.join(F.broadcast(docs.sparkSession.createDataFrame(told, "n long, k long, weight double")), ["n", "k"])
+            lexicon = [r["word"] for r in picked.orderBy(F.col("weight").desc(), "word").limit(max_lexicon).collect()]
+    rows = sample.mapInArrow(_presence(costs, model, lexicon), "label long, found array<int>").groupBy("label", "found").count().collect() if lexicon else []
     if not rows:
         p = (base * total + 0.5) / (total + 10)
         return lexicon, np.append(np.zeros(len(lexicon)), np.log(p / (1 - p)))
     return lexicon, _fit([(r["label"], list(r["found"]), r["count"]) for r in rows], len(lexicon))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, carry: bool = False) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, max_lexicon: int = MAX_LEXICON, carry: bool = False) -> DataFrame:
     """One row per row of `docs`: id_col, held_out, score, predicted, words (of the lexicon found, in its restored form). Other columns are neither read nor returned;
     with carry=True the whole row comes along instead, as the struct `doc`, and nothing has to be joined to filter documents.
 
     1. A character model is counted over all texts.
     2. Tokens that look obfuscated - letters mixed with other characters (at their ends too, where these may stand for
        letters), characters twice or more in a row, words spaced out letter by letter with any separators - become lattices, and Viterbi decoding under the model restores them.
-    3. A lexicon is learned from labelled rows (at most `max_labelled` of them) whose crc32(id as text) mod 5 is not 0, and
-       every restored text is scored. Only texts enter a score.
+    3. A lexicon (at most the `max_lexicon` most telling words) is learned from labelled rows (at most `max_labelled` of
+       them) whose crc32(id as text) mod 5 is not 0, and every restored text is scored. Only texts enter a score.
+       Where texts are scored, tokens that can't say a word of the lexicon aren't decoded: `skeletons`.
 
     * A null or empty text has no words: its score is that of a text with no word of the lexicon. Null ids are not held
       out and never labelled. Repeated rows are scored alike; of several labels for an id the largest holds.
     * Without labels of both kinds every score is the share of label 1, or a small one. An empty table gives an empty result.
     * Tokens and spaced-out words are decoded whole, however long they are.
     """
-    costs = docs.sparkSession.sparkContext.broadcast(character_model(docs, text_col))
-    lexicon, weights = train(docs, labels, costs, id_col, text_col, label_col, max_labelled)
+    bounded_batches(docs.sparkSession)
+    learned = character_model(docs, text_col)
+    costs, model = docs.sparkSession.sparkContext.broadcast(learned), hashlib.sha256(learned.tobytes()).hexdigest()
+    lexicon, weights = train(docs, labels, costs, model, id_col, text_col, label_col, max_labelled, max_lexicon)
     weight, bias = {w: float(x) for w, x in zip(lexicon, weights, strict=False)}, float(weights[-1])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = _restorer(costs)
-        for batch in batches:
-            texts = batch["doc"].field(text_col) if carry else batch["text"]
-            found = [sorted(w for w in restorer.restored(t or "") if w in weight) for t in texts.to_pylist()]
-            scores = [1 / (1 + np.exp(-(bias + sum(weight[w] for w in ws)))) for ws in found]
-            yield pa.RecordBatch.from_pydict({"doc": batch["doc"], "held_out": batch["held_out"], "score": pa.array(scores, pa.float64()), "words": pa.array(found, pa.list_(pa.string()))})
+        finder = Finder(_restorer(costs, model), weight)
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(first, ROWS)
+                texts = batch["doc"].field(text_col) if carry else batch["text"]
+                found = finder.found(texts.to_pylist())
+                scores = [1 / (1 + np.exp(-(bias + sum(weight[w] for w in ws)))) for ws in found]
+                yield pa.RecordBatch.from_pydict({"doc": batch["doc"], "held_out": batch["held_out"], "score": pa.array(scores, pa.float64()), "words": pa.array(found, pa.list_(pa.string()))})
 
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out")
     doc = F.struct(*docs.columns) if carry else F.col(id_col).cast("long")
