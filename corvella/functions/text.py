@@ -150,7 +150,8 @@ def safe_filename(name: str | Column, longest: int = 80) -> Column:
 
 
 def numbers(text: str | Column) -> Column:
-    return F.regexp_extract_all(_c(text), F.lit(r"(\d+(?:\.\d+)?)"), 1)
+    """Numbers that begin a word: CD20 has none."""
+    return F.regexp_extract_all(_c(text), F.lit(r"\b(\d+(?:\.\d+)?)"), 1)
 
 
 def mentions(text: str | Column, kind: str) -> Column:
@@ -235,7 +236,7 @@ def is_relevant(text: str | Column) -> Column:
 
 
 def numeric_contradiction(a: str | Column, b: str | Column, ratio: float = 2.0) -> Column:
-    """Whether two texts have just one number each and these differ by the ratio or more."""
+    """Whether two texts have just one number each, above 0, and these differ by the ratio or more."""
     x, y = numbers(a), numbers(b)
     p, q = F.try_element_at(x, F.lit(1)).cast("double"), F.try_element_at(y, F.lit(1)).cast("double")
-    return F.when((F.size(x) == 1) & (F.size(y) == 1), F.greatest(p, q) >= ratio * F.least(p, q)).otherwise(False)
+    return F.when((F.size(x) == 1) & (F.size(y) == 1) & (p > 0) & (q > 0), F.greatest(p, q) >= ratio * F.least(p, q)).otherwise(False)

@@ -35,7 +35,7 @@ def soft_alignment(pairs: DataFrame, keys: list[str], tau: float = 0.15) -> Data
 
 
 def consensus(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """For each key the voter with the highest mean similarity to the others, and that mean."""
+    """For each key the voter with the highest mean similarity to the others, the smaller of equals, and that mean."""
     both = pairs.select(*keys, F.col("a").alias("v"), "similarity").union(pairs.select(*keys, F.col("b"), "similarity"))
     means = both.groupBy(*keys, "v").agg(F.round(F.avg("similarity"), 6).alias("_m"))
     return means.groupBy(*keys).agg(F.max("_m").alias("deferral"), F.max_by("v", F.struct("_m", -F.col("v"))).alias("best_voter"))
@@ -82,9 +82,13 @@ def threshold_metrics(rows: DataFrame, score: str, gold: str, thresholds: list[f
 
 
 def select_theta(metrics: DataFrame, far: float, recall: float) -> DataFrame:
-    """The threshold with the best precision under both limits, else under the first alone, else the best of all."""
-    tier = F.when((F.col("far") <= far) & (F.col("recall") >= recall), 0).when(F.col("far") <= far, 1).otherwise(2)
-    return metrics.withColumn("tier", tier).orderBy("tier", F.desc("precision"), "theta").limit(1)
+    """The largest threshold under both limits (tier 0), else the largest under that on false accepts (1), else the one with
+    the fewest false accepts (2), else the largest of all (3). A rate that is null or NaN meets no limit."""
+    known = F.col("far").isNotNull() & ~F.isnan("far")
+    few = known & (F.col("far") <= far)
+    often = F.col("recall").isNotNull() & ~F.isnan("recall") & (F.col("recall") >= recall)
+    tier = F.when(few & often, 0).when(few, 1).when(known, 2).otherwise(3)
+    return metrics.withColumn("tier", tier).orderBy("tier", F.when(F.col("tier") == 2, F.col("far")).otherwise(-F.col("theta")), "theta").limit(1)
 
 
 def next_level_voters(voters: DataFrame) -> DataFrame:

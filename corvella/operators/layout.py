@@ -52,12 +52,30 @@ def artifacts(elements: DataFrame, least_height: float = 15.0, longest: int = 40
     return e.where(~F.col("text").rlike(r"\p{L}") | F.coalesce(beyond, F.lit(False))).select("id")
 
 
-def node_score() -> Column:
-    """What a text node is taken for, by the first rule that fits its evidence columns."""
-    return (
-        F.when(F.col("render_skipped"), "unknown").when(F.col("invisible") >= 0.5, "ghost").when(F.col("blank") & (F.col("coverage") < 0.1), "ghost")
-        .when(F.col("brightness") > 0.95, "suspect").when(F.col("coverage") >= 0.5, "visible").otherwise("suspect")
+#: Types of text nodes that are judged by evidence; all others are kept (fixed values).
+JUDGED = ("TEXT", "LIST_ITEM", "PARAGRAPH")
+
+
+def node_score(most_white: float = 1.0, most_dense: float = 15.0, least_coverage: float = 0.05, least_chars: int = 8) -> Column:
+    """Why a text node is taken for a hidden layer (null: it is kept), by the first rule that fits.
+
+    Columns: type, text, y1, y2; of the evidence white (share of near-white characters), rendered, blank, n_words and coverage.
+    R0: no text. R-color: too many white characters (off at a share of 1). R3: too many characters for the height of the box.
+    R1: rendered and blank. R2: not rendered, no words in the box, hardly covered, and long enough to tell.
+    """
+    text = F.trim(F.coalesce("text", F.lit("")))
+    height = F.abs(F.col("y1") - F.col("y2"))
+    rule = (
+        F.when(text == "", "R0").when(F.lit(most_white < 1.0) & (F.col("white") > most_white), "R-color")
+        .when(F.lit(most_dense > 0) & (height > 0) & (F.length(text) / height > most_dense), "R3").when(F.col("rendered") & F.col("blank"), "R1")
+        .when(~F.col("rendered") & (F.col("n_words") == 0) & (F.col("coverage") < least_coverage) & (F.length(text) >= least_chars), "R2")
     )
+    return F.when(F.col("type").isin(*JUDGED), rule)
+
+
+def in_header_zone(page_height: Column, share: float = 0.15) -> Column:
+    """Whether an element's top edge lies in the uppermost `share` of the page (y upwards): a hint in reasons."""
+    return (page_height > 0) & ((page_height - F.greatest("y1", "y2")) / page_height <= share)
 
 
 def sidebar_gaps(elements: DataFrame, gap: float) -> DataFrame:

@@ -78,14 +78,15 @@ def alignment_f1(pairs: DataFrame, method: str = "optimal", threshold: float = 0
 
 
 def verbatim_ratio(rows: DataFrame, quote: str, source: str) -> DataFrame:
-    """How much of a quote its source has: 1 if it holds it whole, else the ratio of longest matching blocks."""
+    """How much of a quote its source has: 1 if it holds it whole, else the ratio of longest matching blocks. In sources of 200
+    characters or more, characters that are more than a hundredth of it start no block (SequenceMatcher's own default)."""
     from difflib import SequenceMatcher
 
     from pyspark.sql import functions as F
 
     @F.pandas_udf("double")
     def ratio(q: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in zip(q, s, strict=True)])
+        return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(q, s, strict=True)])
 
     q, s = F.lower(F.trim(F.col(quote))), F.lower(F.trim(F.col(source)))
     return rows.withColumn("ratio", F.when(F.contains(s, q), 1.0).otherwise(F.round(ratio(q, s), 6))).withColumn("code", F.when(F.col("ratio") < 0.25, "FABRICATED").when(F.col("ratio") < 0.6, "WEAK").otherwise("ok"))

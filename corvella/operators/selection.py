@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,13 +13,13 @@ NO_SHARED_DISEASE = 0.10
 
 
 def relatedness(sets: list[str], a: str = "a_", b: str = "b_") -> Column:
-    """The weighted Jaccard similarity of two fingerprints, less a penalty if they share no disease."""
+    """The weighted Jaccard similarity of two fingerprints, less a penalty if they share no disease; it may be below 0."""
     total: Column = F.lit(0.0)
     for s in sets:
         total = total + WEIGHTS[s] * jaccard(F.col(a + s), F.col(b + s), 0.0)
     if "disease" in sets:
         total = total - F.when(F.size(F.array_intersect(F.col(f"{a}disease"), F.col(f"{b}disease"))) == 0, NO_SHARED_DISEASE).otherwise(0.0)
-    return F.greatest(F.lit(0.0), total)
+    return total
 
 
 def related_pairs(papers: DataFrame, sets: list[str], block: str) -> DataFrame:
@@ -46,55 +44,128 @@ def hardness(content: Column, layout: Column, relation: Column, chunks: Column)
     return normal, normal * F.log1p(chunks)
 
 
-def greedy_related(pairs: list[tuple[int, int, float]], k: int) -> list[int]:
-    """k papers grown from the best pair, each the one most related to those chosen; pairs are of a bounded pool."""
-    score = {(i, j): s for i, j, s in pairs} | {(j, i): s for i, j, s in pairs}
-    pool = sorted({x for i, j, _ in pairs for x in (i, j)})
-    if not pairs:
-        return pool[:k]
-    first = max(pairs, key=lambda p: (p[2], -p[0], -p[1]))
-    chosen = [first[0], first[1]][:k]
-    while len(chosen) < min(k, len(pool)):
-        rest = [p for p in pool if p not in chosen]
-        chosen.append(max(rest, key=lambda p: (sum(score.get((p, c), 0.0) for c in chosen), -p)))
+# Sets of papers are chosen from pools: the best of all papers by a score (`pool`), as many as the choice may look at.
+
+#: A paper's entities by bucket.
+Paper = dict[str, set[str]]
+#: What covering entities of a bucket is worth, and how many of them a paper is expected to add (fixed values).
+COVERAGE = {"disease": (0.30, 3), "method": (0.20, 2), "outcome": (0.10, 2), "tissue": (0.10, 2), "biomarker": (0.20, 3)}
+#: What mean relatedness costs a set, from where on two papers are near-duplicates, and what each such pair costs (fixed values).
+PAIR_COST, NEAR_DUPLICATE, NEAR_DUPLICATE_COST = 0.40, 0.65, 0.20
+
+
+def pool(papers: DataFrame, sets: list[str], score: Column, limit: int) -> dict[int, Paper]:
+    """The `limit` papers with the highest score over all `papers`, the smaller id first of equals, with their sets."""
+    best = papers.withColumn("_s", score).orderBy(F.desc("_s"), "id").limit(limit).select("id", *sets).collect()
+    return {r["id"]: {s: set(r[s]) for s in sets} for r in best}
+
+
+def related(a: Paper, b: Paper) -> float:
+    """`relatedness` of two papers of a pool."""
+    total = 0.0
+    for s in a:
+        union = a[s] | b[s]
+        total += WEIGHTS[s] * (len(a[s] & b[s]) / len(union) if union else 0.0)
+    return total - (NO_SHARED_DISEASE if "disease" in a and not a["disease"] & b["disease"] else 0.0)
+
+
+def diversity(papers: list[Paper]) -> float:
+    """Coverage of entities by a set of papers, less what their relatedness costs; one paper has coverage alone."""
+    n = len(papers)
+    if not n:
+        return 0.0
+    covered = sum(w * len(set().union(*(p.get(s, set()) for p in papers))) / (each * n) for s, (w, each) in COVERAGE.items())
+    pairs = [related(a, b) for i, a in enumerate(papers) for b in papers[i + 1 :]]
+    return covered - (PAIR_COST * sum(pairs) / len(pairs) + NEAR_DUPLICATE_COST * sum(x >= NEAR_DUPLICATE for x in pairs) if pairs else 0.0)
+
+
+def greedy_related(papers: dict[int, Paper], k: int) -> list[int]:
+    """k papers: the one most related to all others on average, then again and again the one most related to those chosen
+    that shares a disease with one of them; if none does, of all."""
+    ids = list(papers)
+    if not ids or k < 1:
+        return []
+    score = {(i, j): related(papers[i], papers[j]) for i in ids for j in ids if i != j}
+    chosen = [min(ids, key=lambda i: (-sum(score[i, j] for j in ids if j != i), str(i)))]
+    while len(chosen) < min(k, len(ids)):
+        rest = [i for i in ids if i not in chosen]
+        sharing = [i for i in rest if any(papers[i].get("disease", set()) & papers[c].get("disease", set()) for c in chosen)]
+        chosen.append(max(sharing or rest, key=lambda i: sum(score[i, c] for c in chosen)))
     return chosen
 
 
-def greedy_diverse(sets: dict[int, set[str]], k: int) -> list[int]:
-    """k papers, each adding the most that is new, less what overlaps with those chosen."""
-    chosen: list[int] = []
-    covered: set[str] = set()
-    while len(chosen) < min(k, len(sets)):
-        best = max((p for p in sets if p not in chosen), key=lambda p: (len(sets[p] - covered) - 0.4 * len(sets[p] & covered), -p))
-        chosen.append(best)
-        covered |= sets[best]
+def greedy_diverse(papers: dict[int, Paper], k: int, sentences: dict[int, int] | None = None) -> list[int]:
+    """k papers: the one with the most entities (diseases, methods, biomarkers, outcomes; of equals the shortest), then
+    again and again the one with which the set is most diverse."""
+    ids, chosen, length = list(papers), [], sentences or {}
+    while len(chosen) < min(k, len(ids)):
+        rest = [i for i in ids if i not in chosen]
+        if not chosen:
+            chosen.append(max(rest, key=lambda i: (sum(len(papers[i].get(s, ())) for s in ("disease", "method", "biomarker", "outcome")), -length.get(i, 0))))
+        else:
+            chosen.append(max(rest, key=lambda i: diversity([papers[c] for c in chosen] + [papers[i]])))
     return chosen
 
 
-def exact_related(pairs: list[tuple[int, int, float]], pool: list[int], k: int) -> tuple[list[int], str]:
-    """The k of a pool with the largest total relatedness: branch and bound up to 24 papers, greedy beyond, with its status."""
-    if len(pool) > 24:
-        return greedy_related(pairs, k), "feasible"
-    score = {(i, j): s for i, j, s in pairs} | {(j, i): s for i, j, s in pairs}
-    best: tuple[float, list[int]] = (-math.inf, [])
-    most = {p: sorted((score.get((p, q), 0.0) for q in pool if q != p), reverse=True) for p in pool}
-
-    def grow(at: int, chosen: list[int], total: float) -> None:
-        nonlocal best
+def hard_set(hardness_of: dict[int, tuple[float, float]], k: int = 5) -> list[int]:
+    """Two papers of the highest normalised hardness, two of the highest absolute, one from the middle of the 40 to 65 %
+    band of what is left; filled up with the hardest. `hardness_of` has (normalised, absolute) by id, in order of preference."""
+    ids = list(hardness_of)
+    by_normal, by_absolute = (sorted(ids, key=lambda i, x=x: -hardness_of[i][x]) for x in (0, 1))
+    chosen = by_normal[:2]
+    chosen += [i for i in by_absolute if i not in chosen][:2]
+    left = [i for i in sorted(ids, key=lambda i: hardness_of[i][0]) if i not in chosen]
+    if left:
+        low = int(len(left) * 0.40)
+        band = left[low : max(int(len(left) * 0.65), low + 1)]
+        chosen.append(band[len(band) // 2])
+    return (chosen + [i for i in by_normal if i not in chosen])[:k]
+
+
+def retained(papers: dict[int, Paper], m: int, threshold: float) -> dict[tuple[int, int], float]:
+    """Relatedness of the pairs that reach the threshold and are among the best m of one end."""
+    ids, best = list(papers), {}
+    for i in ids:
+        near = sorted(((related(papers[i], papers[j]), j) for j in ids if j != i), key=lambda x: (-x[0], str(x[1])))
+        best |= {(min(i, j), max(i, j)): s for s, j in [x for x in near if x[0] >= threshold][:m]}
+    return best
+
+
+def exact_related(papers: dict[int, Paper], k: int, m: int = 12, threshold: float = 0.05, worth: dict[int, float] | None = None, nodes: int = 200_000) -> tuple[list[int], str]:
+    """The k papers with the largest sum of retained relatedness and own worth, by branch and bound, and whether that is
+    proven: "optimal", or "feasible" if the search ends after `nodes` steps (the best found so far, the greedy one at least)."""
+    edges, own = retained(papers, m, threshold), worth or {}
+    score = edges | {(j, i): s for (i, j), s in edges.items()}
+    ids = sorted(papers, key=lambda i: -(own.get(i, 0.0) + sum(score.get((i, j), 0.0) for j in papers)))
+
+    def total(chosen: list[int]) -> float:
+        return sum(own.get(i, 0.0) for i in chosen) + sum(score.get((i, j), 0.0) for x, i in enumerate(chosen) for j in chosen[x + 1 :])
+
+    start = greedy_related(papers, k)
+    best, left = (total(start), sorted(start)), nodes
+
+    def grow(at: int, chosen: list[int], have: float) -> None:
+        nonlocal best, left
+        left -= 1
         if len(chosen) == k:
-            best = max(best, (total, chosen), key=lambda x: (x[0], [-c for c in x[1]]))
+            if have > best[0] + 1e-12:
+                best = have, sorted(chosen)
             return
-        if len(pool) - at < k - len(chosen):
+        want, rest = k - len(chosen), ids[at:]
+        if len(rest) < want or left <= 0:
             return
-        bound = total + sum(sorted((sum(most[p][: k - 1]) for p in pool[at:]), reverse=True)[: k - len(chosen)])
-        if bound <= best[0]:
+        bounds = []
+        for i in rest:  # what a paper can add: its ties to those chosen, and half of its best ties to others that may come
+            ties = sorted((score.get((i, j), 0.0) for j in rest if j != i), reverse=True)[: want - 1]
+            bounds.append(own.get(i, 0.0) + sum(score.get((i, c), 0.0) for c in chosen) + sum(ties) / 2)
+        if have + sum(sorted(bounds, reverse=True)[:want]) <= best[0] + 1e-12:
             return
-        p = pool[at]
-        grow(at + 1, [*chosen, p], total + sum(score.get((p, c), 0.0) for c in chosen))
-        grow(at + 1, chosen, total)
+        i = ids[at]
+        grow(at + 1, [*chosen, i], have + own.get(i, 0.0) + sum(score.get((i, c), 0.0) for c in chosen))
+        grow(at + 1, chosen, have)
 
     grow(0, [], 0.0)
-    return best[1], "optimal"
+    return best[1], "optimal" if left > 0 else "feasible"
 
 
 def choose_policy(metrics: DataFrame, most_cost: float, least_quality: float) -> DataFrame:

@@ -42,11 +42,11 @@ def V06_D02_consensus(spark, sf_dir):
     return A.consensus(_pairs(spark, sf_dir), ["case_id"]).select("case_id", F.round("deferral", 4).alias("deferral"))
 
 
-@query(f"SELECT te_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS lexical FROM (SELECT te_id, list_distinct(string_split(lower(text), ' ')) AS a, list_distinct(string_split(lower(substr(text, 1, 60)), ' ')) AS b FROM {TEXT_ELEMENTS})")
+@query(f"SELECT te_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS lexical FROM (SELECT te_id, list_distinct(string_split(lower(text), ' ')) AS a, list_distinct(string_split(lower(replace(text, 'e', 'a')), ' ')) AS b FROM {TEXT_ELEMENTS})")
 def V07_U04_lexical_similarity(spark, sf_dir):
     from corvella.functions.text import jaccard
 
-    a, b = F.split(F.lower("text"), " "), F.split(F.lower(F.substring("text", 1, 60)), " ")
+    a, b = F.split(F.lower("text"), " "), F.split(F.lower(F.replace("text", F.lit("e"), F.lit("a"))), " ")
     return text_elements(spark, sf_dir).select("te_id", F.round(jaccard(a, b, 1.0), 6).alias("lexical"))
 
 
@@ -90,14 +90,17 @@ def _scored(spark, sf_dir):
     return d.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
 
 
-@query()
+@query("""WITH s AS (SELECT quality = 1 AS good, (n_chars % 1000) / 1000.0::DOUBLE AS score FROM documents JOIN labels USING (doc_id)),
+m AS (SELECT t / 20.0::DOUBLE AS theta, count(*) FILTER (score >= t / 20.0::DOUBLE) AS kept, count(*) FILTER (score >= t / 20.0::DOUBLE AND good) AS tp, count(*) FILTER (good) AS pos, count(*) FILTER (NOT good) AS neg, count(*) AS n FROM s, range(1, 20) AS g(t) GROUP BY t),
+r AS (SELECT theta, kept, coalesce(round(tp / nullif(kept, 0), 6), 0.0) AS precision, coalesce(round(tp / nullif(pos, 0), 6), 0.0) AS recall, coalesce(round((kept - tp) / nullif(neg, 0), 6), 0.0) AS far, round(kept / n, 6) AS keep_rate FROM m)
+SELECT *, CASE WHEN far <= 0.5 AND recall >= 0.3 THEN 0 WHEN far <= 0.5 THEN 1 ELSE 2 END AS tier FROM r ORDER BY tier, CASE WHEN tier = 2 THEN far ELSE -theta END, theta LIMIT 1""")
 def O08_select_theta(spark, sf_dir):
     return A.select_theta(A.threshold_metrics(_scored(spark, sf_dir), "score", "quality", [x / 20 for x in range(1, 20)]), 0.5, 0.3)
 
 
-@query("SELECT model, temperature, level, level > min(level) OVER (PARTITION BY model, temperature) AS reused FROM (SELECT DISTINCT event_id % 4 AS model, user_id % 3 AS temperature, CAST(event_id % 3 + 1 AS INTEGER) AS level FROM events WHERE event_id < 40)")
+@query("SELECT model, temperature, level, level > min(level) OVER (PARTITION BY model, temperature) AS reused FROM (SELECT DISTINCT event_id % 4 AS model, user_id % 3 AS temperature, CAST(event_id % 3 + 1 AS INTEGER) AS level FROM events)")
 def D13_D14_D15_voter_reuse(spark, sf_dir):
-    v = table(spark, sf_dir, "events").where("event_id < 40").select((F.col("event_id") % 4).alias("model"), (F.col("user_id") % 3).alias("temperature"), (F.col("event_id") % 3 + 1).cast("int").alias("level")).distinct()
+    v = table(spark, sf_dir, "events").select((F.col("event_id") % 4).alias("model"), (F.col("user_id") % 3).alias("temperature"), (F.col("event_id") % 3 + 1).cast("int").alias("level")).distinct()
     return A.next_level_voters(v)
 
 
@@ -165,10 +168,17 @@ def F02_artifacts(spark, sf_dir):
     return L.artifacts(e, 60.0).distinct()
 
 
-@query("SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN l_linenumber = 7 THEN 'unknown' WHEN l_tax * 10 >= 0.5 THEN 'ghost' WHEN l_linestatus = 'O' AND l_discount * 10 < 0.1 THEN 'ghost' WHEN l_quantity / 50 > 0.95 THEN 'suspect' WHEN l_discount * 10 >= 0.5 THEN 'visible' ELSE 'suspect' END AS verdict FROM lineitem) GROUP BY verdict")
+@query("""SELECT rule, count(*) AS n, count(*) FILTER (top) AS in_header FROM (SELECT CASE WHEN l_returnflag = 'N' THEN NULL WHEN trim(t) = '' THEN 'R0' WHEN l_tax * 10 > 0.7 THEN 'R-color' WHEN abs(y1 - y2) > 0 AND length(trim(t)) / abs(y1 - y2) > 15 THEN 'R3'
+ WHEN l_linenumber <> 7 AND l_linestatus = 'O' THEN 'R1' WHEN l_linenumber = 7 AND l_suppkey % 3 = 0 AND l_discount < 0.05 AND length(trim(t)) >= 8 THEN 'R2' END AS rule, (842.0 - greatest(y1, y2)) / 842.0 <= 0.15 AS top
+ FROM (SELECT *, CASE WHEN l_quantity > 48 THEN ' ' ELSE repeat('x', CAST(l_quantity AS INTEGER)) END AS t, 800.0 - l_suppkey % 400 AS y1, 800.0 - l_suppkey % 400 - l_partkey % 4 AS y2 FROM lineitem)) GROUP BY rule""")
 def F20_node_scorer(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") == 7).alias("render_skipped"), (F.col("l_tax") * 10).alias("invisible"), (F.col("l_linestatus") == "O").alias("blank"), (F.col("l_discount") * 10).alias("coverage"), (F.col("l_quantity") / 50).alias("brightness"))
-    return e.select(L.node_score().alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
+    c = F.col
+    y1 = 800.0 - c("l_suppkey") % 400
+    e = table(spark, sf_dir, "lineitem").select(
+        F.when(c("l_returnflag") == "N", "TABLE").otherwise("PARAGRAPH").alias("type"), F.when(c("l_quantity") > 48, " ").otherwise(F.repeat(F.lit("x"), c("l_quantity").cast("int"))).alias("text"), y1.alias("y1"), (y1 - c("l_partkey") % 4).alias("y2"),
+        (c("l_tax") * 10).alias("white"), (c("l_linenumber") != 7).alias("rendered"), (c("l_linestatus") == "O").alias("blank"), (c("l_suppkey") % 3).alias("n_words"), c("l_discount").alias("coverage"),
+    )
+    return e.select(L.node_score(most_white=0.7).alias("rule"), L.in_header_zone(F.lit(842.0)).alias("top")).groupBy("rule").agg(F.count("*").alias("n"), F.count_if("top").alias("in_header"))
 
 
 @query(f"SELECT doc, page, min(x1) AS edge FROM (SELECT doc, page, x1, lead(x1) OVER (PARTITION BY doc, page ORDER BY x1, id) AS nx FROM {BOX}) WHERE nx - x1 > 40 GROUP BY doc, page")
@@ -209,8 +219,8 @@ def _papers(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(c.alias("id"), F.array(F.col("c_nationkey").cast("string"), "c_mktsegment").alias("disease"), F.array(s("g", c % 17), s("g", c % 5)).alias("gene"), F.array(s("m", F.floor(c / 8))).alias("method"))
 
 
-RELATED = f"""(SELECT a.id AS i, b.id AS j, round(greatest(0.0, 0.30 * len(list_intersect(a.disease, b.disease)) / len(list_distinct(list_concat(a.disease, b.disease))) + 0.15 * len(list_intersect(list_distinct(a.gene), list_distinct(b.gene))) / len(list_distinct(list_concat(a.gene, b.gene)))
- + 0.06 * len(list_intersect(a.method, b.method)) / len(list_distinct(list_concat(a.method, b.method))) - CASE WHEN len(list_intersect(a.disease, b.disease)) = 0 THEN 0.10 ELSE 0.0 END), 6) AS score FROM {PAPERS} a JOIN {PAPERS} b ON a.method = b.method WHERE a.id < b.id)"""
+RELATED = f"""(SELECT a.id AS i, b.id AS j, round(0.30 * len(list_intersect(a.disease, b.disease)) / len(list_distinct(list_concat(a.disease, b.disease))) + 0.15 * len(list_intersect(list_distinct(a.gene), list_distinct(b.gene))) / len(list_distinct(list_concat(a.gene, b.gene)))
+ + 0.06 * len(list_intersect(a.method, b.method)) / len(list_distinct(list_concat(a.method, b.method))) - CASE WHEN len(list_intersect(a.disease, b.disease)) = 0 THEN 0.10 ELSE 0.0 END, 6) AS score FROM {PAPERS} a JOIN {PAPERS} b ON a.method = b.method WHERE a.id < b.id)"""
 
 
 @query(f"SELECT i, j, score FROM {RELATED}")
@@ -242,26 +252,43 @@ def O18_choose_policy(spark, sf_dir):
     return Sel.choose_policy(m, 100000, 10)
 
 
-def _pool(spark, sf_dir):
-    """A bounded pool: the 20 customers with the smallest keys."""
-    papers = _papers(spark, sf_dir).where("id < 20")
-    rows = {r["id"]: {*r["disease"], *r["gene"], *r["method"]} for r in papers.collect()}
-    ids = sorted(rows)
-    pairs = [(i, j, len(rows[i] & rows[j]) / len(rows[i] | rows[j])) for i in ids for j in ids if i < j]
-    return rows, pairs
+SETS = ["disease", "gene", "method"]
+
+
+def _pool(spark, sf_dir, limit):
+    """The papers that a choice looks at: of all customers the most telling ones for their length."""
+    papers = _papers(spark, sf_dir).withColumn("length", F.col("id") % 300 + 40)
+    return Sel.pool(papers, SETS, (F.size("disease") + F.size(F.array_distinct("gene"))) / F.log1p(F.col("length") + 10), limit)
+
+
+@query()
+def O14_greedy_related(spark, sf_dir):
+    chosen = Sel.greedy_related(_pool(spark, sf_dir, 150), 5)
+    return spark.createDataFrame(list(enumerate(chosen)), "rank long, id long")
+
+
+@query()
+def O15_greedy_diverse(spark, sf_dir):
+    papers = _pool(spark, sf_dir, 150)
+    chosen = Sel.greedy_diverse(papers, 5, {i: i % 300 + 40 for i in papers})
+    return spark.createDataFrame(list(enumerate(chosen)), "rank long, id long")
 
 
 @query()
-def O14_O15_O16_greedy_selection(spark, sf_dir):
-    rows, pairs = _pool(spark, sf_dir)
-    chosen = [("related", k, i) for k, i in enumerate(Sel.greedy_related(pairs, 5))] + [("diverse", k, i) for k, i in enumerate(Sel.greedy_diverse(rows, 5))]
-    return spark.createDataFrame(chosen, "kind string, rank long, id long")
+def O16_calibration_set(spark, sf_dir):
+    """Five related, five diverse and five hard papers, none twice."""
+    papers = _pool(spark, sf_dir, 150)
+    related = Sel.greedy_related(papers, 5)
+    diverse = Sel.greedy_diverse({i: p for i, p in papers.items() if i not in related}, 5)
+    hard = Sel.hard_set({i: (i % 97 / 97, i % 97 / 97 * (i % 13)) for i in papers if i not in related + diverse})
+    return spark.createDataFrame([(kind, k, i) for kind, ids in (("related", related), ("diverse", diverse), ("hard", hard)) for k, i in enumerate(ids)], "kind string, rank long, id long")
 
 
 @query()
 def O17_exact_selection(spark, sf_dir):
-    rows, pairs = _pool(spark, sf_dir)
-    ids, status = Sel.exact_related(pairs, sorted(rows), 5)
+    papers = _pool(spark, sf_dir, 40)
+    worth = {i: 0.05 * sum(min(len(x) / 5, 0.2) for x in p.values()) - 0.02 * min((i % 300 + 40) / 350, 2) for i, p in papers.items()}
+    ids, status = Sel.exact_related(papers, 5, worth=worth)
     return spark.createDataFrame([(status, i) for i in ids], "status string, id long")
 
 

@@ -85,11 +85,11 @@ def K09_K10_Y04_flatten(spark, sf_dir):
     return Wr.flatten(nested)
 
 
-@query("SELECT conv_id, string_agg(substr(text, 1, 10), chr(10) ORDER BY turn, role, text) AS text FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, role, text) AS text FROM conversations GROUP BY conv_id")
 def K12_K14_document_text(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("pmcid"), F.col("turn").alias("pos"), F.col("role").alias("path"), "text")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "path", "text")))
-    return c.groupBy("pmcid").agg(F.array_join(F.transform(ordered, lambda x: F.substring(x["text"], 1, 10)), "\n").alias("text")).withColumnRenamed("pmcid", "conv_id")
+    return c.groupBy("pmcid").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text")).withColumnRenamed("pmcid", "conv_id")
 
 
 @query("SELECT event_id, TRY_CAST(nullif(trim(t), '') AS DOUBLE) AS score FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN ' 0.25 ' WHEN 1 THEN '' ELSE 'n/a' END AS t FROM events)")
@@ -118,11 +118,12 @@ def F07_F08_X02_best_concept(spark, sf_dir):
     return Mo.best_concept(links).select("mention", "cui")
 
 
-@query("SELECT l.doc_id AS id, round(list_aggregate(list_transform([t], lambda x: len(list_intersect(h, x)) / len(h)), 'max'), 6) AS entailment FROM (SELECT doc_id, list_distinct(string_split(lower(substr(text, 1, 50)), ' ')) AS h, string_split(lower(substr(text, 1, 400)), ' ') AS t FROM documents WHERE text NOT LIKE '%  %' AND position(chr(10) IN substr(text, 1, 400)) = 0 AND position(chr(9) IN substr(text, 1, 400)) = 0) l")
+@query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+w AS (SELECT doc_id, lower(array_to_string(lines[s + 1:s + 5], ' ')) AS premise, list_distinct(string_split_regex(lower(lines[1]), '\s+')) AS h FROM (SELECT *, unnest(range(0, len(lines), 5)) AS s FROM l))
+SELECT doc_id AS id, round(max(CASE WHEN trim(premise, ' ') = '' THEN 0.0 ELSE len(list_intersect(h, string_split_regex(premise, '\s+'))) / len(h) END), 6) AS entailment FROM w GROUP BY doc_id""")
 def X01_entailment_stand_in(spark, sf_dir):
-    head = F.substring("text", 1, 400)
-    d = table(spark, sf_dir, "documents").where(~F.col("text").contains("  ") & ~head.contains("\n") & ~head.contains("\t"))
-    pairs = d.select(F.col("doc_id").alias("id"), F.array(head).alias("sentences"), F.substring("text", 1, 50).alias("claim"))
+    lines = F.split("text", "\n")
+    pairs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), lines.alias("sentences"), lines[0].alias("claim"))
     return Mo.windowed_entailment(pairs, Mo.TokenOverlap()).withColumn("entailment", F.round("entailment", 6))
 
 

@@ -313,8 +313,8 @@ def Y13_renumber_chunks(spark, sf_dir):
     return text_elements(spark, sf_dir).where("n_words >= 40").select("pmcid", "te_id", F.row_number().over(Window.partitionBy("pmcid").orderBy("te_id")).alias("chunk_no"))
 
 
-@query(f"SELECT c.pmcid, count(f.fid) AS n FROM (SELECT DISTINCT 'PMC' || CAST(doc_id AS VARCHAR) AS pmcid FROM documents WHERE doc_id < 40) c LEFT JOIN {FINDINGS} f ON f.pmcid = c.pmcid AND f.te_id = 3 GROUP BY c.pmcid")
+@query(f"SELECT c.pmcid, count(f.fid) AS n FROM (SELECT DISTINCT 'PMC' || CAST(doc_id AS VARCHAR) AS pmcid FROM documents) c LEFT JOIN {FINDINGS} f ON f.pmcid = c.pmcid AND f.te_id = 3 GROUP BY c.pmcid")
 def Y08_findings_of_a_case(spark, sf_dir):
-    cases = table(spark, sf_dir, "documents").where("doc_id < 40").select(F.concat(F.lit("PMC"), F.col("doc_id").cast("string")).alias("pmcid")).distinct()
+    cases = table(spark, sf_dir, "documents").select(F.concat(F.lit("PMC"), F.col("doc_id").cast("string")).alias("pmcid")).distinct()
     f = findings(spark, sf_dir).where("te_id = 3").groupBy("pmcid").agg(F.count("*").alias("k"))
     return cases.join(f, "pmcid", "left").select("pmcid", F.coalesce("k", F.lit(0)).alias("n"))

@@ -52,9 +52,9 @@ def T05_cut_off(spark, sf_dir):
     return text_elements(spark, sf_dir).groupBy("path").agg(F.count_if(T.is_cut_off(t)).alias("n_cut"), F.count("*").alias("n"))
 
 
-@query(f"SELECT pmcid, string_agg('[S' || CAST(pos AS VARCHAR) || '|' || pmcid || '|' || CAST(te_id AS VARCHAR) || '] ' || substr(text, 1, 20), chr(10) ORDER BY pos) AS prompt FROM {TEXT_ELEMENTS} GROUP BY pmcid")
+@query(f"SELECT pmcid, string_agg('[S' || CAST(pos AS VARCHAR) || '|' || pmcid || '|' || CAST(te_id AS VARCHAR) || '] ' || text, chr(10) ORDER BY pos) AS prompt FROM {TEXT_ELEMENTS} GROUP BY pmcid")
 def T07_citation_lines(spark, sf_dir):
-    line = T.citation_line(F.col("pos"), F.col("pmcid"), F.col("te_id"), F.substring("text", 1, 20))
+    line = T.citation_line(F.col("pos"), F.col("pmcid"), F.col("te_id"), F.col("text"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", line.alias("line"))))
     return text_elements(spark, sf_dir).groupBy("pmcid").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("prompt"))
 
@@ -107,18 +107,18 @@ def T14_T15_T19_scope_and_embedding_text(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", T.scope_prefix({"population": pop, "method": method}).alias("prefix"), T.joined_fields(pop, F.col("c_name")).alias("embed_text"))
 
 
-@query("SELECT doc_id, substr(sha256(text), 1, 8) AS id8, 'NF_' || substr(sha256(source || '|' || lang), 1, 16) AS id16, trim(regexp_replace(lower(substr(text, 1, 80)), '[^a-z0-9]+', ' ', 'g'), ' ') AS claim, substr(regexp_replace(regexp_replace(substr(text, 1, 30), '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80) AS filename FROM documents")
+@query("SELECT doc_id, substr(sha256(text), 1, 8) AS id8, 'NF_' || substr(sha256(source || '|' || lang), 1, 16) AS id16, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ') AS claim, substr(regexp_replace(regexp_replace(text, '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80) AS filename FROM documents")
 def T16_T20_T21_ids_claims_filenames(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(
         "doc_id", F.substring(F.sha2("text", 256), 1, 8).alias("id8"), F.concat(F.lit("NF_"), F.substring(F.sha2(F.concat_ws("|", "source", "lang"), 256), 1, 16)).alias("id16"),
-        T.normal_claim(F.substring("text", 1, 80)).alias("claim"), T.safe_filename(F.substring("text", 1, 30)).alias("filename"),
+        T.normal_claim("text").alias("claim"), T.safe_filename("text").alias("filename"),
     )
 
 
-@query(r"SELECT page_id, list_distinct(m) IS NOT NULL AS found, len(m) AS n_numbers, array_to_string(m[1:5], ',') AS first_numbers FROM (SELECT page_id, regexp_extract_all(url, '(\d+(?:\.\d+)?)', 1) AS m FROM pages)")
+@query(r"SELECT page_id, list_distinct(m) IS NOT NULL AS found, len(m) AS n_numbers, array_to_string(m, ',') AS numbers FROM (SELECT page_id, regexp_extract_all(url, '\b(\d+(?:\.\d+)?)', 1) AS m FROM pages)")
 def T22_numbers(spark, sf_dir):
     n = T.numbers("url")
-    return table(spark, sf_dir, "pages").select("page_id", F.lit(True).alias("found"), F.size(n).cast("long").alias("n_numbers"), F.array_join(F.slice(n, 1, 5), ",").alias("first_numbers"))
+    return table(spark, sf_dir, "pages").select("page_id", F.lit(True).alias("found"), F.size(n).cast("long").alias("n_numbers"), F.array_join(n, ",").alias("numbers"))
 
 
 @query("SELECT pmcid, fig FROM (SELECT 'PMC' || CAST(p_partkey AS VARCHAR) AS pmcid, CAST(p_size AS VARCHAR) AS fig FROM part UNION SELECT 'PMC' || CAST(p_partkey AS VARCHAR), CAST(p_partkey % 7 AS VARCHAR) FROM part)")

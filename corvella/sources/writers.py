@@ -73,12 +73,15 @@ def write_by_concept(rows: DataFrame, path: str, concept: str) -> None:
     rows.repartition(concept).write.mode("overwrite").partitionBy(concept).json(path)
 
 
-def manifest(counts: DataFrame, config: dict) -> str:
-    """A run's manifest: sums by key and a digest of its configuration."""
+def manifest(counts: DataFrame, config: dict, most_keys: int = 10_000) -> str:
+    """A run's manifest: sums by key and a digest of its configuration (K15, K16, T24); an error if there are more than `most_keys` keys."""
     import hashlib
 
     canonical = json.dumps(config, sort_keys=True, separators=(",", ":"))
-    sums = {r["key"]: r["n"] for r in counts.groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").limit(1000).collect()}  # keys are a fixed list
+    rows = counts.groupBy("key").agg(F.sum("n").alias("n")).limit(most_keys + 1).collect()
+    if len(rows) > most_keys:
+        raise ValueError(f"a manifest has at most {most_keys} keys")
+    sums = {r["key"]: r["n"] for r in rows}
     return json.dumps({"config_sha256": hashlib.sha256(canonical.encode()).hexdigest(), "counts": sums}, sort_keys=True)
 
 
@@ -88,10 +91,11 @@ def merge_manifests(old: dict, new: dict) -> dict:
 
 
 def markdown(rows: DataFrame, title: str, most: int = 200) -> str:
-    """A small result as a Markdown table (K17); a report shows `most` rows."""
-    head = rows.limit(most).collect()
+    """A small result as a Markdown table (K17); a report shows `most` rows, and says so if there are more."""
+    head = rows.limit(most + 1).collect()
+    more, head = len(head) > most, head[:most]
     lines = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
-    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in head]) + "\n"
+    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in head] + [""] * more + [f"The first {most} rows."] * more) + "\n"
 
 
 def schema_drift(rows: DataFrame, expected: dict[str, str], unique: list[list[str]]) -> list[str]:

@@ -91,13 +91,90 @@ def test_stitching_loses_nothing_unless_asked_to(spark):
     assert sorted(r["text"] for r in L.stitch(p, lossless=False).collect()) == ["T", "a - b,"]
 
 
-def test_exact_selection_beats_brute_force():
-    rng = np.random.default_rng(3)
-    pool = list(range(9))
-    pairs = [(i, j, float(rng.random())) for i in pool for j in pool if i < j]
-    score = {(i, j): s for i, j, s in pairs}
-    best = max(itertools.combinations(pool, 4), key=lambda c: sum(score[p] for p in itertools.combinations(c, 2)))
-    assert Sel.exact_related(pairs, pool, 4) == (list(best), "optimal")
+def papers(seed, n):
+    rng = np.random.default_rng(seed)
+    return {i: {s: {f"{s}{x}" for x in rng.integers(0, 6, rng.integers(0, 4))} for s in ("disease", "method", "biomarker", "gene")} for i in range(1, n + 1)}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_chosen_sets_against_brute_force(seed):
+    pool = papers(seed, 13)
+    worth = {i: 0.01 * (i % 4) for i in pool}
+    edges = Sel.retained(pool, 12, 0.05)
+    total = lambda ids: sum(worth[i] for i in ids) + sum(edges.get(p, 0.0) for p in itertools.combinations(ids, 2))
+    ids, status = Sel.exact_related(pool, 4, worth=worth)
+    assert status == "optimal" and ids == sorted(ids)
+    assert total(ids) == pytest.approx(max(map(total, itertools.combinations(pool, 4))))
+    some, status = Sel.exact_related(pool, 4, worth=worth, nodes=3)
+    assert status == "feasible" and total(some) <= total(ids) + 1e-9
+    related = Sel.greedy_related(pool, 4)
+    mean = {i: sum(Sel.related(pool[i], pool[j]) for j in pool if j != i) for i in pool}
+    assert mean[related[0]] == max(mean.values())
+    for k in range(1, 4):
+        rest = [i for i in pool if i not in related[:k]]
+        sharing = [i for i in rest if any(pool[i]["disease"] & pool[c]["disease"] for c in related[:k])] or rest
+        tied = {i: sum(Sel.related(pool[i], pool[c]) for c in related[:k]) for i in sharing}
+        assert related[k] == min(i for i in sharing if tied[i] == max(tied.values()))
+    diverse = Sel.greedy_diverse(pool, 4, dict.fromkeys(pool, 10))
+    size = {i: sum(len(pool[i][s]) for s in ("disease", "method", "biomarker")) for i in pool}
+    assert diverse[0] == min(i for i in pool if size[i] == max(size.values()))
+    for k in range(1, 4):
+        gain = {i: Sel.diversity([pool[c] for c in [*diverse[:k], i]]) for i in pool if i not in diverse[:k]}
+        assert diverse[k] == min(i for i, g in gain.items() if g == max(gain.values()))
+    assert Sel.greedy_related({}, 3) == Sel.greedy_diverse({}, 3) == []
+
+
+def test_relatedness_and_diversity_of_known_papers(spark):
+    a, b = {"disease": {"x", "y"}, "method": {"m"}}, {"disease": {"z"}, "method": {"m", "n"}}
+    assert Sel.related(a, b) == pytest.approx(0.06 / 2 - 0.10)
+    assert Sel.diversity([a]) == pytest.approx(0.30 * 2 / 3 + 0.20 * 1 / 2)
+    assert Sel.diversity([a, a]) == pytest.approx(0.30 * 2 / 6 + 0.20 * 1 / 4 - 0.40 * 0.36)
+    row = spark.createDataFrame([(["x", "y"], ["m"], ["z"], ["m", "n"])], "a_disease array<string>, a_method array<string>, b_disease array<string>, b_method array<string>")
+    assert row.select(Sel.relatedness(["disease", "method"])).first()[0] == pytest.approx(-0.07)
+
+
+def test_hard_set():
+    of = {i: (i / 10, -float(i)) for i in range(10)}
+    assert Sel.hard_set(of) == [9, 8, 0, 1, 4]  # of 2 to 7 the band is 4
+    assert Sel.hard_set({1: (0.5, 1.0)}) == [1] and Sel.hard_set({}) == []
+
+
+def test_select_theta_by_tiers(spark):
+    def pick(rows, far, recall):
+        r = A.select_theta(spark.createDataFrame(rows, "theta double, far double, recall double"), far, recall).first()
+        return r["theta"], r["tier"]
+
+    rows = [(0.2, 0.4, 0.9), (0.4, 0.2, 0.7), (0.6, 0.1, 0.5), (0.8, 0.0, 0.1), (0.9, float("nan"), 0.0), (0.95, None, None)]
+    assert pick(rows, 0.25, 0.5) == (0.6, 0)
+    assert pick(rows, 0.25, 0.95) == (0.8, 1)
+    assert pick([(0.2, 0.4, 0.9), (0.4, 0.3, 0.7), (0.6, 0.3, 0.5)], 0.1, 0.5) == (0.4, 2)
+    assert pick([(0.2, None, 0.9), (0.4, None, 0.7)], 0.1, 0.5) == (0.4, 3)
+
+
+def test_node_score_by_first_rule(spark):
+    schema = "type string, text string, y1 double, y2 double, white double, rendered boolean, blank boolean, n_words int, coverage double"
+    rows = [
+        ("TABLE", "", 10.0, 0.0, 1.0, True, True, 0, 0.0), ("TEXT", "  ", 10.0, 0.0, 0.0, True, False, 1, 1.0), ("TEXT", "word", 10.0, 0.0, 0.9, True, False, 1, 1.0),
+        ("LIST_ITEM", "x" * 180, 10.0, 0.0, 0.0, True, True, 1, 1.0), ("PARAGRAPH", "word", 10.0, 0.0, 0.0, True, True, 1, 1.0), ("TEXT", "eight ch", 10.0, 0.0, 0.0, False, True, 0, 0.04),
+        ("TEXT", "short", 10.0, 0.0, 0.0, False, True, 0, 0.0), ("TEXT", None, 10.0, 0.0, 0.0, True, False, 1, 1.0), ("TEXT", "word", 5.0, 5.0, 0.0, True, False, 0, 0.0),
+    ]
+    got = spark.createDataFrame(rows, schema).select(L.node_score(most_white=0.5).alias("r"), L.node_score().alias("d"), L.in_header_zone(F.lit(11.0)).alias("top")).collect()
+    assert [r["r"] for r in got] == [None, "R0", "R-color", "R3", "R1", "R2", None, "R0", None]
+    assert got[2]["d"] is None and [r["top"] for r in got[:1] + got[-1:]] == [True, False]
+
+
+def test_numbers_begin_words(spark):
+    assert one(spark, T.numbers("t"), t="CD20 in 15.5 of 200 (7) x3") == ["15.5", "200", "7"]
+    rows = spark.createDataFrame([("5mm", "15 mm"), ("CD20 5", "15"), ("0 cells", "9 cells"), ("5 of 6", "15"), ("5", "9"), (None, "5")], "a string, b string")
+    assert [r[0] for r in rows.select(T.numeric_contradiction("a", "b")).collect()] == [True, True, False, False, False, False]
+
+
+def test_verbatim_ratio_of_long_sources(spark):
+    from difflib import SequenceMatcher
+
+    quote, source = "the cells were not stained at all", "abcdefgh the cells " * 30
+    row = M.verbatim_ratio(spark.createDataFrame([(quote, source), ("The Cells", source)], "q string, s string"), "q", "s").collect()
+    assert row[0]["ratio"] == pytest.approx(SequenceMatcher(None, quote, source.strip()).ratio(), abs=1e-6) and row[1]["ratio"] == 1.0
 
 
 def test_pareto_and_percentiles(spark):
