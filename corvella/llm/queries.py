@@ -27,7 +27,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of near-duplicates among `documents`, and how many documents each is linked to."""
-    return jaccard_classes(table(spark, sf_dir, "documents")).drop("text_hash")
+    return jaccard_classes(table(spark, sf_dir, "documents")).drop("text_hash", "kept")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
