@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips, laws and awkward rows."""
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -24,6 +25,7 @@ from corvella.llm.line_dedup import line_dedup
 from corvella.llm.sharding import communication_matrix, hypergeometric, shuffle_into_shards
 from corvella.llm.substring_dedup import substring_dedup
 from corvella.llm.suffix_dedup import suffix_dedup
+from corvella.llm.textops import Runs
 from corvella.llm.url_filter import listed_in, build_cascade, url_filter
 
 VOCABULARY = P.path("byte_bpe_multi_50k.tiktoken")
@@ -155,19 +157,92 @@ def test_line_dedup_against_brute_force(spark):
 
 def test_jaccard_classes_against_brute_force(spark):
     docs = corpus(8, 90)
-    sets = [set(shingle_sets([(t or "").encode()], 5)[0].tolist()) for _, t in docs]
+    want = brute_classes(docs)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_classes(frame(spark, docs)).collect()}
+    assert got == want and any(n for _, n in want.values())
+
+
+def brute_classes(docs, n=5):
+    sets = [set(shingle_sets([(t or "").encode()], n)[0].tolist()) for _, t in docs]
     links, root = defaultdict(set), {i: i for i, _ in docs}
     for i in range(len(docs)):
         for j in range(i):
             if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 links[docs[i][0]].add(docs[j][0])
                 links[docs[j][0]].add(docs[i][0])
-    for _ in docs:
+    changed = True
+    while changed:
+        changed = False
         for a, bs in links.items():
-            root[a] = min([root[a], *(root[b] for b in bs)])
+            least = min([root[a], *(root[b] for b in bs)])
+            changed |= least != root[a]
+            root[a] = least
+    return {i: (root[i], len(links[i])) for i, _ in docs}
+
+
+def family(rng, base, n, changes, first):
+    """Near copies of a text of `base` words: in each some words are changed."""
+    out = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(changes):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**9)}"
+        out.append((first + i, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("hot_keys", [1024, 4])
+def test_jaccard_of_crowds_that_no_split_takes_apart(spark, monkeypatch, hot_keys):
+    """Splits go deep, pivots settle crowds, and buckets are both few (known to all) and many (met by path)."""
+    monkeypatch.setattr(Jac, "BUCKET", 4)
+    monkeypatch.setattr(Jac, "BLOCK_SETS", 16)
+    monkeypatch.setattr(Jac, "HOT_KEYS", hot_keys)
+    rng = random.Random(9)
+    base = [[f"b{k}w{i}" for i in range(150)] for k in range(4)]
+    docs = [*family(rng, base[0], 60, 1, 0), *family(rng, base[1], 40, 3, 100), *family(rng, base[2], 40, 6, 200), *family(rng, base[3], 30, 14, 300)]
+    want = brute_classes(docs)
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_classes(frame(spark, docs)).collect()}
-    assert got == {i: (root[i], len(links[i])) for i, _ in docs}
-    assert any(links.values())
+    found, all_links = (sum(v[1] for v in x.values()) for x in (got, want))
+    assert 0.99 * all_links <= found <= all_links and all_links > 3000
+    assert sum(got[i] == want[i] for i in want) >= 0.97 * len(want)
+
+
+def test_jaccard_takes_pairs_exactly_at_the_threshold(spark):
+    words = [f"w{i}" for i in range(9)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:8])), (3, " ".join([*words[:7], "y"])), (4, "z " + " ".join(words[:3])), (5, "z " + " ".join(words[:3]))]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_classes(frame(spark, rows), n=1, recall=0.999999).collect()}
+    assert got == brute_classes(rows, 1) and got[1] == (1, 1)  # 8 of 9 words, and 7 of 10
+
+
+def test_jaccard_keeps_one_row_of_a_class(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(None, text + " a"), (None, text + " b"), (7, text), (7, text + " c"), (8, "other words"), (None, None), (9, None)]
+    got = jaccard_classes(frame(spark, rows)).collect()
+    assert Counter((r["class_id"], r["kept"]) for r in got) == {(None, True): 2, (None, False): 3, (8, True): 1, (9, True): 1}
+
+
+def thue_morse(a, b, n=10):
+    s = t = ""
+    s, t = a, b
+    for _ in range(n):
+        s, t = s + t, t + s
+    return s, t
+
+
+def test_words_that_collide_modulo_a_power_of_two(spark):
+    """The Thue-Morse word of 1,024 letters and its complement have equal polynomial hashes modulo 2**64 in any odd base."""
+    one, two = thue_morse("a", "b")
+    same = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{one} {same}"), (2, f"{two} {same}")]
+    assert [r["n_removed"] for r in substring_dedup(frame(spark, rows)).collect()] == [0, 0]
+    assert [r["n_links"] for r in jaccard_classes(frame(spark, [(1, f"{one} a b c d"), (2, f"{two} a b c d")])).collect()] == [0, 0]
+    lines = [(1, f"{one}\nx\ny"), (2, f"{two}\nx\ny")]
+    assert [r["n_removed"] for r in line_dedup(frame(spark, lines)).collect()] == [0, 0]
+    for k in (100, 1024):
+        assert [r["n_removed"] for r in suffix_dedup(frame(spark, [(1, one[:k]), (2, two[:k])]), width=k).collect()] == [0, 0]
+    numbers = [np.array([ord(c) for c in x], np.uint8) for x in (one, two)]
+    for which in (0, 1):
+        assert len({int(Runs(n, which).grams(1024)[0]) for n in numbers}) == 2
 
 
 def test_jaccard_finds_pairs_in_crowded_buckets(spark, monkeypatch):
@@ -222,6 +297,27 @@ def test_bpe_equals_the_library_and_round_trips():
         assert "".join(codec.decode_stream(ids, block=rng.randint(1, 5))) == s
 
 
+def test_vocabularies_in_turn_on_one_worker(spark, tmp_path):
+    import base64
+
+    path = tmp_path / "bytes.tiktoken"
+    path.write_text("".join(f"{base64.b64encode(bytes([i])).decode()} {i}\n" for i in range(256)))
+    docs = spark.createDataFrame([(1, "the words of a text")], "doc_id long, text string").coalesce(1)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=read_ranks(VOCABULARY), special_tokens={})
+    whole, parts = library.encode_ordinary("the words of a text"), list(b"the words of a text")
+    for vocabulary, want in ((VOCABULARY, whole), (str(path), parts)) * 3:
+        assert bpe_encode_decode(docs, vocabulary, P.PATTERN).first()["ids"] == want
+
+
+def test_bpe_when_little_is_remembered():
+    ranks = read_ranks(VOCABULARY)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec, rng = Codec(ranks, P.PATTERN, pieces=20), random.Random(4)
+    for _ in range(200):
+        s = "".join(rng.choice(["a", "e", "th", " ", "ing", "xyz", "ß", "漢", "qq", "er", "in"]) for _ in range(60))
+        assert np.frombuffer(codec.encode(s), "<u4").tolist() == library.encode_ordinary(s)
+
+
 def test_utf8_stream_takes_any_cut():
     text = "aß漢🙂é" * 3
     for cut in range(1, 6):
@@ -344,6 +440,51 @@ def restorer():
     return Tox.Restorer(-np.log(counts / counts.sum(axis=-1, keepdims=True)).astype(np.float32))
 
 
+def exhaustive(r, text):
+    """The cheapest of all readings of a lattice."""
+    best = (np.inf, "")
+    number = {" ": 0, "¿": 27, "#": 28}
+    for path in itertools.product(*r.lattice(text), [(" ", 0.0)]):
+        cost, at = 0.0, 0
+        for out, price in path:
+            cost += price
+            for x in out:
+                s = number.get(x)
+                s = ord(x) - 96 if s is None else s
+                cost += r.costs[at * Tox.SYMBOLS + s]
+                at = at % Tox.SYMBOLS**2 * Tox.SYMBOLS + s
+        best = min(best, (cost, "".join(o for o, _ in path).strip()))
+    return best
+
+
+def test_toxicity_decodes_the_likeliest_reading():
+    r, rng = restorer(), random.Random(6)
+    for _ in range(150):
+        text = "".join(rng.choice("idot1!*0m@$csu+(|6 ") * rng.choice([1, 1, 1, 2, 3]) for _ in range(rng.randint(1, 5)))
+        assert r.decode(text) == exhaustive(r, text)[1]
+
+
+def test_toxicity_finds_what_full_decoding_finds():
+    r, rng, lexicon = restorer(), random.Random(7), {"idiot", "worthless", "scum", "moron", "clown", "größe", "the", "ee"}
+    said = ["1d10t", "m0r0n", "id.i.ot", "w o r t h l e s s", "(lown", "c.l.o.w.n", "*diot", "größe", "GRÖSSE", "st upid", "a_moron_b", "sc\tum", "ıdiot", "£oser", "ß", "s-c-u-m", "$cum)", "x/idiot:y", "tr@@@sh", "İdiot", "\x1cidiot\x85scum", "a\u2003moron\xa0b", "the", "and", "12"]
+    texts = [None, "", *(" ".join(rng.choice(said) for _ in range(rng.randint(0, 9))) for _ in range(600))]
+    assert Tox.Finder(r, lexicon).found(texts) == [sorted(r.restored(t or "") & lexicon) for t in texts]
+    assert Tox.Finder(r, []).found(["idiot", None]) == [[], []]
+
+
+def test_toxicity_learns_words_from_few_labels():
+    counts = [(4, 4, 5), (4, 1, 250), (4, 0, 250), (3, 3, 3), (3, 0, 600), (2, 2, 80), (2, 0, 2000)]
+    assert [x[:2] for x in Tox.telling(counts, 0.147)] == [(4, 4)]
+    assert Tox.telling([(4, 4, 5), (4, 1, 25000)], 0.147) == [] and Tox.telling([], 0.5) == []
+
+
+def test_toxicity_models_in_turn_on_one_worker(spark):
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    docs = [spark.createDataFrame([(i, f"{a} {b} {'scum' if i % 3 == 0 else 'fine'} {i} sc0m") for i in range(60)], "doc_id long, text string").coalesce(1) for a, b in (("scum", "words"), ("som", "som"))]
+    first = [sorted(map(str, Tox.toxicity(d, labels).collect())) for d in docs]
+    assert [sorted(map(str, Tox.toxicity(d, labels).collect())) for d in docs] == first
+
+
 def test_toxicity_decodes_at_any_length():
     r, spaced = restorer(), " ".join("youareaworthlessidiot" * 4)
     assert len(spaced) > 96 and {"worthless", "idiot"} <= r.restored(spaced)
