@@ -26,36 +26,37 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that toxicity scoring does not reject."""
+    """Documents that toxicity scoring does not reject. Null and empty texts say nothing and stay; rows alike in text stay or go together."""
     return toxicity(docs, table(spark, sf_dir, "labels"), carry=True).where("predicted = 0").select("doc.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id; rows that repeat both become one."""
+    """Of equal texts (a null one is empty) the document with the largest doc_id, a null id ranking last; rows that repeat id and text become one."""
     groups = exact_dedup(docs.select("doc_id", "text"), keep="largest")
     repeats = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
     if repeats:
-        docs = docs.dropDuplicates(["doc_id", "text"])
+        docs = docs.withColumn("_empty", F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", "_empty"]).drop("_empty")
     gone = groups.where(~F.col("kept")).select(safe_id("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_text")).distinct()
     own = F.sha2(F.coalesce("text", F.lit("")), 256)
     return docs.join(gone, (safe_id("doc_id") == F.col("_gone_id")) & (own == F.col("_gone_text")), "left_anti")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest doc_id."""
-    classes = jaccard_classes(docs.select("doc_id", "text"))
-    return _without(docs, classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "text_hash"))
+    """Of each class of near-duplicates the first document by doc_id (a null id ranks first, equal ids by a hash of the text).
+
+    Texts without words are no copies of each other and stay."""
+    return _without(docs, jaccard_classes(docs.select("doc_id", "text")).where(~F.col("kept")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth lies in passages of the benchmark."""
+    """Documents of which less than a twentieth lies in passages of the benchmark. Texts without words stay; rows alike in text stay or go together."""
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=True)
     return contamination_report(found).where(~F.col("contaminated")).select("doc.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text left, with digests of the ids and of what they decode to."""
-    return bpe_encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, pieces=120_000)  # executors' heaps are full by now
+    """The ids of every text left (of a null or empty one none), with digests of the ids and of what they decode to; a row for each row."""
+    return bpe_encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, pieces=60_000)  # executors' heaps are full by now
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact_copies), ("ngram_jaccard", drop_near_copies), ("decontamination", drop_contaminated), ("bpe", tokenize)]
