@@ -5,16 +5,13 @@ from __future__ import annotations
 import math
 import string
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvella.llm.common import materialize
 
-#: A level of more bytes than this isn't put into a plan; see `url_filter`.
-MAX_LEVEL_BYTES = 8 << 20
-
 
 def url_parts(url: str | Column) -> tuple[Column, Column]:
     """(host, path) of a url; both are empty where it is null or has no ://."""
@@ -33,38 +30,42 @@ class Level:
     hashes: int
     bits: bytes
 
+    @cached_property
+    def column(self) -> Column:
+        """The filter as one constant: however often it is asked, a plan holds its bytes once."""
+        return F.lit(self.bits)
+
     @staticmethod
     def positions(key: Column, seed: int, hashes: int, size: int) -> list[Column]:
         return [F.pmod(F.xxhash64(F.lit(seed), F.lit(j), key), F.lit(size)) for j in range(hashes)]
 
     def has(self, key: Column) -> Column:
         def bit(p: Column) -> Column:
-            byte = F.ascii(F.decode(F.substring(F.lit(self.bits), (F.floor(p / 8) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
+            byte = F.ascii(F.decode(F.substring(self.column, (F.floor(p / 8) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
             return F.getbit(byte, (p % 8).cast("int")) == 1
 
         return reduce(lambda a, b: a & b, map(bit, self.positions(key, self.seed, self.hashes, len(self.bits) * 8)))
 
 
-def _level(members: DataFrame, n: int, rate: float, seed: int) -> Level | None:
-    """Encode the `n` keys of `members` with the false positive rate asked for; None if the filter would be too large."""
+def _level(members: DataFrame, n: int, rate: float, seed: int) -> Level:
+    """Encode the `n` keys of `members` with the false positive rate asked for."""
     size = max(64, 8 * math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 8))
     hashes = max(1, round(-math.log2(rate)))
-    if size // 8 > MAX_LEVEL_BYTES:
-        return None
     bit = F.explode(F.array(*Level.positions(F.col("key"), seed, hashes, size))).alias("bit")
     words = members.select(bit).groupBy(F.floor(F.col("bit") / 8).alias("byte")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("bit") % 8).cast("int"))).alias("v"))
     filled = bytearray(size // 8)
-    for row in words.toLocalIterator():  # at most MAX_LEVEL_BYTES rows, whatever the corpus
+    for row in words.toLocalIterator():  # the bytes of the filter, which follow the list of rules and not the corpus
         filled[row["byte"]] = row["v"]
     return Level(seed, hashes, bytes(filled))
 
 
-def build_cascade(universe: DataFrame, listed: str) -> list[Level] | None:
+def build_cascade(universe: DataFrame, listed: str) -> list[Level]:
     """Filters that tell exactly which keys of `universe` (key, and a boolean column named by `listed`) are listed.
 
     Level 1 encodes the listed keys. Level 2 encodes its false positives among all other keys of the universe, level 3
     those listed keys that level 2 takes for false positives, and so on, until a level errs on no key. The first rate
-    makes levels 1 and 2 about as large as each other; later levels halve what is left. None: a level is too large.
+    makes levels 1 and 2 about as large as each other; later levels halve what is left. So every level is of the order of
+    the listed keys (which the driver holds as rules), and has a bit more a key where the others double.
     """
     counts = universe.groupBy().agg(F.count_if(F.col(listed)).alias("n"), F.count_if(~F.col(listed)).alias("others")).first()
     inside, n = universe.where(F.col(listed)).select("key"), counts["n"]
@@ -72,8 +73,6 @@ def build_cascade(universe: DataFrame, listed: str) -> list[Level] | None:
     levels: list[Level] = []
     while n:
         level = _level(inside, n, rate, len(levels))
-        if level is None:
-            return None
         levels.append(level)
         wrong = materialize(outside.where(level.has(F.col("key"))))
         inside, outside, n, rate = wrong, inside, wrong.count(), 0.5
@@ -99,7 +98,7 @@ def url_filter(pages: DataFrame, block: list[tuple[str, str]], allow: list[tuple
     * A null url, or one without ://, has an empty host and path; no rule fits it.
     * Repeated rows each get their verdict; an empty table gives an empty result.
     * A key that is both blocked and allowed counts as blocked.
-    * A list too long for a filter of MAX_LEVEL_BYTES is looked up by a shuffled join on the same keys instead.
+    * Null or repeated ids are rows like any others; hosts and paths may be of any length.
     """
     host, path = url_parts(url_col)
     rows = pages.select(F.col(id_col).alias("_id"), host.alias("_host"), path.alias("_path"))
@@ -119,17 +118,9 @@ def url_filter(pages: DataFrame, block: list[tuple[str, str]], allow: list[tuple
     def fitting(k: Column, labels: int, verdict: Column) -> Column:
         return F.when(verdict.isNotNull(), F.struct(F.length(k).alias("size"), F.length(F.substring_index("_host", ".", -labels)).alias("host_size"), k.alias("key"), verdict.alias("verdict"))).cast(fit)
 
-    if None not in cascades.values():
-        found = []
-        for i, (labels, _) in enumerate(shapes):
-            k = F.col("_keys")[i]
-            found.append(fitting(k, labels, F.when(listed_in(cascades["block"], k), "block").when(listed_in(cascades["allow"], k), "allow")))
-        best = F.array_max(F.array(*found)) if found else F.lit(None).cast(fit)
-        judged = rows.withColumn("_best", best)
-    else:
-        numbered = rows.withColumn("_row", F.monotonically_increasing_id())
-        looked_up = numbered.select("_row", "_host", F.posexplode("_keys").alias("_i", "key")).join(universe.where("block or allow"), "key")
-        verdict = F.when(F.col("block"), "block").otherwise("allow")
-        each = reduce(lambda a, b: F.coalesce(a, b), (F.when(F.col("_i") == i, fitting(F.col("key"), s[0], verdict)) for i, s in enumerate(shapes)))
-        judged = numbered.join(looked_up.groupBy("_row").agg(F.max(each).alias("_best")), "_row", "left")
+    found = []
+    for i, (labels, _) in enumerate(shapes):
+        k = F.col("_keys")[i]
+        found.append(fitting(k, labels, F.when(listed_in(cascades["block"], k), "block").when(listed_in(cascades["allow"], k), "allow")))
+    judged = rows.withColumn("_best", F.array_max(F.array(*found)) if found else F.lit(None).cast(fit))
     return judged.select(F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_best.key").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
