@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvella.llm.common import join_facts, materialize, safe_id
+from corvella.llm.common import bounded_batches, join_facts, materialize, safe_id
 from corvella.llm.textops import Runs, slices
 
 
@@ -74,6 +74,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
       and rows alike in id and text get the same result, neither being earlier than the other.
     * Windows are counted by hash with partial sums before the shuffle, so one that is everywhere costs each task a row.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("row"), safe_id(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("text"))
     found = rows.select("_id", "_th", "text").mapInArrow(_windows(width), "_id long, _th long, pos int, window binary")
     repeated = materialize(found.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("_id", "pos")).alias("first")).where("n > 1"))

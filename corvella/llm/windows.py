@@ -4,7 +4,7 @@ Two windows can only be equal if they have the same anchor: the run of `gram` un
 leftmost of equals). Neighbouring windows mostly share one, so a document is cut into contexts - an anchor and all units
 of the windows that have it - of which there is one for about every (window - gram) / 2 units:
 
-1. Scan: a row for each context: hash of the anchor, hash of the context, document, place. Of equal contexts in one batch
+1. Scan: a row for each context: hash of the anchor, hash of the context, document, place. Of equal contexts in some batches
    only the first goes on; the others are known to be repeated and leave as spans.
 2. Contexts meet by anchor. One that equals an earlier one is a span. An anchor with one context has nothing repeated.
    What remains ambiguous are anchors with several different contexts, which share some windows or none.
@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvella.llm.common import join_facts, materialize, safe_id
+from corvella.llm.common import bounded_batches, join_facts, materialize, safe_id
 from corvella.llm.textops import NOT_SPACE, Runs, Words, slices
 
-#: Contexts of one anchor that one task may get; anchors with more are compared window by window, by hash.
+#: Contexts of one anchor that one task may get; those of anchors with more are compared window by window, byte by byte, in as many tasks as it takes.
 GROUP_LIMIT = 100_000
+#: Contexts among which a scan looks for equal ones before they are exchanged.
+TOGETHER = 500_000
 #: Bytes of context text that are confirmed together.
 BLOCK_BYTES = 4 << 20
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
@@ -118,14 +120,21 @@ def _batch(columns: dict) -> pa.RecordBatch:
 
 
 def _scan(scheme: Scheme):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterable[pa.RecordBatch]) -> Iterator[list]:
+        parts: list[tuple] = []
         for batch in batches:
-            ids, ths, parts = batch["id"].to_numpy(), batch["th"].to_numpy(), []
+            ids, ths = batch["id"].to_numpy(), batch["th"].to_numpy()
             for begin, texts in slices(batch["text"]):
                 doc, *rest = contexts(*scheme.units(texts), scheme)
                 parts.append((ids[begin + doc], ths[begin + doc], *rest))
-            if not parts:
-                continue
+            if sum(len(p[0]) for p in parts) > TOGETHER:
+                yield parts
+                parts = []
+        if parts:
+            yield parts
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in found(batches):
             id_, th, anchor, context, start, stop = (np.concatenate(p) for p in zip(*parts, strict=True))
             by = np.lexsort((start, id_, context, anchor))
             first = _first_flags([anchor[by], context[by]])
@@ -246,20 +255,22 @@ def _confirm(scheme: Scheme, confirm: Confirm):
 
 
 def _window_rows(scheme: Scheme):
+    """Every window of some pieces as a row with its bytes."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for id_, th, start, piece in zip(batch["id"].to_pylist(), batch["th"].to_pylist(), batch["start"].to_pylist(), batch["piece"].to_pylist(), strict=True):
-                units, _ = scheme.units([piece])
-                runs, at = Runs(units), np.arange(len(units) - scheme.window + 1)
-                h2 = Runs(units, 1).hash(at, at + scheme.window)
-                n = len(at)
-                yield _batch({"h1": runs.hash(at, at + scheme.window).view(np.int64), "h2": h2.view(np.int64), "id": np.full(n, id_), "th": np.full(n, th), "start": start + at})
+                units, first = scheme.units([piece])
+                n, part = int(first[-1]) - scheme.window + 1, scheme.piece(piece)
+                windows = pa.array([part(i, i + scheme.window) for i in range(n)], pa.binary())
+                yield pa.RecordBatch.from_pydict({"window": windows, "id": pa.array(np.full(n, id_, np.int64)), "th": pa.array(np.full(n, th, np.int64)), "start": pa.array(start + np.arange(n))})
 
     return run
 
 
 def repeated_spans(docs: DataFrame, scheme: Scheme, confirm: Confirm) -> DataFrame:
     """The spans (id, th, start, stop) of `docs` (id, th, text) that windows occurring earlier cover."""
+    bounded_batches(docs.sparkSession)
     scanned = docs.mapInArrow(_scan(scheme), CONTEXTS)
     order = ["kind", "anchor", "context", "id", "start", "th"]
     resolved = materialize(scanned.repartition("anchor").sortWithinPartitions(*order).mapInArrow(_resolve, CONTEXTS))
@@ -272,9 +283,9 @@ def repeated_spans(docs: DataFrame, scheme: Scheme, confirm: Confirm) -> DataFra
         pieces = materialize(pieces)
         crowded = pieces.join(F.broadcast(crowds) if n_crowds < 100_000 else crowds, "anchor").drop("n")
         pieces = pieces.join(F.broadcast(crowds) if n_crowds < 100_000 else crowds, "anchor", "left_anti")
-        rows = crowded.mapInArrow(_window_rows(scheme), "h1 long, h2 long, id long, th long, start long").withColumn("key", F.concat_ws("/", "h1", "h2"))
-        firsts = materialize(rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "start")).alias("first")).where("n > 1"))
-        late = join_facts(rows, firsts, "key", "n").where(F.struct("id", "start") > F.col("first"))
+        rows = crowded.mapInArrow(_window_rows(scheme), "window binary, id long, th long, start long")
+        firsts = materialize(rows.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("id", "start")).alias("first")).where("n > 1"))
+        late = join_facts(rows, firsts, "window", "n").where(F.struct("id", "start") > F.col("first"))
         known = known.unionByName(late.select("id", "th", "start", (F.col("start") + scheme.window).alias("stop")))
     confirmed = pieces.repartition("anchor").sortWithinPartitions("anchor", "id", "start").mapInArrow(_confirm(scheme, confirm), SPANS)
     return known.unionByName(confirmed)
