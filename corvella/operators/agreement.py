@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvella.functions import text as T
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -23,22 +25,61 @@ def similarity_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> Data
     return a.join(b, keys).select(*keys, "a", "b", cosine(F.col("_ea"), F.col("_eb")).alias("similarity"))
 
 
-def soft_alignment(pairs: DataFrame, keys: list[str], tau: float = 0.15) -> DataFrame:
-    """Coverage from both sides (similarities clipped to 0..1, zero below tau) times the factor for unequal counts."""
+def soft_alignment(pairs: DataFrame, keys: list[str], tau: float = 0.15, reuse_weight: float = 0.15, contradiction_weight: float = 0.20, a_claim: str | None = None, b_claim: str | None = None) -> DataFrame:
+    """How far two sets of claims agree: coverage from both sides (similarities clipped to 0..1, zero below tau) times
+    factors for unequal counts, for claims of one side that all choose the same partner, and for contradictions.
+
+    The partner of a claim is the most similar one, the first of equals. Contradictions are the larger share, among a's claims
+    with a partner at tau or above, of opposed polarities and of single numbers that differ twofold; they take the
+    claims' texts (columns `a_claim`, `b_claim`). A key without pairs has no row: its score is 0.
+    """
     s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("similarity")))
-    s = F.when(s < tau, 0.0).otherwise(s)
-    rows = pairs.withColumn("_s", s)
-    side = lambda x: rows.groupBy(*keys, x).agg(F.max("_s").alias("_m")).groupBy(*keys).agg(F.avg("_m").alias(f"cover_{x}"), F.count("*").alias(f"n_{x}"))
-    out = side("a").join(side("b"), keys)
-    count = F.pow(F.least("n_a", "n_b") / F.greatest("n_a", "n_b"), F.lit(0.25))
-    return out.withColumn("score", F.round((F.col("cover_a") + F.col("cover_b")) / 2 * count, 6))
+    rows = pairs.withColumn("_s", F.when(s < tau, 0.0).otherwise(s))
+    first = lambda x: F.struct(F.col("_s"), -F.col(x))
 
+    def side(x: str, y: str) -> DataFrame:
+        best = rows.groupBy(*keys, x).agg(F.max("_s").alias("_m"), F.max_by(y, first(y)).alias("_to"))
+        chosen = best.groupBy(*keys, "_to").agg(F.count("*").alias("_k"), F.sum("_m").alias("_m"))
+        return chosen.groupBy(*keys).agg((F.sum("_m") / F.sum("_k")).alias(f"cover_{x}"), F.sum("_k").alias(f"n_{x}"), F.max("_k").alias(f"most_{x}"))
 
-def consensus(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """For each key the voter with the highest mean similarity to the others, the smaller of equals, and that mean."""
+    out = side("a", "b").join(side("b", "a"), keys)
+
+    def reuse(x: str, y: str) -> Column:
+        n, share = F.col(f"n_{y}"), F.col(f"most_{x}") / F.col(f"n_{x}")
+        return F.when(n > 1, 1 - reuse_weight * F.greatest(F.lit(0.0), share - 1 / n) / (1 - 1 / n)).otherwise(1.0)
+
+    count = F.pow(F.least("n_a", "n_b") / F.greatest("n_a", "n_b"), F.lit(0.25))
+    out = out.withColumn("count_factor", count).withColumn("reuse_factor", (reuse("a", "b") + reuse("b", "a")) / 2).withColumn("contradiction", F.lit(0.0))
+    if a_claim and b_claim:
+        strong = rows.groupBy(*keys, "a").agg(*(F.max_by(c, first("b")).alias(n) for c, n in ((a_claim, "_ca"), (b_claim, "_cb"), ("_s", "_m")))).where(F.col("_m") >= tau)
+        strong = strong.withColumn("_pa", T.polarity("_ca")).withColumn("_pb", T.polarity("_cb"))
+        opposed, apart = F.count_if((F.col("_pa") * F.col("_pb")) == -1), F.count_if(T.numeric_contradiction("_ca", "_cb"))
+        found = strong.groupBy(*keys).agg((F.greatest(opposed, apart) / F.count("*")).alias("_c"))
+        out = out.drop("contradiction").join(found, keys, "left").withColumn("contradiction", F.coalesce("_c", F.lit(0.0))).drop("_c")
+    score = (F.col("cover_a") + F.col("cover_b")) / 2 * F.col("count_factor") * F.col("reuse_factor") * (1 - contradiction_weight * F.col("contradiction"))
+    return out.withColumn("score", F.round(score, 6))
+
+
+def consensus(pairs: DataFrame, keys: list[str], quality: DataFrame | None = None) -> DataFrame:
+    """For each key the voter with the highest mean similarity to the others, and that mean.
+
+    `quality` (keys, v, n_findings, pass_share, evidence) leaves voters without findings out, unless all are, and breaks ties
+    by the share of grounded findings, then the mean length of evidence, then the number of findings; then the smaller voter stays.
+    """
     both = pairs.select(*keys, F.col("a").alias("v"), "similarity").union(pairs.select(*keys, F.col("b"), "similarity"))
     means = both.groupBy(*keys, "v").agg(F.round(F.avg("similarity"), 6).alias("_m"))
-    return means.groupBy(*keys).agg(F.max("_m").alias("deferral"), F.max_by("v", F.struct("_m", -F.col("v"))).alias("best_voter"))
+    deferral = F.max("_m").alias("deferral")
+    if quality is None:
+        return means.groupBy(*keys).agg(deferral, F.max_by("v", F.struct("_m", -F.col("v"))).alias("best_voter"))
+    known = means.join(quality, [*keys, "v"], "left").fillna(0, ["n_findings", "pass_share", "evidence"])
+    some = F.col("n_findings") > 0
+    order = F.struct(some, F.col("_m"), F.when(some, F.col("pass_share")).otherwise(0.0), F.when(some, F.col("evidence")).otherwise(0.0), F.when(some, F.col("n_findings")).otherwise(0), -F.col("v"))
+    return known.groupBy(*keys).agg(deferral, F.max_by("v", order).alias("best_voter"))
+
+
+def best_output(voters: DataFrame, keys: list[str]) -> DataFrame:
+    """The voter to fall back on: the longest mean evidence, then the most findings, then the first (keys, v, n_findings, evidence)."""
+    return voters.groupBy(*keys).agg(F.max_by("v", F.struct("evidence", "n_findings", -F.col("v"))).alias("best_voter"))
 
 
 def decide(theta: float | Column, reject: float | Column, keep_single: bool = True) -> Column:

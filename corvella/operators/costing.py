@@ -16,8 +16,7 @@ def with_prices(usage: DataFrame, prices: DataFrame) -> DataFrame:
 
 def call_cost(batch_factor: float = 0.5) -> Column:
     """Cost of a call; cached tokens at their own price, or the input's where there is none. Null without a price."""
-    base = (F.col("input_tokens") - F.col("cached_tokens")) * F.col("p_in") / 1e6 + F.col("output_tokens") * F.col("p_out") / 1e6 + F.col("cached_tokens") * F.coalesce("p_cached", "p_in") / 1e6
-    return F.when(F.col("batch_used"), base * batch_factor).otherwise(base)
+    return F.when(F.col("batch_used"), base_cost() * batch_factor).otherwise(base_cost())
 
 
 def rollup(priced: DataFrame, *keys: str) -> DataFrame:
@@ -49,20 +48,75 @@ def escalation(usage: DataFrame) -> DataFrame:
     return items.groupBy("stage").agg(n.alias("items"), up.alias("escalated"), F.round(up / n, 6).alias("rate"))
 
 
+def base_cost() -> Column:
+    """A call's cost at the regular price."""
+    return (F.col("input_tokens") - F.col("cached_tokens")) * F.col("p_in") / 1e6 + F.col("output_tokens") * F.col("p_out") / 1e6 + F.col("cached_tokens") * F.coalesce("p_cached", "p_in") / 1e6
+
+
 def batch_savings(priced: DataFrame) -> DataFrame:
-    """What batched calls would have cost at the regular price, and what they did."""
-    paid = F.sum(F.when(F.col("batch_used"), F.col("cost")))
-    return priced.where("status = 'ok' AND cost IS NOT NULL").groupBy("stage").agg(F.round(paid * 2, 6).alias("regular"), F.round(paid, 6).alias("discounted"), F.round(paid, 6).alias("saved"))
-
-
-def scenarios(priced: DataFrame, strong_in: float, strong_out: float) -> DataFrame:
-    """Costs if every item went to the strong model (A), that batched (B), as it was without discounts (C), as it was (D); each low, central, high."""
-    strong = F.sum(F.col("input_tokens") * strong_in / 1e6 + F.col("output_tokens") * strong_out / 1e6)
-    full = F.sum(F.when(F.col("batch_used"), F.col("cost") * 2).otherwise(F.col("cost")))
-    wide = priced.where("status = 'ok'").agg(strong.alias("A"), (strong * 0.5).alias("B"), full.alias("C"), F.sum("cost").alias("D"))
-    long = wide.select(F.expr("stack(4, 'A', A, 'B', B, 'C', C, 'D', D) AS (scenario, cost)"))
-    a = F.max(F.when(F.col("scenario") == "A", F.col("cost"))).over(Window.partitionBy())  # four rows
-    return long.withColumn("a", a).select("scenario", *(F.round(F.col("cost") * x, 4).alias(n) for n, x in (("low", 0.75), ("central", 1.0), ("high", 1.25))), F.round((F.col("a") - F.col("cost")) / F.col("a") * 100, 4).alias("saving_pct"))
+    """What batched calls would have cost at the regular price, what they did, and the difference."""
+    batched = priced.where(F.col("batch_used") & (F.col("status") == "ok") & F.col("cost").isNotNull())
+    regular, paid = F.sum(base_cost()), F.sum("cost")
+    return batched.groupBy("stage").agg(F.round(regular, 6).alias("regular"), F.round(paid, 6).alias("discounted"), F.round(regular - paid, 6).alias("saved"))
+
+
+def scenarios(priced: DataFrame, prices: DataFrame, spread: float = 0.25, batch_factor: float = 0.5) -> DataFrame:
+    """Four scenarios: every item goes to the strong model at once (A), that batched (B), the cascade as it was without
+    batch discounts (C), the cascade as it was (D). One row each: tokens, cost (low, central, high), per paper, savings against A.
+
+    Items are the stages and items that a level has seen; an item's prompt has the tokens of its first record. The strong
+    model is the most frequent one of level 3 (the first seen of equals). It is expected to answer with the stage's mean
+    positive output of level 3, else of all levels, else with nothing; low and high change that by `spread`.
+    A cost is null if a price is missing. `priced` has event_id (the order of records), prices and cost.
+    """
+    level3 = priced.where("level = 3")
+    strong = level3.groupBy("model").agg(F.count("*").alias("_n"), F.min("event_id").alias("_first")).orderBy(F.desc("_n"), "_first").limit(1).select(F.col("model").alias("_strong"))
+    price = strong.join(prices, F.col("_strong") == F.col("model"), "left").join(prices.select(F.col("model").alias("_bare"), F.col("p_in").alias("_bi"), F.col("p_out").alias("_bo")), F.substring_index("_strong", "@", 1) == F.col("_bare"), "left")
+    price = price.select(F.coalesce("p_in", "_bi").alias("s_in"), F.coalesce("p_out", "_bo").alias("s_out"))
+    items = priced.where("level IS NOT NULL").groupBy("stage", F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item")).agg(F.min_by("input_tokens", "event_id").alias("tokens"))
+    positive = F.when(F.col("output_tokens") > 0, F.col("output_tokens"))
+    answer = priced.groupBy("stage").agg(F.coalesce(F.avg(F.when(F.col("level") == 3, positive)), F.avg(positive), F.lit(0.0)).alias("answer"))
+    asked = items.groupBy("stage").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).join(answer, "stage").agg(F.sum("tokens").alias("i"), F.sum(F.col("n") * F.col("answer")).alias("o"))
+    # one row: A and B from the items, C and D from the records, and the number of papers
+    billed = F.col("status") == "ok"
+    known = F.coalesce(F.max((billed & F.col("cost").isNull()).cast("int")), F.lit(0)) == 0
+    flat = F.col("input_tokens") * F.col("p_in") / 1e6 + F.col("output_tokens") * F.col("p_out") / 1e6
+    real = priced.agg(
+        F.sum(F.when(billed, F.col("input_tokens"))).alias("ci"), F.sum(F.when(billed, F.col("output_tokens"))).alias("co"), F.when(known, F.sum(F.when(billed, flat))).alias("c"),
+        F.sum("input_tokens").alias("di"), F.sum("output_tokens").alias("do"), F.when(known, F.sum(F.when(billed, F.col("cost")))).alias("d"), F.greatest(F.count_distinct("paper_id"), F.lit(1)).alias("papers"),
+    )
+    one = asked.join(F.broadcast(real), F.lit(True)).join(F.broadcast(price), F.lit(True), "left")  # a row each
+    whole = lambda x: F.floor(F.col("o") * x)
+    strong_cost = lambda x: F.col("i") * F.col("s_in") / 1e6 + whole(x) * F.col("s_out") / 1e6
+    row = lambda name, i, o, costs: F.struct(F.lit(name).alias("scenario"), i.alias("input_tokens"), o.cast("long").alias("output_tokens"), *(c.alias(n) for n, c in zip(("low", "central", "high"), costs, strict=True)))
+    a = [strong_cost(x) for x in (1 - spread, 1.0, 1 + spread)]
+    rows = F.array(row("A", F.col("i"), whole(1.0), a), row("B", F.col("i"), whole(1.0), [x * batch_factor for x in a]), row("C", F.col("ci"), F.col("co"), [F.col("c")] * 3), row("D", F.col("di"), F.col("do"), [F.col("d")] * 3))
+    out = one.select(F.explode(rows).alias("r"), a[1].alias("a"), "papers").select("r.*", "a", "papers")
+    saved = F.col("a") - F.col("central")
+    return out.select(
+        "scenario", "input_tokens", "output_tokens", *(F.round(x, 4).alias(x) for x in ("low", "central", "high")), F.round(F.col("central") / F.col("papers"), 4).alias("per_paper"),
+        F.round(saved, 4).alias("saved"), F.round(F.when(F.col("a") > 0, 100 * saved / F.col("a")).otherwise(F.when(saved.isNotNull(), 0.0)), 4).alias("saving_pct"),
+    )
+
+
+def tier_estimate(papers: DataFrame, tiers: DataFrame, prices: DataFrame, chunk_in: int, chunk_out: int, batch_factor: float = 0.5) -> DataFrame:
+    """Calls, tokens and costs by paper (id, chunks) and model of a tier (level, model, rate): all chunks reach level 1, a
+    rounded share (halves to even) the others. `tiers` and `prices` are a handful of rows."""
+    t = with_prices(tiers, prices)
+    calls = F.bround(F.col("chunks") * F.col("rate"), 0).cast("long")
+    cost = F.col("calls") * chunk_in * F.col("p_in") / 1e6 + F.col("calls") * chunk_out * F.col("p_out") / 1e6
+    out = papers.join(F.broadcast(t), F.lit(True)).withColumn("calls", calls)
+    return out.select("id", "level", "model", "calls", (F.col("calls") * chunk_in).alias("input_tokens"), (F.col("calls") * chunk_out).alias("output_tokens"), F.round(cost, 6).alias("cost"), F.round(cost * batch_factor, 6).alias("batch_cost"))
+
+
+#: Blended prices of a call at levels 2 and 3 (fixed values).
+TIER_PRICES = (9.60, 18.00)
+
+
+def escalation_cost(l2: Column, l3: Column, chunks: Column) -> Column:
+    """What a cascade's escalations cost of what they could, 0 to 1: calls of levels 2 and 3 weighted by price; 0 without chunks."""
+    w2, w3 = TIER_PRICES
+    return F.when(chunks > 0, (w2 * F.coalesce(l2, F.lit(0)) + w3 * F.coalesce(l3, F.lit(0))) / ((w2 + w3) * chunks)).otherwise(0.0)
 
 
 def cumulative(rows: DataFrame, keys: list[str], order: list[Column], value: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,11 +33,23 @@ def duplicates(boxes: DataFrame, ratio: float = 0.5) -> DataFrame:
 
 
 def nearest_caption(media: DataFrame, captions: DataFrame) -> DataFrame:
-    """For each medium the caption of its page whose edge is nearest, the first of equals."""
-    m = media.select("doc", "page", F.col("id").alias("m_id"), F.col("y1").alias("m_y1"), F.col("y2").alias("m_y2"))
-    c = captions.select("doc", "page", F.col("id").alias("c_id"), F.col("y1").alias("c_y1"), F.col("y2").alias("c_y2"))
-    distance = F.least(F.abs(F.col("m_y1") - F.col("c_y2")), F.abs(F.col("c_y1") - F.col("m_y2")))
-    return m.join(c, ["doc", "page"]).groupBy("m_id").agg(F.min_by("c_id", F.struct(distance, F.col("c_id"))).alias("c_id"), F.min(distance).alias("distance"))
+    """For each medium the caption of its page whose edge is nearest (top to bottom or bottom to top), the smaller id of equals.
+
+    Edges of a page stand in one order, so a medium looks at its neighbours in it and not at every caption.
+    """
+
+    def along(m_edge: str, c_edge: str) -> DataFrame:
+        own = captions.groupBy("doc", "page", F.col(c_edge).alias("at")).agg(F.min("id").alias("c_id")).withColumn("m_id", F.lit(None).cast("long"))
+        line = media.select("doc", "page", F.col(m_edge).alias("at"), F.lit(None).cast("long").alias("c_id"), F.col("id").cast("long").alias("m_id")).unionByName(own)
+        w = Window.partitionBy("doc", "page").orderBy("at")
+        here = F.when(F.col("c_id").isNotNull(), F.struct("at", "c_id"))
+        below, above = F.last(here, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)), F.first(here, ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+        near = line.withColumn("_b", below).withColumn("_a", above).where("m_id IS NOT NULL")
+        gap = lambda x: F.when(F.col(x).isNotNull(), F.struct(F.abs(F.col("at") - F.col(f"{x}.at")).alias("distance"), F.col(f"{x}.c_id").alias("c_id")))
+        return near.select("m_id", F.explode(F.array_compact(F.array(gap("_b"), gap("_a")))).alias("n"))
+
+    best = along("y1", "y2").union(along("y2", "y1")).groupBy("m_id").agg(F.min("n").alias("n"))
+    return best.select("m_id", "n.c_id", "n.distance")
 
 
 def anchor_bounds(elements: DataFrame, least_height: float = 15.0) -> DataFrame:
@@ -80,8 +92,6 @@ def in_header_zone(page_height: Column, share: float = 0.15) -> Column:
 
 def sidebar_gaps(elements: DataFrame, gap: float) -> DataFrame:
     """Pages with a horizontal gap wider than `gap` between neighbouring left edges: where it begins."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("doc", "page").orderBy("x1", "id")
     return elements.withColumn("_next", F.lead("x1").over(w)).where(F.col("_next") - F.col("x1") > gap).groupBy("doc", "page").agg(F.min("x1").alias("edge"))
 
@@ -113,45 +123,36 @@ def stitch(paragraphs: DataFrame, lossless: bool = True) -> DataFrame:
     """Join a paragraph that is cut off with the next narrative one of its document (doc, pos, text, kind, cut).
 
     A chain of cut paragraphs becomes one if `lossless`; otherwise each takes just its successor, and what was taken and
-    takes in turn is not given out itself.
+    takes in turn is not given out itself. Blank paragraphs add nothing to a chain.
     """
-
-    def one(doc: pd.DataFrame) -> pd.DataFrame:
-        rows = doc.sort_values("pos").to_dict("records")
-        taken: set[int] = set()
-        out = []
-        for i, row in enumerate(rows):
-            if i in taken and lossless:
-                continue
-            text, cut, at = row["text"], row["cut"], i
-            while cut:
-                nxt = next((j for j in range(at + 1, len(rows)) if rows[j]["kind"] == "narrative" and j not in taken), None)
-                if nxt is None or row["kind"] != "narrative":
-                    break
-                taken.add(nxt)
-                text, cut, at = text.rstrip() + " " + rows[nxt]["text"].lstrip(), rows[nxt]["cut"] and lossless, nxt
-            if i not in taken:
-                out.append((row["doc"], row["pos"], text))
-        return pd.DataFrame(out, columns=["doc", "pos", "text"])
-
-    return paragraphs.groupBy("doc").applyInPandas(one, "doc long, pos long, text string")
+    w = Window.partitionBy("doc").orderBy("pos")
+    other = paragraphs.where("kind <> 'narrative'").select("doc", "pos", "text")
+    n = paragraphs.where("kind = 'narrative'").withColumn("_taken", F.coalesce(F.lag("cut").over(w), F.lit(False)))
+    left, right = (lambda x: F.regexp_replace(x, r"^\s+", "")), (lambda x: F.regexp_replace(x, r"\s+$", ""))
+    if not lossless:
+        nxt = F.lead("text").over(w)
+        whole = F.when(F.col("cut") & nxt.isNotNull(), F.concat(right(F.col("text")), F.lit(" "), left(nxt))).otherwise(F.col("text"))
+        return n.withColumn("text", whole).where("NOT _taken").select("doc", "pos", "text").union(other)
+    chains = n.withColumn("_chain", F.sum(F.when(F.col("_taken"), 0).otherwise(1)).over(w)).groupBy("doc", "_chain").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_t"))
+    last = F.size("_t") - 1
+    trimmed = F.transform("_t", lambda x, i: F.when(i == 0, F.when(last == 0, x["text"]).otherwise(right(x["text"]))).when(i == last, left(x["text"])).otherwise(right(left(x["text"]))))
+    return chains.select("doc", "pos", F.array_join(F.when(last == 0, trimmed).otherwise(F.filter(trimmed, lambda x: F.trim(x) != "")), " ").alias("text")).union(other)
 
 
 def expand_rows(rows: DataFrame, gap: float) -> DataFrame:
     """Rebuild tables from rows below a caption (doc, page, y, kind): rows go on while gaps stay within 1.5 times the mean so far or `gap`."""
 
     def one(page: pd.DataFrame) -> pd.DataFrame:
-        out, table, ys = [], 0, []
-        for r in page.sort_values("y", ascending=False).to_dict("records"):
+        out, table, n, top, last = [], 0, 0, 0.0, 0.0  # n rows of the table so far, its caption among them
+        for r in page.sort_values(["y", "kind"], ascending=[False, True]).to_dict("records"):  # a caption before rows of its height
             if r["kind"] == "caption":
-                table, ys = table + 1, [r["y"]]
-            elif ys:
-                gaps = [a - b for a, b in zip(ys, ys[1:], strict=False)]
-                if ys[-1] - r["y"] <= max(gap, 1.5 * sum(gaps) / len(gaps) if gaps else 0):
-                    ys.append(r["y"])
+                table, n, top, last = table + 1, 1, r["y"], r["y"]
+            elif n:
+                if last - r["y"] <= max(gap, 1.5 * (top - last) / (n - 1) if n > 1 else 0):
+                    n, last = n + 1, r["y"]
                     out.append((r["doc"], r["page"], table, r["y"]))
                 else:
-                    ys = []
+                    n = 0
         return pd.DataFrame(out, columns=["doc", "page", "table", "y"])
 
     return rows.groupBy("doc", "page").applyInPandas(one, "doc long, page long, table long, y double")

@@ -30,16 +30,43 @@ def J16_V01_similarity(spark, sf_dir):
     return _pairs(spark, sf_dir).withColumn("similarity", F.round("similarity", 5))
 
 
+CLAIM_TEXT = "CASE {v} % 4 WHEN 0 THEN 'cells increased by ' || CAST({v} % 9 AS VARCHAR) WHEN 1 THEN 'cells decreased by 4' WHEN 2 THEN 'not increased in 2 of 9' ELSE 'seen in CD20 cells' END"
+
+
+def _claim_text(v):
+    k = F.col(v) % 4
+    return F.when(k == 0, F.concat(F.lit("cells increased by "), (F.col(v) % 9).cast("string"))).when(k == 1, "cells decreased by 4").when(k == 2, "not increased in 2 of 9").otherwise("seen in CD20 cells")
+
+
+#: The polarity and the single number of those texts.
+_POLE = "CASE {v} % 4 WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN -1 ELSE 0 END"
+_NUMBER = "CASE {v} % 4 WHEN 0 THEN {v} % 9 WHEN 1 THEN 4 END"
+
+
 @query(f"""WITH s AS (SELECT case_id, a, b, CASE WHEN greatest(0.0, least(1.0, similarity)) < 0.15 THEN 0.0 ELSE greatest(0.0, least(1.0, similarity)) END AS s FROM {SIM}),
-x AS (SELECT case_id, avg(m) AS ca, count(*) AS na FROM (SELECT case_id, a, max(s) AS m FROM s GROUP BY ALL) GROUP BY case_id), y AS (SELECT case_id, avg(m) AS cb, count(*) AS nb FROM (SELECT case_id, b, max(s) AS m FROM s GROUP BY ALL) GROUP BY case_id)
-SELECT case_id, round((ca + cb) / 2 * pow(least(na, nb) / greatest(na, nb), 0.25), 4) AS score FROM x JOIN y USING (case_id)""")
+ba AS (SELECT case_id, a, max(s) AS m, arg_max(b, (s, -b)) AS t FROM s GROUP BY ALL), bb AS (SELECT case_id, b, max(s) AS m, arg_max(a, (s, -a)) AS t FROM s GROUP BY ALL),
+x AS (SELECT case_id, sum(m) / sum(k) AS ca, sum(k) AS na, max(k) AS ka FROM (SELECT case_id, t, count(*) AS k, sum(m) AS m FROM ba GROUP BY ALL) GROUP BY case_id), y AS (SELECT case_id, sum(m) / sum(k) AS cb, sum(k) AS nb, max(k) AS kb FROM (SELECT case_id, t, count(*) AS k, sum(m) AS m FROM bb GROUP BY ALL) GROUP BY case_id),
+st AS (SELECT case_id, {_POLE.format(v='a')} AS pa, {_POLE.format(v='t')} AS pb, {_NUMBER.format(v='a')} AS xa, {_NUMBER.format(v='t')} AS xb FROM ba WHERE m >= 0.15),
+c AS (SELECT case_id, greatest(count(*) FILTER (pa * pb = -1), count(*) FILTER (xa > 0 AND xb > 0 AND greatest(xa, xb) >= 2 * least(xa, xb))) / count(*) AS c FROM st GROUP BY case_id)
+SELECT case_id, round(coalesce(c, 0), 4) AS contradiction, round((ca + cb) / 2 * pow(least(na, nb) / greatest(na, nb), 0.25) * ((CASE WHEN nb > 1 THEN 1 - 0.15 * greatest(0, ka / na - 1 / nb) / (1 - 1 / nb) ELSE 1 END) + (CASE WHEN na > 1 THEN 1 - 0.15 * greatest(0, kb / nb - 1 / na) / (1 - 1 / na) ELSE 1 END)) / 2 * (1 - 0.20 * coalesce(c, 0)), 4) AS score
+FROM x JOIN y USING (case_id) LEFT JOIN c USING (case_id)""")
 def V02_soft_alignment(spark, sf_dir):
-    return A.soft_alignment(_pairs(spark, sf_dir), ["case_id"]).select("case_id", F.round("score", 4).alias("score"))
+    pairs = _pairs(spark, sf_dir).withColumn("ca", _claim_text("a")).withColumn("cb", _claim_text("b"))
+    return A.soft_alignment(pairs, ["case_id"], a_claim="ca", b_claim="cb").select("case_id", F.round("contradiction", 4).alias("contradiction"), F.round("score", 4).alias("score"))
 
 
-@query(f"SELECT case_id, round(max(m), 4) AS deferral FROM (SELECT case_id, v, round(avg(similarity), 6) AS m FROM (SELECT case_id, a AS v, similarity FROM {SIM} UNION ALL SELECT case_id, b, similarity FROM {SIM}) GROUP BY ALL) GROUP BY case_id")
-def V06_D02_consensus(spark, sf_dir):
-    return A.consensus(_pairs(spark, sf_dir), ["case_id"]).select("case_id", F.round("deferral", 4).alias("deferral"))
+@query(f"""WITH m AS (SELECT case_id, v, round(avg(round(similarity, 1)), 6) AS m FROM (SELECT case_id, a AS v, similarity FROM {SIM} UNION ALL SELECT case_id, b, similarity FROM {SIM}) GROUP BY ALL),
+k AS (SELECT *, v % 3 AS n, CASE WHEN v % 3 > 0 THEN round((v % 5) / 5, 6) ELSE 0 END AS p, CASE WHEN v % 3 > 0 THEN v % 7 ELSE 0 END AS e FROM m) SELECT case_id, max(m) AS deferral, arg_max(v, (n > 0, m, p, e, n, -v)) AS best_voter FROM k GROUP BY case_id""")
+def V06_consensus(spark, sf_dir):
+    v = F.col("vec_id")
+    quality = claims(spark, sf_dir).select("case_id", v.alias("v"), (v % 3).alias("n_findings"), F.round((v % 5) / 5, 6).alias("pass_share"), (v % 7).cast("double").alias("evidence"))
+    return A.consensus(_pairs(spark, sf_dir).withColumn("similarity", F.round("similarity", 1)), ["case_id"], quality)
+
+
+@query(f"SELECT case_id, arg_max(vec_id, (vec_id % 4, vec_id % 3, -vec_id)) AS best_voter FROM {CLAIMS} GROUP BY case_id")
+def D02_best_output(spark, sf_dir):
+    v = F.col("vec_id")
+    return A.best_output(claims(spark, sf_dir).select("case_id", v.alias("v"), (v % 4).alias("evidence"), (v % 3).alias("n_findings")), ["case_id"])
 
 
 @query(f"SELECT te_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS lexical FROM (SELECT te_id, list_distinct(string_split(lower(text), ' ')) AS a, list_distinct(string_split(lower(replace(text, 'e', 'a')), ' ')) AS b FROM {TEXT_ELEMENTS})")
@@ -104,16 +131,49 @@ def D13_D14_D15_voter_reuse(spark, sf_dir):
     return A.next_level_voters(v)
 
 
-@query()
+GREEDY = f"""p AS (SELECT case_id, a, b, similarity FROM {SIM} WHERE similarity > 0.05),
+g AS (SELECT DISTINCT case_id, []::BIGINT[] AS ua, []::BIGINT[] AS ub, {{{{'s': 0.0::DOUBLE, 'a': 0::BIGINT, 'b': 0::BIGINT}}}} AS m FROM p
+ UNION ALL SELECT case_id, list_append(ua, -m.a), list_append(ub, -m.b), m FROM (SELECT g.case_id, g.ua, g.ub, max({{{{'s': p.similarity, 'a': -p.a, 'b': -p.b}}}}) AS m FROM g JOIN p ON p.case_id = g.case_id AND NOT list_contains(g.ua, p.a) AND NOT list_contains(g.ub, p.b) GROUP BY ALL)),
+matched AS (SELECT case_id, -m.a AS a, -m.b AS b, m.s AS similarity FROM g WHERE len(ua) > 0)""".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"WITH RECURSIVE {GREEDY} SELECT case_id, a, b, round(similarity, 5) AS similarity FROM matched")
 def M01_greedy_match(spark, sf_dir):
     return M.match(_pairs(spark, sf_dir), "greedy", 0.05).withColumn("similarity", F.round("similarity", 5))
 
 
 @query()
-def M02_M03_optimal_match(spark, sf_dir):
+def M02_optimal_match(spark, sf_dir):
     return M.match(_pairs(spark, sf_dir), "optimal", 0.05).withColumn("similarity", F.round("similarity", 5))
 
 
+FIELDS = ["category", "voter", "note"]
+_NOTE = "CASE WHEN {v} % 3 = 0 THEN ' Seen' WHEN {v} % 3 = 1 THEN 'seen ' END"
+
+
+def _assembled(spark, sf_dir):
+    c = claims(spark, sf_dir).withColumnRenamed("vec_id", "id").withColumn("note", F.when(F.col("id") % 3 == 0, " Seen").when(F.col("id") % 3 == 1, "seen "))
+    return M.assemble(M.match(_pairs(spark, sf_dir), "greedy", 0.05), c.where("side = 'S'"), c.where("side = 'P'"), FIELDS)
+
+
+ASSEMBLED = f"""WITH RECURSIVE {GREEDY}, c AS (SELECT *, {_NOTE.format(v='vec_id')} AS note FROM {CLAIMS}),
+x AS (SELECT m.case_id, 'matched' AS status, m.a, m.b, m.similarity, list_filter([CASE WHEN trim(lower(CAST(s.category AS VARCHAR))) <> trim(lower(CAST(p.category AS VARCHAR))) THEN 'category' END, CASE WHEN s.voter <> p.voter THEN 'voter' END, CASE WHEN trim(lower(s.note)) <> trim(lower(p.note)) THEN 'note' END], lambda f: f IS NOT NULL) AS mismatched
+ FROM matched m JOIN c s ON s.vec_id = m.a JOIN c p ON p.vec_id = m.b
+ UNION ALL SELECT case_id, 'unmatched_silver', vec_id, NULL, NULL, [] FROM c WHERE side = 'S' AND vec_id NOT IN (SELECT a FROM matched)
+ UNION ALL SELECT case_id, 'unmatched_pipeline', NULL, vec_id, NULL, [] FROM c WHERE side = 'P' AND vec_id NOT IN (SELECT b FROM matched))"""
+
+
+@query(f"{ASSEMBLED} SELECT case_id, status, a, b, round(similarity, 5) AS similarity, array_to_string(mismatched, ',') AS mismatched FROM x")
+def M03_match_assembly(spark, sf_dir):
+    return _assembled(spark, sf_dir).withColumn("similarity", F.round("similarity", 5)).withColumn("mismatched", F.array_join("mismatched", ","))
+
+
+@query(f"""{ASSEMBLED}, t AS (SELECT case_id, count(a) AS n_silver, count(b) AS n_pipeline, count(*) FILTER (status = 'matched') AS n_matched, avg(similarity) AS s, coalesce(sum(CASE WHEN status = 'matched' THEN CASE WHEN list_contains(mismatched, 'category') THEN 0.5 ELSE 1.0 END END), 0) AS c, sum(len(mismatched)) AS k FROM x GROUP BY case_id)
+SELECT case_id, n_silver, n_pipeline, n_matched, round(coalesce(n_matched / nullif(n_pipeline, 0), 0), 4) AS precision, round(coalesce(n_matched / nullif(n_silver, 0), 0), 4) AS recall, round(2 * n_matched / (n_silver + n_pipeline), 4) AS f1, round(coalesce(s, 0), 4) AS avg_similarity, round(2 * c / (n_silver + n_pipeline), 4) AS strict_f1, CAST(k AS BIGINT) AS n_mismatches FROM t""")
+def A49_match_metrics(spark, sf_dir):
+    return M.metrics(_assembled(spark, sf_dir), ["category"], "case_id")
+
+
 @query(f"""WITH RECURSIVE e AS (SELECT rule_id_a AS a, rule_id_b AS b FROM {RELATIONS} UNION SELECT rule_id_b, rule_id_a FROM {RELATIONS}), w(node, root) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, w.root FROM w JOIN e ON e.a = w.node)
 SELECT node, min(root) AS root FROM w GROUP BY node""")
 def G01_connected_components(spark, sf_dir):
@@ -191,11 +251,15 @@ def W18_W17_merge_boxes(spark, sf_dir):
     return L.merge_boxes(_boxes(spark, sf_dir).withColumn("page", F.col("page").cast("long")))
 
 
-@query()
+@query(f"""WITH t AS (SELECT te_id // 100000 AS doc, pos, text, CASE pos % 5 WHEN 4 THEN 'table' ELSE 'narrative' END AS kind, pos % 3 = 1 OR pos % 7 = 2 AS cut FROM {TEXT_ELEMENTS}),
+n AS (SELECT *, coalesce(lag(cut) OVER (PARTITION BY doc ORDER BY pos), false) AS taken FROM t WHERE kind = 'narrative'),
+c AS (SELECT *, sum(CASE WHEN taken THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) AS chain FROM n),
+l AS (SELECT *, row_number() OVER (PARTITION BY doc, chain ORDER BY pos) AS i, count(*) OVER (PARTITION BY doc, chain) AS k FROM c),
+s AS (SELECT doc, chain, pos, k, CASE WHEN i > 1 AND i < k THEN regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') WHEN i < k THEN regexp_replace(text, '\\s+$', '') WHEN i > 1 THEN regexp_replace(text, '^\\s+', '') ELSE text END AS text FROM l)
+SELECT doc, min(pos) AS pos, coalesce(string_agg(text, ' ' ORDER BY pos) FILTER (k = 1 OR trim(text) <> ''), '') AS text FROM s GROUP BY doc, chain UNION ALL SELECT doc, pos, text FROM t WHERE kind <> 'narrative'""")
 def W09_stitch(spark, sf_dir):
-    from corvella.functions.text import is_cut_off, paragraph_class
-
-    te = text_elements(spark, sf_dir).select(F.floor(F.col("te_id") / 100000).cast("long").alias("doc"), "pos", "text", paragraph_class("text").alias("kind"), is_cut_off("text").alias("cut"))
+    k = F.col("pos")
+    te = text_elements(spark, sf_dir).select(F.floor(F.col("te_id") / 100000).cast("long").alias("doc"), "pos", "text", F.when(k % 5 == 4, "table").otherwise("narrative").alias("kind"), ((k % 3 == 1) | (k % 7 == 2)).alias("cut"))
     return L.stitch(te)
 
 

@@ -152,7 +152,7 @@ def S14_S15_S22_scan(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 40).alias("te_id")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"SELECT date_trunc('hour', ts) AS hour, stage, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS tokens FROM {USAGE} WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM {USAGE}) - INTERVAL 2 HOUR GROUP BY ALL")
 def R07_stream_hourly_usage(spark, sf_dir):
     src, out, state = _scratch(spark), _scratch(spark), _scratch(spark)
     usage(spark, sf_dir).select("stage", "input_tokens", "ts").write.parquet(src)

@@ -8,13 +8,13 @@ from corvella.functions import text as T
 from corvella.operators import agreement as A
 from corvella.operators import matching as M
 from corvella.operators import rules as R
-from corvella.plans.decisions import _pairs, _scored
+from corvella.plans.decisions import GREEDY, _pairs, _scored
 from corvella.plans.io import _scratch
 from corvella.plans.registry import query
 from corvella.plans.rules import GROUPABLE
 from corvella.sources import readers as Rd
 from corvella.sources import writers as Wr
-from corvella.sources.domain import FINDINGS, TEXT_ELEMENTS, findings, runs, table, text_elements
+from corvella.sources.domain import CLAIMS, FINDINGS, TEXT_ELEMENTS, findings, runs, table, text_elements
 
 PARAGRAPH = f"(SELECT te_id, pmcid, CASE te_id % 6 WHEN 0 THEN 'Copyright ' || text WHEN 1 THEN 'doi.org/10.1 ' || text WHEN 2 THEN '12. Smith J, ' || text WHEN 3 THEN 'two words' ELSE text END AS t FROM {TEXT_ELEMENTS})"
 
@@ -74,10 +74,14 @@ def V15_numeric_contradiction(spark, sf_dir):
     return p.select("p_partkey", T.numeric_contradiction("a", "b").alias("contradicts"))
 
 
+@query(f"WITH RECURSIVE {GREEDY.replace('> 0.05', '> 0.0')}, n AS (SELECT case_id, count(*) AS n FROM {CLAIMS} GROUP BY case_id HAVING count(DISTINCT side) = 2), s AS (SELECT case_id, sum(similarity) AS s FROM matched GROUP BY case_id) SELECT case_id, round(2 * coalesce(s, 0) / n, 5) AS f1 FROM n LEFT JOIN s USING (case_id)")
+def V03_greedy_f1(spark, sf_dir):
+    return M.alignment_f1(_pairs(spark, sf_dir), "greedy")
+
+
 @query()
-def V03_alignment_f1(spark, sf_dir):
-    g = M.alignment_f1(_pairs(spark, sf_dir), "greedy").withColumnRenamed("f1", "greedy")
-    return g.join(M.alignment_f1(_pairs(spark, sf_dir)).withColumnRenamed("f1", "optimal"), "case_id")
+def V03_optimal_f1(spark, sf_dir):
+    return M.alignment_f1(_pairs(spark, sf_dir))
 
 
 @query(f"SELECT pmcid, count(*) AS total, count(*) FILTER (coalesce(score, 1) >= 0.5) AS kept, count(*) FILTER (score < 0.5) AS rejected, true AS consistent FROM {FINDINGS} GROUP BY pmcid")
