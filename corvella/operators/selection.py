@@ -38,10 +38,31 @@ def top_neighbours(pairs: DataFrame, m: int, threshold: float) -> DataFrame:
     return best.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "score").distinct()
 
 
-def hardness(content: Column, layout: Column, relation: Column, chunks: Column) -> tuple[Column, Column]:
-    """Normalised hardness, and the absolute one that grows with the number of chunks."""
-    normal = 0.45 * content + 0.25 * layout + 0.30 * relation
-    return normal, normal * F.log1p(chunks)
+#: What scales the parts of hardness to 0..1, and what a part is worth (fixed values): entities, unique entities and
+#: abbreviations a sentence; tables, captions, very short and very long paragraphs an element; relation anchors.
+CONTENT = {"n_entities": (4.0, 0.4), "n_unique": (1.5, 0.4), "n_abbreviations": (0.5, 0.2)}
+LAYOUT = {"n_tables": (0.05, 0.30), "n_captions": (0.10, 0.20), "n_short": (0.30, 0.25), "n_long": (0.10, 0.25)}
+ANCHORS, HARDNESS, NOISE = 30, (0.45, 0.25, 0.30), 0.10
+
+
+def hardness(papers: DataFrame) -> DataFrame:
+    """Parts of hardness (content, layout, relation), the normalised one, and the absolute one that grows with the number of chunks.
+
+    Columns: n_sentences, n_elements, n_chunks, n_anchors, those of CONTENT and LAYOUT, and noise (0 to 1, or null where unknown).
+    """
+
+    def part(of: dict[str, tuple[float, float]], per: str) -> Column:
+        total: Column = F.lit(0.0)
+        for c, (ref, weight) in of.items():
+            total = total + F.least(F.col(c) / F.greatest(F.col(per), F.lit(1)) / ref, F.lit(1.0)) * weight
+        return total
+
+    layout = part(LAYOUT, "n_elements")
+    layout = F.when(F.col("noise").isNotNull(), layout * (1 - NOISE) + F.col("noise") * NOISE).otherwise(layout)
+    out = papers.withColumn("content", part(CONTENT, "n_sentences")).withColumn("layout", layout).withColumn("relation", F.least(F.col("n_anchors") / ANCHORS, F.lit(1.0)))
+    a, b, c = HARDNESS
+    normal = a * F.col("content") + b * F.col("layout") + c * F.col("relation")
+    return out.withColumn("normalised", normal).withColumn("absolute", normal * F.log1p("n_chunks"))
 
 
 # Sets of papers are chosen from pools: the best of all papers by a score (`pool`), as many as the choice may look at.

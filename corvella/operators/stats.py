@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,3 +66,106 @@ def hash_sample(rows: DataFrame, key: str, n: int, seed: int, strata: list[str]
     if not strata:
         return rows.orderBy(h, key).limit(n)
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*strata).orderBy(h, key))).where(F.col("_rn") <= n).drop("_rn")
+
+
+#: Buckets of a grounding score: where they begin, their share of a sample, and where a lack is made up (fixed values).
+BUCKETS = {"very_low": (0.0, 10), "low": (0.30, 15), "near_threshold_low": (0.45, 25), "near_threshold_high": (0.50, 25), "medium": (0.55, 15), "high": (0.75, 10)}
+SPILL = {
+    "very_low": ["low", "near_threshold_low", "near_threshold_high", "medium", "high"], "low": ["very_low", "near_threshold_low", "near_threshold_high", "medium", "high"],
+    "near_threshold_low": ["low", "very_low", "near_threshold_high", "medium", "high"], "near_threshold_high": ["medium", "high", "near_threshold_low", "low", "very_low"],
+    "medium": ["near_threshold_high", "high", "near_threshold_low", "low", "very_low"], "high": ["medium", "near_threshold_high", "near_threshold_low", "low", "very_low"],
+}
+_REMAINDER = ["near_threshold_low", "near_threshold_high", "low", "medium", "very_low", "high"]
+
+
+def bucket_of(score: Column) -> Column:
+    """The bucket of a score; null is missing, and scores outside 0 to 1 go to the ends."""
+    out = F.lit("very_low")
+    for name, (low, _) in BUCKETS.items():
+        out = F.when(score >= low, name).otherwise(out)
+    return F.when(score.isNull(), "missing").otherwise(out)
+
+
+def targets(n: int) -> dict[str, int]:
+    """How many of n each bucket gets: its share rounded down, what is left over to the buckets next to the threshold first."""
+    out = {b: max(n, 0) * w // 100 for b, (_, w) in BUCKETS.items()}
+    for k in range(max(n, 0) - sum(out.values())):
+        out[_REMAINDER[k % len(_REMAINDER)]] += 1
+    return out
+
+
+def drawn(available: dict[str, int], n: int) -> dict[str, int]:
+    """How many each bucket gives: its target, then what its neighbours lack, bucket by bucket, as long as it has any."""
+    want = targets(n)
+    take = {b: min(k, available.get(b, 0)) for b, k in want.items()}
+    for b in BUCKETS:
+        lack = want[b] - min(want[b], available.get(b, 0))
+        for other in SPILL[b]:
+            more = min(lack, available.get(other, 0) - take[other])
+            take[other] += more
+            lack -= more
+    return take
+
+
+def stratified_sample(rows: DataFrame, key: str, score: str, n: int, seed: int) -> DataFrame:
+    """n rows (fewer if there are fewer with a score) spread over the buckets of their scores, drawn by a keyed hash of `key`."""
+    bucketed = rows.withColumn("bucket", bucket_of(F.col(score)))
+    available = {r["bucket"]: r["count"] for r in bucketed.groupBy("bucket").count().collect()}  # seven rows
+    take = drawn(available, n)
+    h = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
+    out = []
+    for b in BUCKETS:  # the least hashes of each bucket: a top-k, not a sort of it
+        if take[b]:
+            out.append(bucketed.where(F.col("bucket") == b).orderBy(h, key).limit(take[b]))
+    return reduce(DataFrame.union, out) if out else bucketed.limit(0)
+
+
+def finalists(cells: DataFrame, structure: list[str], quality: str, cost: str, top_k: int = 3, within: float = 0.01, pareto_cap: int = 6, least_quality: float = 0.5, cost_weight: float = 0.1) -> DataFrame:
+    """Structures of a sweep that stay, each with its reasons (top-k, within-best, pareto, economy, knee, diversity:<axis>) and its best quality.
+
+    The first two go by the best cell of a structure. The frontier (quality up, cost down) is that of all cells; a structure
+    on it stays with its cheapest cell there, at most `pareto_cap` of them, those without other reasons first. economy is the cheapest cell
+    of enough quality, knee the cell with the best quality less weighted cost. If all that stay agree on an axis, the best
+    one near the top that differs there stays too. Ties: lower cost, then the structure's name.
+    """
+    s = F.struct(*structure)
+    keyed = cells.withColumn("_s", s)
+    best = keyed.groupBy("_s").agg(F.max(F.struct(F.col(quality).alias("q"), (-F.col(cost)).alias("c"))).alias("b")).select("_s", "b.q", "b.c").orderBy(F.desc("q"), F.desc("c"), "_s").collect()  # a row a structure
+    if not best:
+        return cells.sparkSession.createDataFrame([], cells.select(*structure, F.col(quality).alias("best_quality"), F.array(F.lit("")).alias("reasons")).schema)
+    top, reasons = best[0]["q"], {}
+    ranked = [(tuple(r["_s"]), r["q"]) for r in best]
+
+    def add(x: tuple, why: str) -> None:
+        if why not in reasons.setdefault(x, []):
+            reasons[x].append(why)
+
+    for x, _ in ranked[:top_k]:
+        add(x, "top-k")
+    for x, q in ranked:
+        if top - q <= within:
+            add(x, "within-best")
+    front = pareto(cells.select(F.col(cost).cast("double").alias("_cost"), F.col(quality).alias("_quality")).distinct(), "_cost", "_quality")
+    on = keyed.join(F.broadcast(front), (F.col(cost) == F.col("_cost")) & (F.col(quality) == F.col("_quality"))).groupBy("_s").agg(F.min(cost).alias("c")).orderBy("c", "_s").collect()
+    by_cost = [tuple(r["_s"]) for r in on]
+    for x in ([x for x in by_cost if x not in reasons] + [x for x in by_cost if x in reasons])[:pareto_cap]:
+        add(x, "pareto")
+    cheap = keyed.where(F.col(quality) >= least_quality).orderBy(cost, "_s").limit(1).collect()
+    knee = keyed.orderBy(F.desc(F.col(quality) - cost_weight * F.col(cost)), "_s").limit(1).collect()
+    for rows, why in ((cheap, "economy"), (knee, "knee")):
+        for r in rows:
+            add(tuple(r["_s"]), why)
+    for i, axis in enumerate(structure):
+        if len({x[i] for x in reasons}) == 1:
+            other = next((x for x, q in ranked if top - q <= 2 * within and x[i] not in {y[i] for y in reasons}), None)
+            if other:
+                add(other, f"diversity:{axis}")
+    rows = [(*x, q, reasons[x]) for x, q in ranked if x in reasons]
+    return cells.sparkSession.createDataFrame(rows, cells.select(*structure, F.col(quality).alias("best_quality"), F.array(F.lit("")).alias("reasons")).schema)
+
+
+def carry_rate(rules: DataFrame, *keys: str) -> DataFrame:
+    """How many final rules carry a quote, a text element, a grounding score, and all three (verbatim, te_id, score), with the shares of the whole."""
+    has = {"verbatim": F.coalesce(F.trim("verbatim") != "", F.lit(False)), "text_element": F.col("te_id").isNotNull(), "grounding": F.col("score").isNotNull()}
+    has["triple"] = has["verbatim"] & has["text_element"] & has["grounding"]
+    return rules.groupBy(*keys).agg(F.count("*").alias("n"), *(F.count_if(c).alias(f"n_{n}") for n, c in has.items()), *(F.round(F.count_if(c) / F.count("*"), 4).alias(f"rate_{n}") for n, c in has.items()))

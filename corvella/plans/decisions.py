@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvella.operators import agreement as A
@@ -297,15 +298,21 @@ def O03_O04_top_neighbours(spark, sf_dir):
     return Sel.top_neighbours(Sel.related_pairs(_papers(spark, sf_dir), ["disease", "gene", "method"], "method"), 2, 0.05)
 
 
-@query("SELECT doc_id, round(0.45 * c + 0.25 * l + 0.30 * r, 6) AS normalised, round((0.45 * c + 0.25 * l + 0.30 * r) * ln(1 + k), 6) AS absolute FROM (SELECT doc_id, least(n_chars / 4000.0, 1.0) AS c, (doc_id % 7) / 7.0 AS l, least(n_chars % 30 / 30.0, 1.0) AS r, n_chars // 1000 AS k FROM documents)")
+@query("""WITH p AS (SELECT doc_id, n_chars // 90 AS ns, n_chars // 300 AS ne, n_chars // 1000 AS nc, doc_id % 41 AS anchors, CASE WHEN doc_id % 3 = 0 THEN (doc_id % 10) / 10.0 END AS noise, doc_id FROM documents),
+q AS (SELECT *, greatest(ns, 1) AS s, greatest(ne, 1) AS e FROM p),
+c AS (SELECT *, least(doc_id % 90 / s / 4.0, 1) * 0.4 + least(doc_id % 50 / s / 1.5, 1) * 0.4 + least(doc_id % 9 / s / 0.5, 1) * 0.2 AS content,
+ least(doc_id % 2 / e / 0.05, 1) * 0.3 + least(doc_id % 3 / e / 0.1, 1) * 0.2 + least(doc_id % 4 / e / 0.3, 1) * 0.25 + least(doc_id % 5 / e / 0.1, 1) * 0.25 AS lay, least(anchors / 30, 1) AS relation FROM q),
+l AS (SELECT *, CASE WHEN noise IS NULL THEN lay ELSE lay * 0.9 + noise * 0.1 END AS layout FROM c)
+SELECT doc_id, round(content + 1e-9, 6) AS content, round(layout + 1e-9, 6) AS layout, round(relation + 1e-9, 6) AS relation, round(0.45 * content + 0.25 * layout + 0.30 * relation + 1e-9, 6) AS normalised, round((0.45 * content + 0.25 * layout + 0.30 * relation) * ln(1 + nc) + 1e-9, 6) AS absolute FROM l""")
 def V12_hardness(spark, sf_dir):
-    n = F.col("n_chars")
-    a, b = Sel.hardness(F.least(n / 4000.0, F.lit(1.0)), (F.col("doc_id") % 7) / 7.0, F.least((n % 30) / 30.0, F.lit(1.0)), F.floor(n / 1000))
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(a, 6).alias("normalised"), F.round(b, 6).alias("absolute"))
+    n, i = F.col("n_chars"), F.col("doc_id")
+    counts = {"n_entities": 90, "n_unique": 50, "n_abbreviations": 9, "n_tables": 2, "n_captions": 3, "n_short": 4, "n_long": 5, "n_anchors": 41}
+    p = table(spark, sf_dir, "documents").select("doc_id", F.floor(n / 90).alias("n_sentences"), F.floor(n / 300).alias("n_elements"), F.floor(n / 1000).alias("n_chunks"), F.when(i % 3 == 0, (i % 10) / 10.0).alias("noise"), *((i % k).alias(c) for c, k in counts.items()))
+    return Sel.hardness(p).select("doc_id", *(F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("content", "layout", "relation", "normalised", "absolute")))
 
 
 @query("SELECT c_mktsegment, count(DISTINCT n) AS concepts, round(sum(1.0 / f), 6) AS bonus FROM (SELECT c_mktsegment, c_nationkey AS n, count(*) OVER (PARTITION BY c_nationkey) AS f FROM customer) GROUP BY c_mktsegment")
-def U05_U06_V11_coverage(spark, sf_dir):
+def U05_U06_coverage(spark, sf_dir):
     freq = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("f"))
     return table(spark, sf_dir, "customer").join(freq, "c_nationkey").groupBy("c_mktsegment").agg(F.count_distinct("c_nationkey").alias("concepts"), F.round(F.sum(1.0 / F.col("f")), 6).alias("bonus"))
 
@@ -325,6 +332,17 @@ def _pool(spark, sf_dir, limit):
     return Sel.pool(papers, SETS, (F.size("disease") + F.size(F.array_distinct("gene"))) / F.log1p(F.col("length") + 10), limit)
 
 
+@query()
+def V11_diversity(spark, sf_dir):
+    """The diversity of every nation's papers that a choice would look at first."""
+    papers = _papers(spark, sf_dir)
+    nations = papers.withColumn("nation", F.col("disease")[0]).withColumn("r", F.row_number().over(Window.partitionBy("nation").orderBy("id"))).where("r <= 4").collect()  # four papers a nation: a top-k
+    of = {}
+    for r in nations:
+        of.setdefault(r["nation"], []).append({s: set(r[s]) for s in SETS})
+    return spark.createDataFrame([(n, len(p), round(Sel.diversity(p), 6)) for n, p in of.items()], "nation string, n long, diversity double")
+
+
 @query()
 def O14_greedy_related(spark, sf_dir):
     chosen = Sel.greedy_related(_pool(spark, sf_dir, 150), 5)

@@ -124,7 +124,7 @@ def J18_J19_relation_diff(spark, sf_dir):
 
 @query(f"""SELECT first_failing, count(*) AS n FROM (SELECT CASE WHEN p.p_partkey IS NULL THEN 'no_part' WHEN d.doc_id IS NULL THEN 'no_document' WHEN l.doc_id IS NULL THEN 'no_label' ELSE 'complete' END AS first_failing
  FROM lineitem i LEFT JOIN part p ON p.p_partkey = i.l_partkey LEFT JOIN documents d ON d.doc_id = p.p_partkey LEFT JOIN labels l ON l.doc_id = d.doc_id) GROUP BY first_failing""")
-def J20_Y10_A27_provenance_chain(spark, sf_dir):
+def J20_Y10_provenance_chain(spark, sf_dir):
     i, p = table(spark, sf_dir, "lineitem").select("l_partkey"), table(spark, sf_dir, "part").select("p_partkey")
     d, lab = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l_doc"))
     chain = i.join(p, F.col("l_partkey") == F.col("p_partkey"), "left").join(d, F.col("p_partkey") == F.col("doc_id"), "left").join(lab, F.col("doc_id") == F.col("l_doc"), "left")
@@ -256,16 +256,68 @@ def J15_J24_A55_share_map(spark, sf_dir):
     return s.groupBy("x", "y").agg(F.array_join(F.array_sort(F.collect_set("v")), ",").alias("variants"))
 
 
+@query(f"SELECT pmcid, count(*) AS n, count(*) FILTER (trim(coalesce(subject, '')) <> '') AS n_verbatim, count(*) FILTER (te_id % 9 <> 0) AS n_text_element, count(score) AS n_grounding, count(*) FILTER (trim(coalesce(subject, '')) <> '' AND te_id % 9 <> 0 AND score IS NOT NULL) AS n_triple, round(count(*) FILTER (trim(coalesce(subject, '')) <> '') / count(*), 4) AS rate_verbatim, round(count(*) FILTER (te_id % 9 <> 0) / count(*), 4) AS rate_text_element, round(count(score) / count(*), 4) AS rate_grounding, round(count(*) FILTER (trim(coalesce(subject, '')) <> '' AND te_id % 9 <> 0 AND score IS NOT NULL) / count(*), 4) AS rate_triple FROM {FINDINGS} GROUP BY pmcid")
+def A27_carry_rate(spark, sf_dir):
+    f = findings(spark, sf_dir)
+    return St.carry_rate(f.select("pmcid", F.col("subject").alias("verbatim"), F.when(F.col("te_id") % 9 != 0, F.col("te_id")).alias("te_id"), "score"), "pmcid")
+
+
 @query("WITH p AS (SELECT DISTINCT p_size AS cost, p_retailprice AS quality FROM part) SELECT a.cost, a.quality FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.cost <= a.cost AND b.quality >= a.quality AND (b.cost < a.cost OR b.quality > a.quality))")
-def O06_O07_pareto(spark, sf_dir):
+def O06_pareto(spark, sf_dir):
     return St.pareto(table(spark, sf_dir, "part").select(F.col("p_size").alias("cost"), F.col("p_retailprice").alias("quality")).distinct(), "cost", "quality")
 
 
+CELLS = "(SELECT p_brand AS brand, p_type AS type, CAST(p_size AS DOUBLE) AS cost, round(((p_partkey * 37) % 1000) / 1000.0 * (0.4 + p_size / 90.0), 4) AS quality FROM part)"
+
+
+@query(f"""WITH c AS MATERIALIZED (SELECT * FROM {CELLS}), b AS (SELECT brand, type, max((quality, -cost)) AS m FROM c GROUP BY ALL), r AS (SELECT brand, type, struct_extract_at(m, 1) AS q, row_number() OVER (ORDER BY struct_extract_at(m, 1) DESC, struct_extract_at(m, 2) DESC, brand, type) AS rank FROM b),
+f AS (SELECT brand, type, min(cost) AS c FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.cost <= a.cost AND b.quality >= a.quality AND (b.cost < a.cost OR b.quality > a.quality)) GROUP BY ALL),
+q1 AS (SELECT brand, type, rank <= 3 AS k, (SELECT max(q) FROM r) - q <= 0.01 AS w FROM r), p AS (SELECT f.brand, f.type, row_number() OVER (ORDER BY k OR w, c, f.brand, f.type) <= 4 AS pf FROM f JOIN q1 USING (brand, type)),
+e AS (SELECT brand, type FROM c WHERE quality >= 0.5 ORDER BY cost, brand, type LIMIT 1), n AS (SELECT brand, type FROM c ORDER BY quality - 0.1 * cost DESC, brand, type LIMIT 1),
+x AS (SELECT r.brand, r.type, q AS best_quality, list_filter([CASE WHEN k THEN 'top-k' END, CASE WHEN w THEN 'within-best' END, CASE WHEN coalesce(pf, false) THEN 'pareto' END, CASE WHEN e.brand IS NOT NULL THEN 'economy' END, CASE WHEN n.brand IS NOT NULL THEN 'knee' END], lambda z: z IS NOT NULL) AS reasons
+ FROM r JOIN q1 USING (brand, type) LEFT JOIN p USING (brand, type) LEFT JOIN e USING (brand, type) LEFT JOIN n USING (brand, type))
+SELECT brand, type, best_quality, array_to_string(reasons, ',') AS reasons FROM x WHERE len(reasons) > 0""")
+def O07_finalists(spark, sf_dir):
+    c = F.col
+    cells = table(spark, sf_dir, "part").select(c("p_brand").alias("brand"), c("p_type").alias("type"), c("p_size").cast("double").alias("cost"), F.round((c("p_partkey") * 37) % 1000 / 1000.0 * (0.4 + c("p_size") / 90.0), 4).alias("quality"))
+    return St.finalists(cells, ["brand", "type"], "quality", "cost", pareto_cap=4).withColumn("reasons", F.array_join("reasons", ","))
+
+
 @query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('7:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM documents) WHERE rn <= 20")
-def O09_O10_O11_stratified_sample(spark, sf_dir):
+def O09_hash_sample(spark, sf_dir):
     return St.hash_sample(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 20, 7, ["lang"])
 
 
+_SPILL_SQL = ", ".join(f"('{b}', '{o}', {i}, {k})" for i, (b, others) in enumerate(St.SPILL.items()) for k, o in enumerate(others))
+_BUCKET_SQL = "CASE " + " ".join(f"WHEN s >= {low} THEN '{b}'" for b, (low, _) in reversed(list(St.BUCKETS.items()))) + " ELSE 'very_low' END"
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT doc_id, {_BUCKET_SQL} AS bucket FROM (SELECT doc_id, (n_chars % 100) / 100.0 * CASE WHEN n_chars % 3 = 0 THEN 0.4 ELSE 1.0 END AS s FROM documents WHERE n_chars % 7 > 0)),
+n AS (SELECT b.bucket, want, coalesce(k, 0) AS have FROM (VALUES {", ".join(f"('{b}', {k})" for b, k in St.targets(120).items())}) AS b(bucket, want) LEFT JOIN (SELECT bucket, count(*) AS k FROM r GROUP BY bucket) USING (bucket)),
+steps AS (SELECT row_number() OVER (ORDER BY i, k) AS step, bucket, other FROM (VALUES {_SPILL_SQL}) AS v(bucket, other, i, k)),
+w AS (SELECT 0::BIGINT AS step, (SELECT map(list(bucket), list(least(want, have))) FROM n) AS take, (SELECT map(list(bucket), list(want - least(want, have))) FROM n) AS lack
+ UNION ALL SELECT s.step, map_from_entries(list_transform(map_entries(take), lambda e: {{'key': e.key, 'value': e.value + CASE WHEN e.key = s.other THEN least(lack[s.bucket], m.have - take[s.other]) ELSE 0 END}})),
+  map_from_entries(list_transform(map_entries(lack), lambda e: {{'key': e.key, 'value': e.value - CASE WHEN e.key = s.bucket THEN least(lack[s.bucket], m.have - take[s.other]) ELSE 0 END}}))
+  FROM w JOIN steps s ON s.step = w.step + 1 JOIN n m ON m.bucket = s.other),
+t AS (SELECT take FROM w ORDER BY step DESC LIMIT 1)
+SELECT doc_id, bucket FROM (SELECT doc_id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY sha256('3:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM r), t WHERE rn <= take[bucket]""")
+def O10_stratified_sample(spark, sf_dir):
+    n = F.col("n_chars")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(n % 7 > 0, (n % 100) / 100.0 * F.when(n % 3 == 0, 0.4).otherwise(1.0)).alias("score"))
+    return St.stratified_sample(rows, "doc_id", "score", 120, 3).select("doc_id", "bucket")
+
+
+@query(f"""WITH p AS (SELECT pmcid, row_number() OVER (ORDER BY sha256('5:' || pmcid), pmcid) AS r FROM (SELECT DISTINCT pmcid FROM {TEXT_ELEMENTS})),
+e AS (SELECT te_id, pmcid, te_id % 4 = 0 AS cited FROM {TEXT_ELEMENTS} JOIN p USING (pmcid) WHERE r <= 10 AND n_words >= 5)
+SELECT te_id, pmcid, CASE WHEN cited THEN 'extracted' ELSE 'not_extracted' END AS stratum FROM (SELECT *, row_number() OVER (PARTITION BY pmcid, cited ORDER BY sha256('6:' || CAST(te_id AS VARCHAR)), te_id) AS rn FROM e) WHERE rn <= 2""")
+def O11_two_strata(spark, sf_dir):
+    """Of ten papers two paragraphs each that findings cite, and two that none does."""
+    te = text_elements(spark, sf_dir)
+    papers = St.hash_sample(te.select("pmcid").distinct(), "pmcid", 10, 5)
+    strata = te.where("n_words >= 5").join(F.broadcast(papers), "pmcid", "left_semi").select("te_id", "pmcid", F.when(F.col("te_id") % 4 == 0, "extracted").otherwise("not_extracted").alias("stratum"))
+    return St.hash_sample(strata, "te_id", 2, 6, ["pmcid", "stratum"])
+
+
 @query("SELECT doc_id FROM documents WHERE n_chars BETWEEN 500 AND 5000 AND doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY sha256('9:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 15")
 def Y09_F23_heldout_draw(spark, sf_dir):
     pool = table(spark, sf_dir, "documents").where("n_chars BETWEEN 500 AND 5000").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")

@@ -163,6 +163,71 @@ def test_node_score_by_first_rule(spark):
     assert got[2]["d"] is None and [r["top"] for r in got[:1] + got[-1:]] == [True, False]
 
 
+def test_stratified_sample_spills(spark):
+    assert St.targets(100) == {"very_low": 10, "low": 15, "near_threshold_low": 25, "near_threshold_high": 25, "medium": 15, "high": 10}
+    assert sum(St.targets(7).values()) == 7 and St.targets(0)["high"] == 0 and St.targets(1)["near_threshold_low"] == 1
+    got = St.drawn({"low": 40, "near_threshold_low": 3, "high": 2}, 100)
+    assert got == {"very_low": 0, "low": 40, "near_threshold_low": 3, "near_threshold_high": 0, "medium": 0, "high": 2}
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate([None, -1.0, 0.0, 0.3, 0.45, 0.5, 0.55, 0.75, 1.0, 2.0])], "id long, s double")
+    assert [r["b"] for r in rows.select(St.bucket_of(F.col("s")).alias("b")).collect()] == ["missing", "very_low", "very_low", "low", "near_threshold_low", "near_threshold_high", "medium", "high", "high", "high"]
+    sample = St.stratified_sample(rows, "id", "s", 8, 1)
+    assert sample.count() == 8 and sample.where("bucket = 'missing'").isEmpty()
+
+
+def test_finalists_by_reason(spark):
+    cells = spark.createDataFrame([("a", "x", 0.90, 0.9), ("a", "x", 0.50, 0.1), ("b", "x", 0.895, 0.5), ("c", "x", 0.70, 0.2), ("d", "y", 0.885, 0.95), ("e", "x", 0.3, 0.0)], "s string, k string, q double, c double")
+    got = {r["s"]: (r["best_quality"], list(r["reasons"])) for r in St.finalists(cells, ["s", "k"], "q", "c", top_k=1, within=0.01, pareto_cap=3, least_quality=0.6, cost_weight=1.0).collect()}
+    assert got == {"a": (0.90, ["top-k", "within-best", "pareto"]), "b": (0.895, ["within-best"]), "c": (0.70, ["pareto", "economy", "knee"]), "d": (0.885, ["diversity:k"]), "e": (0.3, ["pareto"])}
+    assert St.finalists(cells.limit(0), ["s", "k"], "q", "c").count() == 0
+
+
+def test_agreement_factors(spark):
+    pairs = spark.createDataFrame([(1, 1, 10, 0.9), (1, 1, 11, 0.2), (1, 2, 10, 0.8), (1, 2, 11, 0.1)], "k long, a long, b long, similarity double")
+    r = A.soft_alignment(pairs, ["k"]).first()
+    # both claims of a choose 10: share 1 where 1/2 is expected; of b's claims both choose 1
+    assert r["reuse_factor"] == pytest.approx(0.85) and r["count_factor"] == 1.0
+    assert r["score"] == pytest.approx((0.85 + 0.55) / 2 * 0.85)
+    texts = pairs.withColumn("x", F.when(F.col("a") == 1, "elevated in 5 mm").otherwise("seen")).withColumn("y", F.lit("reduced in 15 mm"))
+    assert A.soft_alignment(texts, ["k"], a_claim="x", b_claim="y").first()["contradiction"] == 0.5
+    quality = spark.createDataFrame([(1, 1, 0, 1.0, 9.0), (1, 2, 1, 0.2, 9.0), (1, 10, 1, 0.9, 1.0), (1, 11, 4, 0.1, 1.0)], "k long, v long, n_findings long, pass_share double, evidence double")
+    same = pairs.withColumn("similarity", F.lit(0.5))
+    assert A.consensus(same, ["k"], quality).first()["best_voter"] == 10
+    assert A.consensus(same, ["k"], quality.withColumn("n_findings", F.lit(0))).first()["best_voter"] == 1
+    assert A.best_output(quality, ["k"]).first()["best_voter"] == 2
+
+
+def test_match_assembly_and_metrics(spark):
+    silver = spark.createDataFrame([(1, 1, "A", "up "), (1, 2, "B", None), (1, 3, "C", "x")], "case_id long, id long, category string, direction string")
+    pipeline = spark.createDataFrame([(1, 10, "a", "UP"), (1, 11, "Z", "down")], "case_id long, id long, category string, direction string")
+    pairs = spark.createDataFrame([(1, a, b, s) for a, b, s in ((1, 10, 0.9), (1, 11, 0.1), (2, 10, 0.6), (2, 11, 0.8), (3, 10, 0.2), (3, 11, 0.3))], "case_id long, a long, b long, similarity double")
+    out = M.assemble(M.match(pairs, "greedy", 0.55), silver, pipeline, ["category", "direction"])
+    got = {(r["status"], r["a"], r["b"]): r["mismatched"] for r in out.collect()}
+    assert got == {("matched", 1, 10): [], ("matched", 2, 11): ["category"], ("unmatched_silver", 3, None): []}
+    m = M.metrics(out, ["category"]).first()
+    assert (m["precision"], m["recall"], m["f1"], m["strict_f1"], m["n_mismatches"]) == (1.0, 0.6667, 0.8, 0.6, 1)
+
+
+def test_stitching_both_ways(spark):
+    rows = [(1, 0, "a ", "narrative", True), (1, 1, "T", "table", False), (1, 2, " b", "narrative", True), (1, 3, "c ", "narrative", False), (1, 4, " d", "narrative", False), (2, 0, "e-", "narrative", True)]
+    p = spark.createDataFrame(rows, "doc long, pos long, text string, kind string, cut boolean")
+    assert sorted((r["doc"], r["pos"], r["text"]) for r in L.stitch(p).collect()) == [(1, 0, "a b c "), (1, 1, "T"), (1, 4, " d"), (2, 0, "e-")]
+    assert sorted((r["doc"], r["pos"], r["text"]) for r in L.stitch(p, lossless=False).collect()) == [(1, 0, "a b"), (1, 1, "T"), (1, 4, " d"), (2, 0, "e-")]
+
+
+def test_nearest_caption_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    box = lambda n, first: [(int(rng.integers(0, 2)), 1, first + i, float(y), float(y + rng.integers(1, 4))) for i, y in enumerate(rng.integers(0, 20, n))]
+    media, captions = box(40, 0), box(15, 100)
+    schema = "doc long, page long, id long, y1 double, y2 double"
+    got = {r["m_id"]: (r["c_id"], r["distance"]) for r in L.nearest_caption(spark.createDataFrame(media, schema), spark.createDataFrame(captions, schema)).collect()}
+    want = {}
+    for d, _, i, y1, y2 in media:
+        near = [(min(abs(y1 - c2), abs(c1 - y2)), c) for e, _, c, c1, c2 in captions if e == d]
+        if near:
+            want[i] = min(near)[::-1]
+    assert got == want
+
+
 def test_numbers_begin_words(spark):
     assert one(spark, T.numbers("t"), t="CD20 in 15.5 of 200 (7) x3") == ["15.5", "200", "7"]
     rows = spark.createDataFrame([("5mm", "15 mm"), ("CD20 5", "15"), ("0 cells", "9 cells"), ("5 of 6", "15"), ("5", "9"), (None, "5")], "a string, b string")
