@@ -106,7 +106,7 @@ def S19_T10_resolve_entities(spark, sf_dir):
 
 
 @query("SELECT model, p_in, p_out, p_cached FROM (VALUES ('model-0', 0.15::DOUBLE, 0.6::DOUBLE, 0.075::DOUBLE), ('model-1', 1.25, 10.0, NULL), ('model-2', 3.0, 15.0, 0.3)) AS t(model, p_in, p_out, p_cached)")
-def S17_S18_price_book(spark, sf_dir):
+def S18_price_book(spark, sf_dir):
     assert prices(spark).count() == 3
     return Rd.price_book(spark, '{"model-0": {"input": 0.15, "output": 0.6, "cached": 0.075}, "model-1": {"input": 1.25, "output": 10}, "model-2": {"input": 3, "output": 15, "cached": 0.3}, "bad": {"input": "x"}}')
 
@@ -147,11 +147,6 @@ def R06_stage_cache(spark, sf_dir):
     return In.stage_cache(spark, root, "langs", "v1", lambda: (_ for _ in ()).throw(AssertionError("it is cached")))
 
 
-@query("SELECT te AS te_id, count(*) AS n FROM (SELECT l_partkey % 40 AS te FROM lineitem) GROUP BY te")
-def S14_S15_S22_scan(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 40).alias("te_id")).agg(F.count("*").alias("n"))
-
-
 @query(f"SELECT date_trunc('hour', ts) AS hour, stage, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS tokens FROM {USAGE} WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM {USAGE}) - INTERVAL 2 HOUR GROUP BY ALL")
 def R07_stream_hourly_usage(spark, sf_dir):
     src, out, state = _scratch(spark), _scratch(spark), _scratch(spark)

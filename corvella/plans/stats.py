@@ -197,36 +197,16 @@ def A30_funnel_totals(spark, sf_dir):
 
 
 @query(f"SELECT category, relation, count(*) AS n FROM {FINDINGS} WHERE score < 0.3 GROUP BY ALL")
-def A31_A40_rejection_tallies(spark, sf_dir):
+def A31_rejection_tallies(spark, sf_dir):
     return findings(spark, sf_dir).where("score < 0.3").groupBy("category", "relation").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT pmcid, count(*) AS n, round(avg(quantity), 6) AS mean, round(median(quantity), 6) AS median, round(quantile_cont(quantity, 0.9), 6) AS p90, CASE WHEN count(DISTINCT category) > 1 THEN 'MIXED' ELSE min(category) END AS category FROM {FINDINGS} GROUP BY pmcid")
-def A34_A35_A50_proxy_metrics(spark, sf_dir):
-    q = F.col("quantity")
-    return findings(spark, sf_dir).groupBy("pmcid").agg(F.count("*").alias("n"), F.round(F.avg(q), 6).alias("mean"), F.round(F.median(q), 6).alias("median"), F.round(F.percentile(q, 0.9), 6).alias("p90"), F.when(F.count_distinct("category") > 1, "MIXED").otherwise(F.min("category")).alias("category"))
-
-
-@query("SELECT lang, count(*) FILTER (toxic = 1 AND hit) AS tp, count(*) FILTER (toxic = 0 AND hit) AS fp, count(*) FILTER (toxic = 1 AND NOT hit) AS fn, coalesce(round(count(*) FILTER (toxic = 1 AND hit) / nullif(count(*) FILTER (hit), 0), 6), 0.0) AS precision, coalesce(round(count(*) FILTER (toxic = 1 AND hit) / nullif(count(*) FILTER (toxic = 1), 0), 6), 0.0) AS recall FROM (SELECT lang, toxic, contains(text, 'idiot') AS hit FROM documents JOIN labels USING (doc_id)) GROUP BY lang")
-def A37_A49_precision_recall(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.contains("text", F.lit("idiot")).alias("hit")).join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
-    gold = F.col("toxic") == 1
-    tp, fp, fn = F.count_if(gold & F.col("hit")), F.count_if(~gold & F.col("hit")), F.count_if(gold & ~F.col("hit"))
-    return d.groupBy("lang").agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), St.rate(tp, tp + fp).alias("precision"), St.rate(tp, tp + fn).alias("recall"))
-
-
 @query("SELECT doc_id, count(*) AS n, count(*) FILTER (contains(whole, substr(line, 1, 40))) AS found FROM (SELECT doc_id, text AS whole, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id")
 def A38_text_recall(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n"), F.size(F.filter(F.split("text", "\n"), lambda x: F.contains(F.col("text"), F.substring(x, 1, 40)))).cast("long").alias("found"))
 
 
-@query("SELECT band, count(*) AS n, round(avg(toxic), 6) AS observed FROM (SELECT floor(least(n_chars, 9999) / 1000.0) AS band, toxic FROM documents JOIN labels USING (doc_id)) GROUP BY band")
-def A43_A44_A45_calibration(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.least("n_chars", F.lit(9999)) / 1000).cast("double").alias("band")).join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
-    return d.groupBy("band").agg(F.count("*").alias("n"), F.round(F.avg("toxic"), 6).alias("observed"))
-
-
 @query(f"SELECT pmcid, quantity FROM (SELECT pmcid, quantity, row_number() OVER (PARTITION BY pmcid ORDER BY quantity, fid) - 1 AS i, count(*) OVER (PARTITION BY pmcid) AS n FROM {FINDINGS}) WHERE i = CAST(round(0.25 * (n - 1)) AS INT)")
 def A46_A47_nearest_rank(spark, sf_dir):
     return St.nth_percentile(findings(spark, sf_dir).select("pmcid", "quantity", "fid"), ["pmcid"], "quantity", St.nearest_rank(0.25), "fid")
@@ -251,7 +231,7 @@ def A42_A53_run_index(spark, sf_dir):
 
 
 @query("SELECT x, y, string_agg(DISTINCT CAST(s_nationkey AS VARCHAR), ',' ORDER BY CAST(s_nationkey AS VARCHAR)) AS variants FROM (SELECT round(s_acctbal / 500) * 500 + 0.0 AS x, s_suppkey % 3 AS y, s_nationkey FROM supplier) GROUP BY x, y")
-def J15_J24_A55_share_map(spark, sf_dir):
+def J15_A55_share_map(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select((F.round(F.col("s_acctbal") / 500) * 500 + 0.0).alias("x"), (F.col("s_suppkey") % 3).alias("y"), F.col("s_nationkey").cast("string").alias("v"))
     return s.groupBy("x", "y").agg(F.array_join(F.array_sort(F.collect_set("v")), ",").alias("variants"))
 
@@ -349,7 +329,7 @@ def Y01_Y02_label_propagation(spark, sf_dir):
 
 
 @query("SELECT source, round(avg(quality), 6) AS score, rank() OVER (ORDER BY round(avg(quality), 6) DESC) AS rank FROM documents JOIN labels USING (doc_id) WHERE lang <> 'de' GROUP BY source")
-def Y03_A39_rerank_without(spark, sf_dir):
+def Y03_rerank_without(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("lang <> 'de'").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     s = d.groupBy("source").agg(F.round(F.avg("quality"), 6).alias("score"))
     return s.withColumn("rank", F.rank().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"))).cast("long"))  # a row for each source
