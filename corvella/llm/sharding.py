@@ -41,6 +41,10 @@ def communication_matrix(sizes: list[int], shard_sizes: list[int], seed: int) ->
     counts = np.zeros((len(sizes), len(shard_sizes)), dtype=np.int64)
     for p, size in enumerate(sizes):
         rest, pool = size, sum(lacking)
+        if pool < _NUMPY_POPULATION:
+            counts[p] = rng.multivariate_hypergeometric(lacking, size, method="marginals")
+            lacking = [lack - int(c) for lack, c in zip(lacking, counts[p], strict=True)]
+            continue
         for s, lack in enumerate(lacking):
             pool -= lack
             counts[p, s] = hypergeometric(rng, lack, pool, rest) if rest else 0

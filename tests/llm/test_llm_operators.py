@@ -538,6 +538,18 @@ def test_components_of_long_chains_and_stars(spark):
     assert got == {(i, 0) for i in range(41)} | {(i, 100) for i in range(100, 160)}
 
 
+def test_clean_up_removes_what_was_written(spark):
+    from pathlib import Path
+
+    from corvella.llm import common
+
+    common.clean_up(spark)
+    rows = common.materialize(spark.range(5).toDF("id"))
+    folder = Path(rows.inputFiles()[0].removeprefix("file:")).parent
+    assert rows.count() == 5 and folder.exists()
+    assert common.clean_up(spark) == 1 and not folder.exists() and common.clean_up(spark) == 0
+
+
 def test_join_facts_serves_hot_keys(spark):
     rows = spark.range(1000).select(F.when(F.col("id") < 900, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 20)).alias("k"), "id")
     facts = rows.groupBy("k").agg(F.count("*").alias("n")).where("k <> 'k3'")
