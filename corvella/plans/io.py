@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from corvella.functions.text import tolerant_double
 from corvella.operators import models as Mo
+from corvella.operators.graph import shared_path as _scratch
 from corvella.plans.registry import query
 from corvella.sources import readers as Rd
 from corvella.sources import writers as Wr
@@ -15,16 +14,6 @@ from corvella.sources.domain import FINDINGS, RUNS, USAGE, findings, prices, run
 from corvella.streaming import incremental as In
 
 
-def _scratch(spark) -> str:
-    """A new path in the folder that executors share."""
-    import uuid
-
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvella-"))
-    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
-
-
 @query(f"SELECT event_id, paper_id, stage, input_tokens FROM {USAGE}")
 def S03_S06_S07_S08_K01_jsonl(spark, sf_dir):
     path = _scratch(spark)
