@@ -137,3 +137,27 @@ def next_level_voters(voters: DataFrame) -> DataFrame:
     key = ["model", "temperature"]
     first = voters.groupBy(*key).agg(F.min("level").alias("_first"))
     return voters.join(first, key).withColumn("reused", F.col("level") > F.col("_first")).drop("_first")
+
+
+#: Weights of categories, embeddings, entities and evidence in the blend that is shipped (fixed values).
+BLEND = (0.15, 0.30, 0.50, 0.05)
+
+
+def hybrid(sets: list[tuple[Column, Column]], embedding: Column, weights: tuple[float, ...] = BLEND, pass_shares: tuple[Column, Column] | None = None, floor: float = 0.3) -> Column:
+    """A blend of four signals of two voters: the Jaccard similarity of their categories, entities and evidence (`sets`, in this
+    order; two empty sets are alike) and the alignment of their claims, times the grounding factor if their shares are given."""
+    (categories, entities, evidence), (w_category, w_embedding, w_entity, w_evidence) = (T.jaccard(a, b, 1.0) for a, b in sets), weights
+    blend = w_category * categories + w_embedding * embedding + w_entity * entities + w_evidence * evidence
+    return blend * grounding_factor(*pass_shares, floor=floor) if pass_shares else blend
+
+
+def grounding_factor(a: Column, b: Column, floor: float = 0.3) -> Column:
+    """From `floor` to 1 with the smaller share of grounded findings of two voters."""
+    return floor + (1 - floor) * F.least(a, b)
+
+
+def leave_one_out(outputs: DataFrame, keys: list[str], voter: str, value: str) -> DataFrame:
+    """What is left of each group without each of its voters: (keys, without, voters, n, total); voters alone leave an empty rest."""
+    own = outputs.groupBy(*keys, voter).agg(F.count("*").alias("_n"), F.sum(value).alias("_t"))
+    whole = own.groupBy(*keys).agg(F.count("*").alias("_v"), F.sum("_n").alias("_an"), F.sum("_t").alias("_at"))
+    return own.join(whole, keys).select(*keys, F.col(voter).alias("without"), (F.col("_v") - 1).alias("voters"), (F.col("_an") - F.col("_n")).alias("n"), (F.col("_at") - F.col("_t")).alias("total"))

@@ -78,11 +78,16 @@ def V07_U04_lexical_similarity(spark, sf_dir):
     return text_elements(spark, sf_dir).select("te_id", F.round(jaccard(a, b, 1.0), 6).alias("lexical"))
 
 
-@query("SELECT doc_id, round(0.15 * a + 0.30 * b + 0.50 * c + 0.05 * d, 6) AS hybrid, round(0.3 + 0.7 * least(a, b), 6) AS grounding FROM (SELECT doc_id, (n_chars % 100) / 100.0 AS a, (n_chars % 37) / 37.0 AS b, (doc_id % 11) / 11.0 AS c, (doc_id % 3) / 3.0 AS d FROM documents)")
+@query("""WITH d AS (SELECT doc_id, n_chars AS n, doc_id AS i FROM documents), s AS (SELECT doc_id, (n % 100) / 100.0 AS e, (n % 37) / 37.0 AS ga, (i % 11) / 11.0 AS gb,
+ list_distinct(list_filter([n % 3, n % 5, 7], lambda x: x > 1)) AS ca, list_distinct(list_filter([i % 3, i % 7], lambda x: x > 1)) AS cb, list_distinct([n % 4, n % 6]) AS ea, list_distinct([i % 4, i % 6]) AS eb, list_distinct(list_filter([n % 2], lambda x: x > 0)) AS va, list_distinct(list_filter([i % 2], lambda x: x > 0)) AS vb FROM d),
+j AS (SELECT *, CASE WHEN len(ca) + len(cb) = 0 THEN 1 ELSE len(list_intersect(ca, cb)) / len(list_distinct(list_concat(ca, cb))) END AS c, len(list_intersect(ea, eb)) / len(list_distinct(list_concat(ea, eb))) AS n, CASE WHEN len(va) + len(vb) = 0 THEN 1 ELSE len(list_intersect(va, vb)) / len(list_distinct(list_concat(va, vb))) END AS v FROM s)
+SELECT doc_id, round(0.15 * c + 0.30 * e + 0.50 * n + 0.05 * v + 1e-9, 6) AS hybrid, round((0.15 * c + 0.30 * e + 0.50 * n + 0.05 * v) * (0.3 + 0.7 * least(ga, gb)) + 1e-9, 6) AS grounded FROM j""")
 def V04_V05_hybrid_and_grounding(spark, sf_dir):
     n, i = F.col("n_chars"), F.col("doc_id")
-    a, b, c, d = (n % 100) / 100.0, (n % 37) / 37.0, (i % 11) / 11.0, (i % 3) / 3.0
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(0.15 * a + 0.30 * b + 0.50 * c + 0.05 * d, 6).alias("hybrid"), F.round(0.3 + 0.7 * F.least(a, b), 6).alias("grounding"))
+    some = lambda least, *x: F.filter(F.array(*x), lambda v: v > least)
+    sets = [(some(1, n % 3, n % 5, F.lit(7).cast("long")), some(1, i % 3, i % 7)), (F.array(n % 4, n % 6), F.array(i % 4, i % 6)), (some(0, n % 2), some(0, i % 2))]
+    e, shares = (n % 100) / 100.0, ((n % 37) / 37.0, (i % 11) / 11.0)
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(A.hybrid(sets, e) + 1e-9, 6).alias("hybrid"), F.round(A.hybrid(sets, e, pass_shares=shares) + 1e-9, 6).alias("grounded"))
 
 
 @query(f"SELECT level, decision, count(*) AS n FROM (SELECT level, {DECIDE.format(t=0.8, r=0.2)} AS decision FROM {DECISIONS}) GROUP BY ALL")
@@ -127,7 +132,7 @@ def O08_select_theta(spark, sf_dir):
 
 
 @query("SELECT model, temperature, level, level > min(level) OVER (PARTITION BY model, temperature) AS reused FROM (SELECT DISTINCT event_id % 4 AS model, user_id % 3 AS temperature, CAST(event_id % 3 + 1 AS INTEGER) AS level FROM events)")
-def D13_D14_D15_voter_reuse(spark, sf_dir):
+def D14_voter_reuse(spark, sf_dir):
     v = table(spark, sf_dir, "events").select((F.col("event_id") % 4).alias("model"), (F.col("user_id") % 3).alias("temperature"), (F.col("event_id") % 3 + 1).cast("int").alias("level")).distinct()
     return A.next_level_voters(v)
 
@@ -138,6 +143,29 @@ g AS (SELECT DISTINCT case_id, []::BIGINT[] AS ua, []::BIGINT[] AS ub, {{{{'s':
 matched AS (SELECT case_id, -m.a AS a, -m.b AS b, m.s AS similarity FROM g WHERE len(ua) > 0)""".replace("{{", "{").replace("}}", "}")
 
 
+GREEDY_OF_VOTERS = GREEDY.replace(f"SELECT case_id, a, b, similarity FROM {SIM} WHERE", f"SELECT x.case_id * 10 + c.voter AS case_id, a, b, similarity FROM {SIM} x JOIN {CLAIMS} c ON c.vec_id = x.b WHERE").replace("matched AS (SELECT case_id,", "matched AS (SELECT case_id % 10 AS voter,")
+
+
+@query("""WITH v AS (SELECT user_id % 25 AS paper, event_id % 4 AS voter, count(*) AS n, CAST(sum(event_id % 10) AS BIGINT) AS t FROM events GROUP BY ALL), w AS (SELECT paper, count(*) AS k, sum(n) AS n, sum(t) AS t FROM v GROUP BY paper)
+SELECT v.paper, v.voter AS without, w.k - 1 AS voters, CAST(w.n - v.n AS BIGINT) AS n, CAST(w.t - v.t AS BIGINT) AS total FROM v JOIN w USING (paper)""")
+def D13_leave_one_out(spark, sf_dir):
+    k = F.col("event_id")
+    return A.leave_one_out(table(spark, sf_dir, "events").select((F.col("user_id") % 25).alias("paper"), (k % 4).alias("voter"), (k % 10).alias("x")), ["paper"], "voter", "x")
+
+
+@query(f"WITH RECURSIVE {GREEDY_OF_VOTERS}, n AS (SELECT voter, count(*) AS n FROM {CLAIMS} WHERE side = 'P' GROUP BY voter), s AS (SELECT count(*) AS gold FROM {CLAIMS} WHERE side = 'S'), t AS (SELECT voter, count(*) AS tp FROM matched GROUP BY voter) SELECT voter, n, gold, coalesce(tp, 0) AS tp, round(2 * coalesce(tp, 0) / (n + gold), 4) AS f1 FROM n JOIN s ON true LEFT JOIN t USING (voter)")
+def D15_single_model_baselines(spark, sf_dir):
+    """Each voter's claims alone against the silver ones."""
+    c = claims(spark, sf_dir)
+    pairs = _pairs(spark, sf_dir).join(c.where("side = 'P'").select(F.col("vec_id").alias("b"), "voter"), "b")
+    alone = pairs.withColumn("case_id", F.col("case_id") * 10 + F.col("voter"))
+    tp = M.match(alone, "greedy", 0.05).groupBy((F.col("case_id") % 10).cast("int").alias("voter")).agg(F.count("*").alias("tp"))
+    gold = c.where("side = 'S'").agg(F.count("*").alias("gold"))
+    n = c.where("side = 'P'").groupBy("voter").agg(F.count("*").alias("n"))
+    tp0 = F.coalesce("tp", F.lit(0))
+    return n.join(F.broadcast(gold), F.lit(True)).join(tp, "voter", "left").select("voter", "n", "gold", tp0.alias("tp"), F.round(2 * tp0 / (F.col("n") + F.col("gold")), 4).alias("f1"))  # one row of gold
+
+
 @query(f"WITH RECURSIVE {GREEDY} SELECT case_id, a, b, round(similarity, 5) AS similarity FROM matched")
 def M01_greedy_match(spark, sf_dir):
     return M.match(_pairs(spark, sf_dir), "greedy", 0.05).withColumn("similarity", F.round("similarity", 5))
@@ -375,7 +403,7 @@ def O17_exact_selection(spark, sf_dir):
 
 
 @query()
-def B01_B02_bootstrap(spark, sf_dir):
+def B01_bootstrap(spark, sf_dir):
     """Strict F1 over 1,000 resamples of the cases: bounds at int(p * (n - 1)) of the sorted values."""
     case = claims(spark, sf_dir).groupBy("case_id").agg(F.count_if(F.col("side") == "S").alias("s"), F.count_if(F.col("side") == "P").alias("p"))
     hit = M.match(_pairs(spark, sf_dir), "greedy", 0.05).groupBy("case_id").agg(F.count("*").alias("tp"))
@@ -385,6 +413,18 @@ def B01_B02_bootstrap(spark, sf_dir):
     return low.union(St.nth_percentile(b, ["all"], "f1", St.lower_rank(0.975), "iter").select(F.lit("high").alias("bound"), "f1"))
 
 
+@query()
+def B02_paired_bootstrap(spark, sf_dir):
+    """All voters against the first one alone, by paper (a twelfth of the cases), 10,000 draws."""
+    paper = (F.col("case_id") % 12).alias("paper")
+    c = claims(spark, sf_dir)
+    first = c.where("side = 'P' AND voter = 0").select(F.col("vec_id").alias("b"))
+    pairs = _pairs(spark, sf_dir)
+    tp = lambda p, name: M.match(p, "greedy", 0.05).groupBy(paper).agg(F.count("*").alias(name))
+    n = c.groupBy(paper).agg(F.count_if(F.col("side") == "P").alias("a_n"), F.count_if((F.col("side") == "P") & (F.col("voter") == 0)).alias("b_n"), F.count_if(F.col("side") == "S").alias("gold"))
+    return St.paired_bootstrap(n.join(tp(pairs, "a_tp"), "paper", "left").join(tp(pairs.join(first, "b", "left_semi"), "b_tp"), "paper", "left").fillna(0, ["a_tp", "b_tp"]))
+
+
 @query(f"SELECT voter, count(*) AS n, round(avg(m), 4) AS mean, round(stddev_samp(m), 4) AS std, round(min(m), 4) AS least FROM (SELECT s.voter, s.vec_id, max({COS.format(a='s.embedding', b='p.embedding')}) AS m FROM {CLAIMS} s JOIN {CLAIMS} p ON s.case_id = p.case_id WHERE s.side = 'S' AND p.side = 'P' GROUP BY s.voter, s.vec_id) GROUP BY voter")
 def Y07_family_bias(spark, sf_dir):
     voter = claims(spark, sf_dir).select(F.col("vec_id").alias("a"), "voter")

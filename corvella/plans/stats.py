@@ -68,12 +68,21 @@ def F17_voter_tiers(spark, sf_dir):
 
 
 @query("SELECT p_partkey, CASE lower(p_type) WHEN 'economy' THEN 'basic' WHEN 'standard' THEN 'basic' ELSE lower(p_type) END AS repaired, CASE WHEN lower(p_type) IN ('economy', 'standard') THEN 'alias' ELSE 'case' END AS reason FROM part")
-def F29_Y16_enum_repair(spark, sf_dir):
+def F29_enum_repair(spark, sf_dir):
     alias = F.create_map(F.lit("economy"), F.lit("basic"), F.lit("standard"), F.lit("basic"))
     hit = F.try_element_at(alias, F.lower("p_type"))
     return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(hit, F.lower("p_type")).alias("repaired"), F.when(hit.isNotNull(), "alias").otherwise("case").alias("reason"))
 
 
+@query("SELECT 'p_type' AS field, p_type AS raw, CASE WHEN lower(p_type) IN ('economy', 'standard') THEN 'basic' ELSE lower(p_type) END AS repaired, CASE WHEN lower(p_type) IN ('economy', 'standard') THEN 'alias' ELSE 'case' END AS reason, count(*) AS n, min(p_partkey) AS first_row FROM part WHERE p_type <> lower(p_type) GROUP BY ALL")
+def Y16_enum_observations(spark, sf_dir):
+    """The log beside F29: each raw value that was repaired, how, how often, and where it was first seen."""
+    low = F.lower("p_type")
+    hit = low.isin("economy", "standard")
+    p = table(spark, sf_dir, "part").where(F.col("p_type") != low).select(F.lit("p_type").alias("field"), F.col("p_type").alias("raw"), F.when(hit, "basic").otherwise(low).alias("repaired"), F.when(hit, "alias").otherwise("case").alias("reason"), "p_partkey")
+    return p.groupBy("field", "raw", "repaired", "reason").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_row"))
+
+
 @query("SELECT 'valid' AS kind, count(*) AS n FROM orders WHERE o_totalprice >= 1000 AND o_orderstatus IN ('O', 'F', 'P') UNION ALL SELECT 'malformed', count(*) FROM orders WHERE NOT (o_totalprice >= 1000 AND o_orderstatus IN ('O', 'F', 'P'))")
 def F30_drop_malformed(spark, sf_dir):
     ok = (F.col("o_totalprice") >= 1000) & F.col("o_orderstatus").isin("O", "F", "P")

@@ -123,10 +123,13 @@ PLAIN = {
 
 def test_bootstrap_bounds_enclose_the_whole(spark, con):
     """The bounds repeat from run to run and hold the F1 of all cases between them."""
-    runs = [{r["bound"]: r["f1"] for r in QUERIES["B01_B02_bootstrap"](spark, SF).collect()} for _ in range(2)]
+    runs = [{r["bound"]: r["f1"] for r in QUERIES["B01_bootstrap"](spark, SF).collect()} for _ in range(2)]
     tp = con.sql("SELECT count(*) FROM (" + SQL["M01_greedy_match"] + ")").fetchall()[0][0]
     n = con.sql(f"SELECT count(*) FROM {CLAIMS}").fetchall()[0][0]
     assert runs[0] == runs[1] and runs[0]["low"] < 2 * tp / n < runs[0]["high"]
+    paired = QUERIES["B02_paired_bootstrap"](spark, SF).collect()[0]
+    assert paired["f1"] == round(2 * tp / n, 4) and paired["ci_low"] < paired["delta"] < paired["ci_high"]
+    assert paired["delta"] == pytest.approx(paired["f1"] - paired["baseline_f1"], abs=2e-4) and paired["significant"] == (paired["ci_low"] > 0 or paired["ci_high"] < 0)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
