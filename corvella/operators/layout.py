@@ -57,11 +57,19 @@ def anchor_bounds(elements: DataFrame, least_height: float = 15.0) -> DataFrame:
     return elements.where((F.col("y2") - F.col("y1")) >= least_height).groupBy("doc", "page").agg(F.max("y2").alias("top"), F.min("y1").alias("bottom"))
 
 
-def artifacts(elements: DataFrame, least_height: float = 15.0, longest: int = 40) -> DataFrame:
-    """Elements without letters, and short ones beyond the page's bounds."""
+#: How lines of article metadata at a page's side begin (fixed values).
+METADATA = r"(?i)^(Received|Revised|Accepted|Published|Citation|Academic\s+Editor|Handling\s+Editor|Copyright|Licensee)\s*[:\s]"
+
+
+def artifacts(elements: DataFrame, least_height: float = 15.0) -> DataFrame:
+    """Elements that aren't content: without letters A to Z, lines of metadata, and low TEXT elements that reach beyond the page's tall elements.
+
+    Columns: id, doc, page, type, text, y1, y2. Pages without tall elements keep their low ones (no language model judges them).
+    """
     e = elements.join(anchor_bounds(elements, least_height), ["doc", "page"], "left")
-    beyond = (F.length("text") < longest) & ((F.col("y1") > F.col("top")) | (F.col("y2") < F.col("bottom")))
-    return e.where(~F.col("text").rlike(r"\p{L}") | F.coalesce(beyond, F.lit(False))).select("id")
+    text = F.trim(F.coalesce("text", F.lit("")))
+    beyond = (F.col("type") == "TEXT") & (F.col("y2") - F.col("y1") < least_height) & ((F.col("y2") > F.col("top")) | (F.col("y1") < F.col("bottom")))
+    return e.where(~text.rlike("[a-zA-Z]") | text.rlike(METADATA) | F.coalesce(beyond, F.lit(False))).select("id")
 
 
 #: Types of text nodes that are judged by evidence; all others are kept (fixed values).
@@ -90,10 +98,122 @@ def in_header_zone(page_height: Column, share: float = 0.15) -> Column:
     return (page_height > 0) & ((page_height - F.greatest("y1", "y2")) / page_height <= share)
 
 
-def sidebar_gaps(elements: DataFrame, gap: float) -> DataFrame:
-    """Pages with a horizontal gap wider than `gap` between neighbouring left edges: where it begins."""
-    w = Window.partitionBy("doc", "page").orderBy("x1", "id")
-    return elements.withColumn("_next", F.lead("x1").over(w)).where(F.col("_next") - F.col("x1") > gap).groupBy("doc", "page").agg(F.min("x1").alias("edge"))
+def masks(elements: DataFrame, pages: DataFrame, gap: float = 50.0, widest: float = 150.0, least_height: float = 15.0) -> DataFrame:
+    """Regions to mask (doc, page, kind, x1, y1, x2, y2): sidebar elements with text, and on each page with tall elements the
+    strips above and below them (header, footer).
+
+    The columns of a document are told by gaps wider than `gap` between left edges of its tall elements: narrow elements
+    that end left of the first gap's end, or with two gaps or more begin right of the last one's beginning, are sidebars.
+    """
+    tall = F.col("y2") - F.col("y1") >= least_height
+    w = Window.partitionBy("doc").orderBy("x1", "id")  # a document's elements
+    gaps = elements.where(tall).withColumn("_next", F.lead("x1").over(w)).where(F.col("_next") - F.col("x1") > gap)
+    bounds = gaps.groupBy("doc").agg(F.min(F.struct("x1", "id", "_next"))["_next"].alias("_main"), F.when(F.count("*") > 1, F.max("x1")).alias("_right"))
+    side = (F.col("x2") - F.col("x1") < widest) & (F.coalesce(F.col("x2") < F.col("_main"), F.lit(False)) | F.coalesce(F.col("x1") > F.col("_right"), F.lit(False)))
+    e = elements.join(bounds, "doc", "left").withColumn("_side", side)
+    box = ["x1", "y1", "x2", "y2"]
+    sidebars = e.where(F.col("_side") & (F.trim(F.coalesce("text", F.lit(""))) != "")).select("doc", "page", F.lit("sidebar").alias("kind"), *box)
+    inner = anchor_bounds(e.where(~F.col("_side")), least_height).join(pages, ["doc", "page"], "left").withColumn("_w", F.coalesce("width", F.lit(595.0))).withColumn("_h", F.coalesce("height", F.lit(842.0)))
+    strip = lambda kind, low, high: inner.where(high > low).select("doc", "page", F.lit(kind).alias("kind"), F.lit(0.0).alias("x1"), low.alias("y1"), F.col("_w").alias("x2"), high.alias("y2"))
+    return sidebars.union(strip("header", F.col("top"), F.col("_h"))).union(strip("footer", F.lit(0.0), F.col("bottom")))
+
+
+def with_footnotes(elements: DataFrame, first_gap: float = 20.0, growth: float = 1.2, text_gap: float = 8.0) -> DataFrame:
+    """Tables grown by the footnotes next to them: (doc, page, id, x1, y1, x2, y2, absorbed).
+
+    Columns: doc, page, id, type, rotated, and the box (y upwards). Tables go by id; an upright one grows downwards, a rotated one
+    to the left and then to the right over what overlaps it in height. The nearest TEXT, LIST_ITEM or FOOTNOTE that no table has
+    taken joins if its gap is at most `first_gap` - after a first one that isn't TEXT, `growth` times that one's gap - or for TEXT `text_gap`;
+    the first that is too far ends it.
+    """
+
+    def grow(table: dict, near: list[dict], taken: set, gap_of, join) -> int:
+        limit, fixed, n = first_gap, False, 0
+        for e in near:
+            if e["id"] in taken:
+                continue
+            gap = gap_of(e)
+            if not 0 <= gap <= (text_gap if e["type"] == "TEXT" else limit):
+                break
+            join(e)
+            taken.add(e["id"])
+            n += 1
+            if not fixed and e["type"] != "TEXT":
+                limit, fixed = gap * growth, True
+        return n
+
+    def one(page: pd.DataFrame) -> pd.DataFrame:
+        rows = page.sort_values("id").to_dict("records")
+        notes, taken, out = [r for r in rows if r["type"] in ("TEXT", "LIST_ITEM", "FOOTNOTE")], set(), []
+        for t in (r for r in rows if r["type"] == "TABLE"):
+            def widen(e, t=t):
+                t["x1"], t["x2"], t["y1"], t["y2"] = min(t["x1"], e["x1"]), max(t["x2"], e["x2"]), min(t["y1"], e["y1"]), max(t["y2"], e["y2"])
+
+            if t["rotated"]:
+                level = lambda e, t=t: e["y1"] < t["y2"] and t["y1"] < e["y2"]
+                left = sorted((e for e in notes if e["x2"] <= t["x1"] and level(e)), key=lambda e: -e["x2"])
+                n = grow(t, left, taken, lambda e, t=t: t["x1"] - e["x2"], widen)
+                right = sorted((e for e in notes if e["x1"] >= t["x2"] and level(e)), key=lambda e: e["x1"])
+                n += grow(t, right, taken, lambda e, t=t: e["x1"] - t["x2"], widen)
+            else:
+                def lower(e, t=t):
+                    t["x1"], t["x2"], t["y1"] = min(t["x1"], e["x1"]), max(t["x2"], e["x2"]), min(t["y1"], e["y1"])
+
+                below = sorted((e for e in notes if e["y2"] < t["y1"]), key=lambda e: -e["y2"])
+                n = grow(t, below, taken, lambda e, t=t: t["y1"] - e["y2"], lower)
+            out.append((t["doc"], t["page"], t["id"], t["x1"], t["y1"], t["x2"], t["y2"], n))
+        return pd.DataFrame(out, columns=["doc", "page", "id", "x1", "y1", "x2", "y2", "absorbed"])
+
+    # elements join tables of their own page alone, so pages are worked on apart
+    return elements.groupBy("doc", "page").applyInPandas(one, "doc long, page long, id long, x1 double, y1 double, x2 double, y2 double, absorbed long")
+
+
+def captioned_figures(elements: DataFrame, least_size: float = 50.0, near: float | None = None) -> DataFrame:
+    """Figures with the captions they claim: (doc, num, figure_id, caption, page, x1, y1, x2, y2).
+
+    Columns: doc, page, id, type, text, and the box (y upwards). Figures go by id; too small ones are left out. One takes the nearest
+    caption of its page that none has claimed; the number in it (Figure 3) names it, else its place, with b's added while that name is
+    taken. With `near`, a figure whose nearest caption of all is claimed already and that is within `near` of its owner is a panel
+    of that figure, and united with it; claimed captions are out of sight otherwise.
+    """
+    import re
+
+    number = re.compile(r"^\s*fig(?:ure)?\.?\s*(\d+)", re.IGNORECASE)
+
+    def edge_distance(f: dict, c: dict) -> float:
+        return min(abs(f["y1"] - c["y2"]), abs(c["y1"] - f["y2"]))
+
+    def apart(a: dict, b: dict) -> float:
+        return max(0.0, b["y1"] - a["y2"], a["y1"] - b["y2"], max(a["x1"], b["x1"]) - min(a["x2"], b["x2"]))
+
+    def one(doc: pd.DataFrame) -> pd.DataFrame:
+        rows = doc.sort_values("id").to_dict("records")
+        captions = [r for r in rows if r["type"] == "CAPTION"]
+        owner: dict[int, str] = {}
+        figures: dict[str, dict] = {}
+        for f in rows:
+            if f["type"] not in ("PICTURE", "FIGURE") or f["x2"] - f["x1"] < least_size or f["y2"] - f["y1"] < least_size:
+                continue
+            on_page = [c for c in captions if c["page"] == f["page"]]
+            free = [c for c in on_page if c["id"] not in owner]
+            best = min(free, key=lambda c: (edge_distance(f, c), c["id"]), default=None)
+            closest = min(on_page, key=lambda c: (edge_distance(f, c), c["id"]), default=None)
+            if near is not None and closest is not None and closest["id"] in owner:
+                o = figures[owner[closest["id"]]]
+                if apart(f, o) <= near:
+                    o["x1"], o["y1"], o["x2"], o["y2"] = min(o["x1"], f["x1"]), min(o["y1"], f["y1"]), max(o["x2"], f["x2"]), max(o["y2"], f["y2"])
+                    continue
+            found = number.match(best["text"] or "") if best else None
+            num = found[1] if found else str(len(figures) + 1)
+            while num in figures:
+                num += "b"
+            figures[num] = {**f, "caption": best["text"] if best else None, "figure_id": found[1] if found else num}
+            if best:
+                owner[best["id"]] = num
+        columns = ["doc", "num", "figure_id", "caption", "page", "x1", "y1", "x2", "y2"]
+        return pd.DataFrame([[f["doc"], n, *(f[c] for c in columns[2:])] for n, f in figures.items()], columns=columns)
+
+    return elements.groupBy("doc").applyInPandas(one, "doc long, num string, figure_id string, caption string, page long, x1 double, y1 double, x2 double, y2 double")
 
 
 def merge_boxes(boxes: DataFrame) -> DataFrame:

@@ -251,10 +251,46 @@ def A54_anchor_bounds(spark, sf_dir):
     return L.anchor_bounds(_boxes(spark, sf_dir))
 
 
-@query(f"WITH t AS (SELECT doc, page, max(y2) AS top, min(y1) AS bottom FROM {BOX} WHERE y2 - y1 >= 60 GROUP BY doc, page) SELECT DISTINCT b.id FROM {BOX} b LEFT JOIN t USING (doc, page) WHERE b.id % 2 = 0 OR y1 > top OR y2 < bottom")
+_ELEMENT = f"(SELECT *, CASE WHEN id % 4 = 0 THEN 'LIST_ITEM' ELSE 'TEXT' END AS type, CASE id % 5 WHEN 0 THEN '12.3' WHEN 1 THEN 'Received: 1 May' WHEN 2 THEN NULL ELSE 'words of text' END AS text FROM {BOX})"
+
+
+def _elements(spark, sf_dir):
+    i = F.col("id")
+    text = F.when(i % 5 == 0, "12.3").when(i % 5 == 1, "Received: 1 May").when(i % 5 == 2, F.lit(None)).otherwise("words of text")
+    return _boxes(spark, sf_dir).withColumn("type", F.when(i % 4 == 0, "LIST_ITEM").otherwise("TEXT")).withColumn("text", text)
+
+
+@query(f"""WITH t AS (SELECT doc, page, max(y2) AS top, min(y1) AS bottom FROM {BOX} WHERE y2 - y1 >= 60 GROUP BY doc, page)
+SELECT DISTINCT b.id FROM {_ELEMENT} b LEFT JOIN t USING (doc, page) WHERE NOT regexp_matches(trim(coalesce(text, '')), '[a-zA-Z]') OR regexp_matches(text, '^Received[: ]') OR (type = 'TEXT' AND y2 - y1 < 60 AND (y2 > top OR y1 < bottom))""")
 def F02_artifacts(spark, sf_dir):
-    e = _boxes(spark, sf_dir).withColumn("text", F.when(F.col("id") % 2 == 0, "123").otherwise("word"))
-    return L.artifacts(e, 60.0).distinct()
+    return L.artifacts(_elements(spark, sf_dir), 60.0).distinct()
+
+
+@query(f"""WITH e AS (SELECT *, lead(x1) OVER (PARTITION BY doc ORDER BY x1, id) AS nx FROM {_ELEMENT} WHERE y2 - y1 >= 60), g AS (SELECT doc, min((x1, id, nx)) AS first, CASE WHEN count(*) > 1 THEN max(x1) END AS r FROM e WHERE nx - x1 > 40 GROUP BY doc),
+s AS (SELECT b.*, x2 - x1 < 90 AND (coalesce(x2 < struct_extract_at(first, 3), false) OR coalesce(x1 > r, false)) AS side FROM {_ELEMENT} b LEFT JOIN g USING (doc)),
+t AS (SELECT doc, page, max(y2) AS top, min(y1) AS bottom FROM s WHERE NOT side AND y2 - y1 >= 60 GROUP BY doc, page)
+SELECT doc, page, kind, count(*) AS n, round(sum((x2 - x1) * (y2 - y1)), 3) AS area FROM (SELECT doc, page, 'sidebar' AS kind, x1, y1, x2, y2 FROM s WHERE side AND trim(coalesce(text, '')) <> ''
+ UNION ALL SELECT doc, page, 'header', 0, top, CASE WHEN page = 0 THEN 600.0 ELSE 595.0 END, CASE WHEN page = 0 THEN 900.0 ELSE 842.0 END FROM t WHERE top < CASE WHEN page = 0 THEN 900.0 ELSE 842.0 END UNION ALL SELECT doc, page, 'footer', 0, 0, CASE WHEN page = 0 THEN 600.0 ELSE 595.0 END, bottom FROM t WHERE bottom > 0) GROUP BY doc, page, kind""")
+def W19_masks(spark, sf_dir):
+    e = _elements(spark, sf_dir)
+    pages = e.where("page = 0").select("doc", "page").distinct().select("doc", "page", F.lit(600.0).alias("width"), F.lit(900.0).alias("height"))
+    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    return L.masks(e, pages, 40.0, 90.0, 60.0).groupBy("doc", "page", "kind").agg(F.count("*").alias("n"), F.round(F.sum(area), 3).alias("area"))
+
+
+@query()
+def W16_footnotes(spark, sf_dir):
+    i = F.col("id")
+    kind = F.when(i % 9 == 0, "TABLE").when(i % 3 == 1, "FOOTNOTE").when(i % 3 == 2, "LIST_ITEM").otherwise("TEXT")
+    return L.with_footnotes(_boxes(spark, sf_dir).withColumn("page", F.col("page").cast("long")).withColumn("type", kind).withColumn("rotated", i % 2 == 0))
+
+
+@query()
+def W17_captioned_figures(spark, sf_dir):
+    i = F.col("id")
+    kind = F.when(i % 5 == 0, "CAPTION").when(i % 5 == 1, "PICTURE").when(i % 5 == 2, "FIGURE").otherwise("TEXT")
+    text = F.when(i % 10 == 0, F.concat(F.lit("Figure "), (i % 7).cast("string"), F.lit(". Cells"))).otherwise("A caption")
+    return L.captioned_figures(_boxes(spark, sf_dir).withColumn("page", F.col("page").cast("long")).withColumn("type", kind).withColumn("text", text))
 
 
 @query("""SELECT rule, count(*) AS n, count(*) FILTER (top) AS in_header FROM (SELECT CASE WHEN l_returnflag = 'N' THEN NULL WHEN trim(t) = '' THEN 'R0' WHEN l_tax * 10 > 0.7 THEN 'R-color' WHEN abs(y1 - y2) > 0 AND length(trim(t)) / abs(y1 - y2) > 15 THEN 'R3'
@@ -270,13 +306,8 @@ def F20_node_scorer(spark, sf_dir):
     return e.select(L.node_score(most_white=0.7).alias("rule"), L.in_header_zone(F.lit(842.0)).alias("top")).groupBy("rule").agg(F.count("*").alias("n"), F.count_if("top").alias("in_header"))
 
 
-@query(f"SELECT doc, page, min(x1) AS edge FROM (SELECT doc, page, x1, lead(x1) OVER (PARTITION BY doc, page ORDER BY x1, id) AS nx FROM {BOX}) WHERE nx - x1 > 40 GROUP BY doc, page")
-def W19_sidebar_gaps(spark, sf_dir):
-    return L.sidebar_gaps(_boxes(spark, sf_dir), 40.0)
-
-
 @query()
-def W18_W17_merge_boxes(spark, sf_dir):
+def W18_merge_boxes(spark, sf_dir):
     return L.merge_boxes(_boxes(spark, sf_dir).withColumn("page", F.col("page").cast("long")))
 
 
@@ -293,7 +324,7 @@ def W09_stitch(spark, sf_dir):
 
 
 @query()
-def W15_W16_table_rows(spark, sf_dir):
+def W15_table_rows(spark, sf_dir):
     b = _boxes(spark, sf_dir).select("doc", F.col("page").cast("long").alias("page"), F.col("y1").alias("y"), F.when(F.col("id") % 7 == 0, "caption").otherwise("row").alias("kind"))
     return L.expand_rows(b, 12.0)
 

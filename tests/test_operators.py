@@ -228,6 +228,43 @@ def test_nearest_caption_against_all_pairs(spark):
     assert got == want
 
 
+BOXED = "doc long, page long, id long, type string, rotated boolean, text string, x1 double, y1 double, x2 double, y2 double"
+
+
+def test_footnotes_join_tables(spark):
+    rows = [
+        (1, 1, 1, "TABLE", False, "", 0.0, 100.0, 50.0, 200.0), (1, 1, 2, "FOOTNOTE", False, "", 0.0, 85.0, 60.0, 90.0), (1, 1, 3, "LIST_ITEM", False, "", 5.0, 70.0, 40.0, 74.0),
+        (1, 1, 4, "LIST_ITEM", False, "", 0.0, 40.0, 50.0, 57.0), (1, 1, 5, "TEXT", False, "", 0.0, 10.0, 50.0, 20.0), (1, 1, 6, "TABLE", False, "", 0.0, 100.0, 50.0, 150.0),
+        (1, 2, 7, "TABLE", True, "", 100.0, 100.0, 150.0, 200.0), (1, 2, 8, "FOOTNOTE", False, "", 80.0, 150.0, 95.0, 180.0), (1, 2, 9, "TEXT", False, "", 159.0, 150.0, 170.0, 160.0), (1, 2, 10, "FOOTNOTE", False, "", 152.0, 10.0, 160.0, 90.0),
+    ]
+    got = {r["id"]: (r["x1"], r["y1"], r["x2"], r["y2"], r["absorbed"]) for r in L.with_footnotes(spark.createDataFrame(rows, BOXED)).collect()}
+    # 2 joins at a gap of 10, so further ones may be 12 away: 3 is 11 away, 4 is 13 away; table 6 finds them taken, and 5 too far
+    assert got[1] == (0.0, 70.0, 60.0, 200.0, 2) and got[6] == (0.0, 100.0, 50.0, 150.0, 0)
+    # the rotated one takes 8 on its left; 9 on its right is TEXT and more than 8 away, 10 isn't level with it
+    assert got[7] == (80.0, 100.0, 150.0, 200.0, 1)
+
+
+def test_figures_claim_captions(spark):
+    rows = [
+        (1, 1, 1, "PICTURE", False, "", 0.0, 100.0, 100.0, 200.0), (1, 1, 2, "FIGURE", False, "", 110.0, 100.0, 200.0, 200.0), (1, 1, 3, "CAPTION", False, "Figure 3. Cells", 0.0, 80.0, 100.0, 90.0),
+        (1, 1, 4, "CAPTION", False, "Fig 3 again", 0.0, 500.0, 100.0, 510.0), (1, 1, 5, "PICTURE", False, "", 0.0, 0.0, 10.0, 10.0), (2, 1, 6, "PICTURE", False, "", 0.0, 0.0, 90.0, 90.0),
+    ]
+    df = spark.createDataFrame(rows, BOXED)
+    got = {(r["doc"], r["num"]): (r["figure_id"], r["caption"], r["x2"]) for r in L.captioned_figures(df).collect()}
+    assert got == {(1, "3"): ("3", "Figure 3. Cells", 100.0), (1, "3b"): ("3", "Fig 3 again", 200.0), (2, "1"): ("1", None, 90.0)}
+    got = {(r["doc"], r["num"]): r["x2"] for r in L.captioned_figures(df, near=30.0).collect()}
+    assert got == {(1, "3"): 200.0, (2, "1"): 90.0}
+
+
+def test_masks_of_sidebars_and_strips(spark):
+    rows = [(1, 1, 1, "TEXT", False, "side", 10.0, 300.0, 80.0, 400.0), (1, 1, 2, "TEXT", False, "main", 150.0, 100.0, 500.0, 700.0), (1, 1, 3, "TEXT", False, "low", 150.0, 800.0, 300.0, 805.0), (1, 1, 4, "TEXT", False, " ", 10.0, 420.0, 60.0, 425.0)]
+    pages = spark.createDataFrame([(1, 1, 600.0, 842.0)], "doc long, page long, width double, height double")
+    got = {tuple(r)[2:] for r in L.masks(spark.createDataFrame(rows, BOXED), pages).collect()}
+    assert got == {("sidebar", 10.0, 300.0, 80.0, 400.0), ("header", 0.0, 700.0, 600.0, 842.0), ("footer", 0.0, 0.0, 600.0, 100.0)}
+    kept = spark.createDataFrame([(1, 1, i, k, False, t, 0.0, a, 9.0, b) for i, (k, t, a, b) in enumerate([("TEXT", "body text", 100.0, 300.0), ("TEXT", "12", 150.0, 155.0), ("TEXT", "Revised: May", 150.0, 155.0), ("TEXT", "head", 310.0, 315.0), ("LIST_ITEM", "head", 310.0, 315.0), ("TEXT", None, 150.0, 155.0)])], BOXED)
+    assert {r["id"] for r in L.artifacts(kept).collect()} == {1, 2, 3, 5}
+
+
 def test_numbers_begin_words(spark):
     assert one(spark, T.numbers("t"), t="CD20 in 15.5 of 200 (7) x3") == ["15.5", "200", "7"]
     rows = spark.createDataFrame([("5mm", "15 mm"), ("CD20 5", "15"), ("0 cells", "9 cells"), ("5 of 6", "15"), ("5", "9"), (None, "5")], "a string, b string")

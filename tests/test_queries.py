@@ -116,8 +116,8 @@ def rebuilt(con):
 #: Queries that SQL can't express, as plain Python: rows in the order of the columns named.
 PLAIN = {
     "M02_optimal_match": (["case_id", "a", "b", "similarity"], optimal_match), "V03_optimal_f1": (["case_id", "f1"], optimal_f1), "F15_verbatim_ratio": (["code", "n", "mean"], verbatim),
-    "T02_remove_citations": (["te_id", "cleaned"], without_citations), "W18_W17_merge_boxes": (["doc", "page", "x1", "y1", "x2", "y2"], united),
-    "W15_W16_table_rows": (["doc", "page", "table", "y"], rebuilt),
+    "T02_remove_citations": (["te_id", "cleaned"], without_citations), "W18_merge_boxes": (["doc", "page", "x1", "y1", "x2", "y2"], united),
+    "W15_table_rows": (["doc", "page", "table", "y"], rebuilt),
 }
 
 
