@@ -53,7 +53,7 @@ def K04_Y15_idempotent_append(spark, sf_dir):
 
 
 @query(f"SELECT config, pmcid, count(*) AS n FROM (SELECT config, pmcid FROM {RUNS} WHERE status <> 'P' UNION ALL SELECT config, pmcid FROM {RUNS} WHERE status = 'P' AND config <> '5-LOW') WHERE config <> '5-LOW' GROUP BY ALL UNION ALL SELECT config, pmcid, count(*) FROM {RUNS} WHERE config = '5-LOW' AND status = 'P' GROUP BY ALL")
-def K05_K06_K08_replace_partition(spark, sf_dir):
+def K06_K08_replace_partition(spark, sf_dir):
     path, r = _scratch(spark), runs(spark, sf_dir).select("config", "pmcid", "status")
     Wr.replace_partition(r, path, ["config"])
     Wr.replace_partition(r.where("config = '5-LOW' AND status = 'P'"), path, ["config"])

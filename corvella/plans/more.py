@@ -158,7 +158,7 @@ def F06_Y11_schema_drift(spark, sf_dir):
 
 
 @query("SELECT key, n FROM (SELECT o_orderstatus AS key, count(*) AS n FROM orders GROUP BY 1)")
-def K15_K16_K17_T24_manifest(spark, sf_dir):
+def T24_manifest_digest(spark, sf_dir):
     import json
 
     counts = runs(spark, sf_dir).groupBy(F.col("status").alias("key")).agg(F.count("*").alias("n"))

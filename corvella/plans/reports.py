@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvella.operators import reports as Re
+from corvella.operators.graph import shared_path
 from corvella.plans.registry import query
+from corvella.sources import artifacts as Ar
 from corvella.sources import readers as Rd
+from corvella.sources import writers as Wr
 from corvella.sources.domain import DECISIONS, TEXT_ELEMENTS, USAGE, decisions, table, text_elements, usage
 
 LABELS = ["Correct", "icon", "incorrect", "wrong caption left", "crop is too big", "weird", "missing footnotes", "correct minor", "unsure"]
@@ -177,3 +180,40 @@ def S15_S22_papers_with_entities(spark, sf_dir):
     counted = e.groupBy("pmcid", "entity").agg(F.count("*").alias("k")).groupBy("pmcid").agg(F.array_sort(F.collect_list(F.concat_ws(":", "entity", "k"))).alias("e"))  # a vocabulary of 13
     t = text_elements(spark, sf_dir).groupBy("pmcid").agg(F.count("*").alias("n_elements"), F.sum("n_words").alias("n_words"))
     return t.join(counted, "pmcid", "left").select("pmcid", "n_elements", "n_words", F.coalesce(F.array_join("e", ","), F.lit("")).alias("entities"))
+
+
+@query("WITH i AS (SELECT o_orderkey AS k, o_orderpriority AS config FROM orders) SELECT 'ids' AS what, count(*) AS n, count(DISTINCT substr(sha256('r2' || chr(31) || 'map' || chr(31) || CAST(k AS VARCHAR)), 1, 16)) AS distinct_ids, min(substr(sha256('r2' || chr(31) || 'map' || chr(31) || CAST(k AS VARCHAR)), 1, 16)) AS least FROM i UNION ALL SELECT 'rows', 2 * count(*), NULL, NULL FROM i")
+def K05_persisted_with_ids(spark, sf_dir):
+    """Two runs of a stage, the second written twice: its id map, and how many rows there are in all."""
+    path = shared_path(spark)
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("config"))
+    for run in ("r1", "r2", "r2"):
+        ids = Ar.persisted(rows, path, run, "map", ["k"])
+    own = ids.agg(F.lit("ids").alias("what"), F.count("*").alias("n"), F.count_distinct("id").alias("distinct_ids"), F.min("id").alias("least")).select("what", "n", "distinct_ids", "least")
+    return own.union(spark.read.parquet(path).agg(F.count("*").alias("n")).select(F.lit("rows"), "n", F.lit(None).cast("long"), F.lit(None).cast("string")))
+
+
+@query("""WITH s AS (SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1) SELECT 'counts ' || status AS key, CAST(n AS DOUBLE) AS value FROM s UNION ALL SELECT 'documents', count(*) FROM nation UNION ALL SELECT 'papers', 2 UNION ALL SELECT 'stages', 2""")
+def K15_K16_run_artifacts(spark, sf_dir):
+    """A run's folder over two calls, and a batch's manifest with sums over all orders and a row a nation."""
+    root = shared_path(spark)
+    totals = table(spark, sf_dir, "orders").groupBy(F.lit("counts").alias("section"), F.col("o_orderstatus").alias("key")).agg(F.count("*").cast("double").alias("value"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("pmcid"), F.lit("ok").alias("status"))
+    for paper, stage in (("PMC1", "map"), ("PMC2", "relate")):
+        run = Ar.RunArtifacts(spark, root, "r1", config={"theta": 0.9})
+        run.add_paper(paper)
+        run.write(stage, "totals", totals, paper, required=True)
+        run.completed(stage)
+    run.finish("completed")
+    batch = Ar.batch_manifest(spark, f"{root}/run_b1.json", "b1", {"theta": 0.9}, totals, nations, {"glob": "*.pdf"})
+    rows = [(f"counts {k}", v) for k, v in batch["summary"]["counts"].items()] + [("documents", float(len(batch["documents"]))), ("papers", float(len(run.manifest["papers"]))), ("stages", float(len(run.manifest["stages_completed"])))]
+    return spark.createDataFrame(rows, "key string, value double")
+
+
+@query("SELECT o_orderstatus AS status, '<td>' || o_orderstatus || '</td><td>' || CAST(count(*) AS VARCHAR) || '</td>' AS cells, true AS in_markdown FROM orders GROUP BY o_orderstatus")
+def K17_reports(spark, sf_dir):
+    """The cells of an HTML report and whether the Markdown one has them."""
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+    page, plain = Ar.html_report("Runs", {"By status": counts}), Wr.markdown(counts, "Runs")
+    rows = [(r["status"], cells, f"| {r['status']} | {r['n']} |" in plain) for r in counts.collect() if (cells := f"<td>{r['status']}</td><td>{r['n']}</td>") in page]
+    return spark.createDataFrame(rows, "status string, cells string, in_markdown boolean")

@@ -16,6 +16,7 @@ from corvella.operators import models as Mo
 from corvella.operators import rules as R
 from corvella.operators import selection as Sel
 from corvella.operators import stats as St
+from corvella.sources import artifacts as Ar
 from corvella.sources import readers as Rd
 from corvella.sources import writers as Wr
 from corvella.streaming import incremental as In
@@ -265,6 +266,36 @@ def test_masks_of_sidebars_and_strips(spark):
     assert {r["id"] for r in L.artifacts(kept).collect()} == {1, 2, 3, 5}
 
 
+def test_run_artifacts_over_calls(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    first = Ar.RunArtifacts(spark, root, "r", papers=["P1"], config={"a": 1}, extra={"x": 1}, chunk_size=5)
+    first.completed("map")
+    first.finish("failed", "no")
+    again = Ar.RunArtifacts(spark, root, "r", papers=["P2", "P1"], config={}, extra={"y": 2}, chunk_size=0)
+    m = json.loads(Ar.read_text(spark, f"{root}/r/manifest.json"))
+    assert m == again.manifest and m["papers"] == ["P1", "P2"] and m["stages_completed"] == ["map"] and m["config"] == {"a": 1} and m["chunk_size"] == 0
+    assert m["status"] == "running" and m["error"] is None and m["extra"] == {"x": 1, "y": 2} and m["timestamp_start"] == first.manifest["timestamp_start"]
+    bad = spark.range(3).select(F.raise_error(F.lit("broken")).alias("x"))
+    assert again.write("map", "out", spark.range(3).toDF("x")) and not again.write("map", "bad", bad)
+    with pytest.raises(Exception, match="broken"):
+        again.write("map", "bad", bad, required=True)
+    logged = spark.read.json(f"{root}/r/logs/stage_errors").collect()
+    assert len(logged) == 2 and {r["stage"] for r in logged} == {"map"}
+    assert Ar.read_text(spark, f"{root}/none") is None
+    Ar.write_text(spark, f"{root}/damaged/manifest.json", "{")
+    assert Ar.RunArtifacts(spark, root, "damaged").manifest["papers"] == []
+    with pytest.raises(ValueError, match="at most 2"):
+        Ar.batch_manifest(spark, f"{root}/b.json", "b", {}, spark.createDataFrame([], "section string, key string, value double"), spark.range(3).select(F.col("id").cast("string").alias("pmcid")), {}, most=2)
+    assert Ar.config_digest({"b": 1, "a": "é"}) == Ar.config_digest({"a": "é", "b": 1})
+
+
+def test_reports_escape_and_say_what_they_leave_out(spark):
+    rows = spark.createDataFrame([("<b>", 1), (None, 2), ("c", 3)], "name string, n int")
+    page = Ar.html_report("R & D", {"t": rows}, most=2)
+    assert "&lt;b&gt;" in page and "R &amp; D" in page and page.count("<tr>") == 3 and "The first 2 rows." in page
+    assert Ar.text_histogram([("a", 3), ("b", 1)], 6).splitlines() == ["a       3   75.0%  ######", "b       1   25.0%  ##"] and Ar.text_histogram([]) == ""
+
+
 def test_numbers_begin_words(spark):
     assert one(spark, T.numbers("t"), t="CD20 in 15.5 of 200 (7) x3") == ["15.5", "200", "7"]
     rows = spark.createDataFrame([("5mm", "15 mm"), ("CD20 5", "15"), ("0 cells", "9 cells"), ("5 of 6", "15"), ("5", "9"), (None, "5")], "a string, b string")
