@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corvella.llm.textops import NOT_SPACE, Runs, Words
-from corvella.llm.windows import Scheme, numbered, removed_mask, repeated_spans, with_spans
+from corvella.llm.windows import Pieces, Scheme, numbered, removed_mask, repeated_spans, with_spans
 
 #: Phrases that one automaton is compiled of.
 AUTOMATON_PHRASES = 50_000
@@ -29,42 +29,43 @@ def _letters(words: Words, known: dict[bytes, int]) -> list[str]:
 def locate(width: int):
     """The method: which windows of a block of pieces occur earlier, as (pieces, first words).
 
-    Recurring phrases are confirmed first: windows whose hash occurs twice in the block. From them automata of at most
-    AUTOMATON_PHRASES phrases are compiled (a letter stands for a word), and all pieces are streamed through them, which
-    locates every occurrence exactly. Of a phrase's occurrences all but the first by (id, place) are returned.
+    Recurring phrases are confirmed first: windows whose hash occurs twice in the block (equal pieces are worked on once,
+    with several places). From them automata of at most AUTOMATON_PHRASES phrases are compiled (a letter stands for a word),
+    and all pieces are streamed through them, which locates every occurrence exactly. Of a phrase's places all but the first by
+    (id, place) are returned.
     """
 
     def confirm(pieces: list[bytes], anchor: np.ndarray, id_: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        words = Words(pieces, NOT_SPACE, lower=False)
+        own = Pieces(pieces)
+        words = Words(own.text, NOT_SPACE, lower=False)
         hashes = Runs(words.hash).grams(width)
         at = np.arange(len(hashes))
         piece = np.searchsorted(words.first, at, side="right") - 1
         inside = at + width <= words.first[piece + 1]
         at, piece, hashes = at[inside], piece[inside], hashes[inside]
-        _, index, inverse, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        _, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        counts = np.bincount(inverse, weights=own.n[piece], minlength=len(index))
         recurring = np.flatnonzero(counts > 1)
         letters = _letters(words, {})
         streamed = sorted(set(piece[counts[inverse] > 1].tolist()))
         for low in range(0, len(recurring), AUTOMATON_PHRASES):
             automaton = ahocorasick.Automaton()
-            for i in index[recurring[low : low + AUTOMATON_PHRASES]].tolist():
+            for k, i in enumerate(index[recurring[low : low + AUTOMATON_PHRASES]].tolist()):
                 p = int(piece[i])
                 a = int(at[i] - words.first[p])
-                phrase = letters[p][a : a + width]
-                automaton.add_word(phrase, phrase)
+                automaton.add_word(letters[p][a : a + width], k)
             automaton.make_automaton()
-            first: dict[str, tuple[int, int]] = {}
-            found: list[tuple[str, int, int]] = []
-            for p in streamed:
-                doc, base = int(id_[p]), int(start[p])
-                for end, phrase in automaton.iter(letters[p]):
-                    a = end - width + 1
-                    found.append((phrase, p, a))
-                    if (doc, base + a) < first.get(phrase, (doc, base + a + 1)):
-                        first[phrase] = (doc, base + a)
-            late = [(p, a) for phrase, p, a in found if (int(id_[p]), int(start[p]) + a) > first[phrase]]
-            if late:
-                yield tuple(np.array(late, np.int64).T)
+            found = [(phrase, p, end - width + 1) for p in streamed for end, phrase in automaton.iter(letters[p])]
+            if not found:
+                continue
+            phrase, text, unit = np.array(found, np.int64).T
+            row, where, unit = own.places(text, unit)
+            phrase, doc, place = phrase[row], id_[where], start[where] + unit
+            by = np.lexsort((place, doc, phrase))
+            new = np.diff(phrase[by], prepend=-1) != 0
+            lead = by[np.flatnonzero(new)][np.cumsum(new) - 1]
+            late = by[(doc[by] != doc[lead]) | (place[by] != place[lead])]
+            yield where[late], unit[late]
 
     return confirm
 

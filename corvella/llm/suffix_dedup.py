@@ -11,35 +11,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corvella.llm.induced import MEMORY_ITEMS, sorted_suffixes
-from corvella.llm.windows import Scheme, numbered, removed_mask, repeated_spans, with_spans
+from corvella.llm.windows import Pieces, Scheme, numbered, removed_mask, repeated_spans, with_spans
 
 
 def later_windows(width: int, memory: int = MEMORY_ITEMS):
     """The method: which windows of a block of pieces occur earlier, as (pieces, first bytes).
 
-    The pieces, each ended by symbol 0, are one string. Where neighbours in its suffix array share `width` bytes or more,
-    their windows are equal; of such a run all but the first by (id, place) are returned.
+    The different pieces, each ended by symbol 0, are one string. Where neighbours in its suffix array share `width` bytes
+    or more, their windows are equal, and those of a piece with several places are equal to themselves elsewhere; of such
+    a run's places all but the first by (id, place) are returned.
     """
 
     def confirm(pieces: list[bytes], anchor: np.ndarray, id_: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        data = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
-        begins = np.cumsum([0, *(len(p) + 1 for p in pieces)])
+        own = Pieces(pieces)
+        data = np.frombuffer(b"\0".join(own.text) + b"\0", np.uint8)
+        begins = np.cumsum([0, *(len(p) + 1 for p in own.text)])
         text = data.astype(np.uint16) + np.uint16(1)
         text[begins[1:] - 1] = 0
+        several = bool((own.n > 1).any())
         with tempfile.TemporaryDirectory() as folder:
             for _, position, prefix in sorted_suffixes(text, 257, width, folder, memory):
                 joined = prefix >= width
                 member = joined | np.append(joined[1:], False)
+                if several:
+                    piece = np.searchsorted(begins, position, side="right") - 1
+                    member |= (own.n[piece] > 1) & (begins[piece + 1] - 1 - position >= width)
                 if not member.any():
                     continue
                 position, group = position[member], np.cumsum(~joined)[member]
                 piece = np.searchsorted(begins, position, side="right") - 1
-                doc, place = id_[piece], start[piece] + position - begins[piece]
+                row, piece, at = own.places(piece, position - begins[piece])
+                doc, place, group = id_[piece], start[piece] + at, group[row]
                 by = np.lexsort((place, doc, group))
-                first = np.flatnonzero(np.diff(group[by], prepend=-1))
-                lead = by[first][np.cumsum(np.diff(group[by], prepend=-1) != 0) - 1]
+                new = np.diff(group[by], prepend=-1) != 0
+                lead = by[np.flatnonzero(new)][np.cumsum(new) - 1]
                 late = by[(doc[by] != doc[lead]) | (place[by] != place[lead])]
-                yield piece[late], (position - begins[piece])[late]
+                yield piece[late], at[late]
 
     return confirm
 

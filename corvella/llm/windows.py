@@ -4,11 +4,10 @@ Two windows can only be equal if they have the same anchor: the run of `gram` un
 leftmost of equals). Neighbouring windows mostly share one, so a document is cut into contexts - an anchor and all units
 of the windows that have it - of which there is one for about every (window - gram) / 2 units:
 
-1. Scan: a row for each context: hash of the anchor, hash of the context, document, place. Of equal contexts in some batches
-   only the first goes on; the others are known to be repeated and leave as spans.
-2. Contexts meet by anchor. One that equals an earlier one is a span. An anchor with one context has nothing repeated.
-   What remains ambiguous are anchors with several different contexts, which share some windows or none.
-3. The text of ambiguous contexts is fetched, and an operator's own method confirms which windows in it occur earlier.
+1. Scan: a row for each context: hash of the anchor, document, place.
+2. Contexts meet by anchor. One that is alone has nothing repeated and is set aside; this is all that hashes decide.
+3. The text of the others is fetched and goes by anchor to an operator's own method, which finds in blocks of whole anchors
+   the windows that occur earlier.
 4. Spans are gathered by document and cut out of its text.
 """
 
@@ -27,13 +26,13 @@ from corvella.llm.textops import NOT_SPACE, Runs, Words, slices
 
 #: Contexts of one anchor that one task may get; those of anchors with more are compared window by window, byte by byte, in as many tasks as it takes.
 GROUP_LIMIT = 100_000
-#: Contexts among which a scan looks for equal ones before they are exchanged.
+#: Contexts among which a scan looks for anchors that repeat before they are exchanged.
 TOGETHER = 500_000
 #: Bytes of context text that are confirmed together.
 BLOCK_BYTES = 4 << 20
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
-CONTEXTS = "kind int, anchor long, context long, id long, th long, start long, stop long"
+CONTEXTS = "kind int, anchor long, id long, th long, start long, stop long"
 SPANS = "id long, th long, start long, stop long"
 
 
@@ -70,11 +69,11 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts(units: np.ndarray, first: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, ...]:
-    """(document, anchor hash, context hash, start, stop) of each context; places count from the document's first unit."""
+    """(document, anchor hash, start, stop) of each context; places count from the document's first unit."""
     n, w = len(units), scheme.window
     sizes = np.diff(first)
     if n < w or not (sizes >= w).any():
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
     runs = Runs(units)
     grams = runs.grams(scheme.gram)
     least = sliding_min((grams & _HIGH) | np.arange(len(grams), dtype=np.uint64), w - scheme.gram + 1)
@@ -89,7 +88,7 @@ def contexts(units: np.ndarray, first: np.ndarray, scheme: Scheme) -> tuple[np.n
     at = np.flatnonzero(new)
     start, stop = starts[at], starts[np.append(at[1:], len(starts)) - 1] + w
     doc = np.searchsorted(first, start, side="right") - 1
-    return doc, grams[anchor[at]].view(np.int64), runs.hash(start, stop).view(np.int64), start - first[doc], stop - first[doc]
+    return doc, grams[anchor[at]].view(np.int64), start - first[doc], stop - first[doc]
 
 
 def merged(id_: np.ndarray, th: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -119,7 +118,13 @@ def _batch(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
 
 
+#: Kinds of rows: an anchor met once in a batch; one of several there, which stands for all; the others of these.
+ONE, FIRST, MORE = 0, 1, 2
+
+
 def _scan(scheme: Scheme):
+    """A row for each context. Of an anchor that is everywhere each batch sends one row to the others; the rest only pass through."""
+
     def found(batches: Iterable[pa.RecordBatch]) -> Iterator[list]:
         parts: list[tuple] = []
         for batch in batches:
@@ -135,67 +140,32 @@ def _scan(scheme: Scheme):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in found(batches):
-            id_, th, anchor, context, start, stop = (np.concatenate(p) for p in zip(*parts, strict=True))
-            by = np.lexsort((start, id_, context, anchor))
-            first = _first_flags([anchor[by], context[by]])
-            lead = by[np.flatnonzero(first)][np.cumsum(first) - 1]  # the first of the same context, for each in order
-            again = ~first & ((id_[by] != id_[lead]) | (start[by] != start[lead]))
-            one, late = by[first], by[again]
-            yield _batch({"kind": np.zeros(len(one), np.int32), "anchor": anchor[one], "context": context[one], "id": id_[one], "th": th[one], "start": start[one], "stop": stop[one]})
-            # rows alike in id and place, but of another text (a repeated id), stay in the race
-            same = by[~first & ~again & (th[by] != th[lead])]
-            if len(same):
-                yield _batch({"kind": np.zeros(len(same), np.int32), "anchor": anchor[same], "context": context[same], "id": id_[same], "th": th[same], "start": start[same], "stop": stop[same]})
-            i, t, a, b = merged(id_[late], th[late], start[late], stop[late])
-            # spans only pass through the exchange; their documents deal them out
-            yield _batch({"kind": np.ones(len(i), np.int32), "anchor": i * np.int64(-7046029254386353131), "context": np.zeros(len(i), np.int64), "id": i, "th": t, "start": a, "stop": b})
+            id_, th, anchor, start, stop = (np.concatenate(p) for p in zip(*parts, strict=True))
+            by = np.argsort(anchor, kind="stable")
+            first = _first_flags([anchor[by]])
+            alone = first & np.append(first[1:], True)
+            kind = np.empty(len(by), np.int32)
+            kind[by] = np.where(alone, ONE, np.where(first, FIRST, MORE))
+            yield _batch({"kind": kind, "anchor": anchor, "id": id_, "th": th, "start": start, "stop": stop})
 
     return run
 
 
-def _resolve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (kind, anchor, context, id, start) -> spans of contexts seen earlier, and the ambiguous contexts.
-
-    It holds one batch, the leading row of the last context, and the last anchor's only context as long as it is alone.
-    """
-    names = ["kind", "anchor", "context", "id", "th", "start", "stop"]
-    lead: tuple[int, ...] | None = None  # the first row of the last context
-    alone: tuple[int, ...] | None = None  # that row, if its anchor has no other context so far
+def _meeting(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (kind is MORE, anchor) -> those whose anchor has several. It holds one batch, and the last row as long as its anchor is alone."""
+    held: pa.RecordBatch | None = None
+    last: int | None = None
     for batch in batches:
-        cols = {n: batch[n].to_numpy() for n in names}
-        spans = cols["kind"] == 1
-        out = [{n: c[spans] for n, c in cols.items()}]
-        c = {n: v[~spans] for n, v in cols.items()}
-        if len(c["kind"]):
-            new_context = _first_flags([c["anchor"], c["context"]])
-            if lead is not None and (lead[1], lead[2]) == (c["anchor"][0], c["context"][0]):
-                new_context[0] = False
-            at = np.flatnonzero(new_context)
-            of = np.cumsum(new_context) - 1
-            lead_id = np.append(c["id"][at], lead[3] if lead else 0)[of]
-            lead_start = np.append(c["start"][at], lead[5] if lead else 0)[of]
-            late = ~new_context & ((c["id"] != lead_id) | (c["start"] != lead_start))
-            i, t, a, b = merged(*(c[n][late] for n in ("id", "th", "start", "stop")))
-            out.append({"kind": np.ones(len(i), np.int32), "anchor": i, "context": i, "id": i, "th": t, "start": a, "stop": b})
-            if len(at):
-                anchors = c["anchor"][at]
-                same = anchors[1:] == anchors[:-1]
-                crowded = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-                if lead is not None and lead[1] == anchors[0]:
-                    crowded[0] = True
-                    if alone is not None:
-                        out.append({n: np.array([v]) for n, v in zip(names, alone, strict=True)})
-                pick = at[crowded]
-                out.append({n: v[pick] for n, v in c.items()})
-                lead = tuple(int(c[n][at[-1]]) for n in names)
-                alone = None if crowded[-1] else lead
-            # what is alike in id and place but of another text shares the fate of its context's first row
-            twin = ~new_context & ~late & (c["th"] != np.append(c["th"][at], lead[4] if lead else 0)[of])
-            if twin.any():
-                out.append({n: v[twin] for n, v in c.items()})
-        for part in out:
-            if len(part["kind"]):
-                yield _batch({n: part[n].astype(np.int32 if n == "kind" else np.int64) for n in names})
+        if not batch.num_rows:
+            continue
+        kind, anchor = batch["kind"].to_numpy(), batch["anchor"].to_numpy()
+        same = anchor[1:] == anchor[:-1]
+        meets = np.concatenate([[anchor[0] == last], same]) | np.concatenate([same, [False]]) | (kind != ONE)
+        if held is not None and anchor[0] == last:
+            yield held
+        if meets.any():
+            yield batch.filter(pa.array(meets))
+        held, last = (None if meets[-1] else batch.slice(batch.num_rows - 1, 1)), int(anchor[-1])
 
 
 def _extract(scheme: Scheme):
@@ -220,6 +190,25 @@ def _extract(scheme: Scheme):
     return run
 
 
+class Pieces:
+    """Different texts among some pieces, and the places of each: equal ones are worked on once. `text`: the different ones; `n`: how many places each has."""
+
+    def __init__(self, pieces: list[bytes]):
+        number: dict[bytes, int] = {}
+        of = np.array([number.setdefault(p, len(number)) for p in pieces], np.int64)
+        self.text = list(number)
+        self.order = np.argsort(of, kind="stable")
+        self.n = np.bincount(of, minlength=len(number))
+        self.begin = np.cumsum(self.n) - self.n
+
+    def places(self, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, piece, unit): for each (text, unit) all its places; row numbers what was given."""
+        n = self.n[text]
+        row = np.repeat(np.arange(len(text)), n)
+        piece = self.order[np.repeat(self.begin[text], n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)]
+        return row, piece, at[row]
+
+
 Confirm = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], Iterable[tuple[np.ndarray, np.ndarray]]]
 
 
@@ -272,13 +261,14 @@ def repeated_spans(docs: DataFrame, scheme: Scheme, confirm: Confirm) -> DataFra
     """The spans (id, th, start, stop) of `docs` (id, th, text) that windows occurring earlier cover."""
     bounded_batches(docs.sparkSession)
     scanned = docs.mapInArrow(_scan(scheme), CONTEXTS)
-    order = ["kind", "anchor", "context", "id", "start", "th"]
-    resolved = materialize(scanned.repartition("anchor").sortWithinPartitions(*order).mapInArrow(_resolve, CONTEXTS))
-    known, unclear = resolved.where("kind = 1").select("id", "th", "start", "stop"), resolved.where("kind = 0")
-    crowds = unclear.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_LIMIT)
+    more = F.col("kind") == MORE
+    dealt = scanned.repartition(F.when(more, F.xxhash64("id", "start")).otherwise(F.col("anchor")))
+    met = materialize(dealt.sortWithinPartitions(more, "anchor").mapInArrow(_meeting, CONTEXTS).drop("kind"))
+    crowds = met.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_LIMIT)
     n_crowds = crowds.count()
-    wanted = unclear.groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "start", "stop")).alias("places"))  # a document's own
+    wanted = met.groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "start", "stop")).alias("places"))  # a document's own
     pieces = docs.join(wanted, ["id", "th"]).select("id", "th", "text", "places").mapInArrow(_extract(scheme), "anchor long, id long, th long, start long, piece binary")
+    known: DataFrame | None = None
     if n_crowds:  # fewer than (contexts / GROUP_LIMIT) anchors
         pieces = materialize(pieces)
         crowded = pieces.join(F.broadcast(crowds) if n_crowds < 100_000 else crowds, "anchor").drop("n")
@@ -286,9 +276,9 @@ def repeated_spans(docs: DataFrame, scheme: Scheme, confirm: Confirm) -> DataFra
         rows = crowded.mapInArrow(_window_rows(scheme), "window binary, id long, th long, start long")
         firsts = materialize(rows.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("id", "start")).alias("first")).where("n > 1"))
         late = join_facts(rows, firsts, "window", "n").where(F.struct("id", "start") > F.col("first"))
-        known = known.unionByName(late.select("id", "th", "start", (F.col("start") + scheme.window).alias("stop")))
+        known = late.select("id", "th", "start", (F.col("start") + scheme.window).alias("stop"))
     confirmed = pieces.repartition("anchor").sortWithinPartitions("anchor", "id", "start").mapInArrow(_confirm(scheme, confirm), SPANS)
-    return known.unionByName(confirmed)
+    return materialize(confirmed if known is None else known.unionByName(confirmed))
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

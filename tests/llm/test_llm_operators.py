@@ -109,6 +109,20 @@ def test_substring_dedup_against_brute_force(spark):
         assert got[i] == (len(u), gone.sum(), " ".join(w for w, g in zip(u, gone, strict=True) if not g))
 
 
+@pytest.mark.parametrize("limit", [100_000, 2])
+@pytest.mark.parametrize("together", [0, 500_000])
+def test_repeats_on_awkward_rows_against_brute_force(spark, monkeypatch, limit, together):
+    """Null and repeated ids, copies, one word again and again; anchors alone and in crowds, and those that repeat in a batch or only elsewhere."""
+    from corvella.llm import windows
+
+    monkeypatch.setattr(windows, "GROUP_LIMIT", limit)
+    monkeypatch.setattr(windows, "TOGETHER", together)
+    docs = [(None, corpus(12)[3][1]), *corpus(12), (70, None), (71, " ".join(["again"] * 90)), (72, "again " * 70)]
+    for operator, width, units in ((substring_dedup, 20, [(t or "").split() for _, t in docs]), (suffix_dedup, 100, [(t or "").encode() for _, t in docs])):
+        got = {r["doc_id"]: r["n_removed"] for r in operator(frame(spark, docs)).collect()}
+        assert got == {i: int(g.sum()) for (i, _), g in zip(docs, brute_windows(units, width), strict=True)}
+
+
 def test_substring_dedup_of_crowded_anchors(spark, monkeypatch):
     from corvella.llm import windows
 
