@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,14 +38,19 @@ _kept: dict[str, object] = {}
 def kept_by_worker(key: str, build: Callable[[], object]) -> object:
     """What a Python worker keeps between tasks: one thing at a time, so that operators in turn don't add up in memory."""
     if key not in _kept:
-        _kept.clear()
+        let_go()
         _kept[key] = build()
     return _kept[key]
 
 
 def let_go() -> None:
-    """Drop what an earlier operator has kept in this worker."""
-    _kept.clear()
+    """Drop what an earlier operator has kept in this worker, and hand its memory back to the system."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform.startswith("linux"):
+            getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)  # of glibc
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
