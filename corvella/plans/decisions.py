@@ -391,7 +391,11 @@ def _pool(spark, sf_dir, limit):
     return Sel.pool(papers, SETS, (F.size("disease") + F.size(F.array_distinct("gene"))) / F.log1p(F.col("length") + 10), limit)
 
 
-@query()
+@query(f"""WITH p AS (SELECT * FROM (SELECT *, disease[1] AS nation, row_number() OVER (PARTITION BY disease[1] ORDER BY id) AS r FROM {PAPERS}) WHERE r <= 4),
+c AS (SELECT nation, count(*) AS n, 0.30 * len(list_distinct(flatten(list(disease)))) / (3 * count(*)) + 0.20 * len(list_distinct(flatten(list(method)))) / (2 * count(*)) AS cover FROM p GROUP BY nation),
+r AS (SELECT a.nation, 0.30 * len(list_intersect(a.disease, b.disease)) / len(list_distinct(list_concat(a.disease, b.disease))) + 0.15 * len(list_intersect(list_distinct(a.gene), list_distinct(b.gene))) / len(list_distinct(list_concat(a.gene, b.gene))) + 0.06 * len(list_intersect(a.method, b.method)) / len(list_distinct(list_concat(a.method, b.method))) AS s FROM p a JOIN p b ON a.nation = b.nation AND a.id < b.id),
+q AS (SELECT nation, avg(s) AS mean, count(*) FILTER (s >= 0.65) AS near FROM r GROUP BY nation)
+SELECT nation, n, round(cover - coalesce(0.40 * mean + 0.20 * near, 0) + 1e-9, 6) AS diversity FROM c LEFT JOIN q USING (nation)""")
 def V11_diversity(spark, sf_dir):
     """The diversity of every nation's papers that a choice would look at first."""
     papers = _papers(spark, sf_dir)
@@ -399,7 +403,7 @@ def V11_diversity(spark, sf_dir):
     of = {}
     for r in nations:
         of.setdefault(r["nation"], []).append({s: set(r[s]) for s in SETS})
-    return spark.createDataFrame([(n, len(p), round(Sel.diversity(p), 6)) for n, p in of.items()], "nation string, n long, diversity double")
+    return spark.createDataFrame([(n, len(p), round(Sel.diversity(p) + 1e-9, 6)) for n, p in of.items()], "nation string, n long, diversity double")
 
 
 @query()
