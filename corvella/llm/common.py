@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -54,6 +55,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of steps that are over: it does when their plans have been collected as garbage, here and in the JVM."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def clean_up(spark: SparkSession) -> int:
     """Remove the tables that operators have written to the shared folder; results that still read them must be saved before. Returns how many there were."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

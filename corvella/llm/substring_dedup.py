@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from corvella.llm.common import release
 from corvella.llm.textops import NOT_SPACE, Runs, Words
 from corvella.llm.windows import Pieces, Scheme, numbered, removed_mask, repeated_spans, with_spans
 
@@ -17,22 +18,26 @@ from corvella.llm.windows import Pieces, Scheme, numbered, removed_mask, repeate
 AUTOMATON_PHRASES = 50_000
 
 
-def _letters(words: Words, known: dict[bytes, int]) -> list[str]:
+def _letters(words: Words) -> list[str]:
     """Each text as a string with one character for each word; equal words have equal characters."""
-    out = []
-    for a, b in zip(words.first, words.first[1:], strict=False):
-        numbers = [known.setdefault(words.data[s:e].tobytes(), len(known)) for s, e in zip(words.start[a:b], words.end[a:b], strict=True)]
-        out.append("".join([chr(n if n < 0xD800 else n + 0x800) for n in numbers]))  # there are no characters D800 to DFFF
-    return out
+    one, two = words.hash, Runs(words.data, 1).hash(words.start, words.end)
+    _, first, number = np.unique(one, return_index=True, return_inverse=True)
+    if not (two[first][number] == two).all():  # words that differ have equal hashes
+        known: dict[bytes, int] = {}
+        number = np.array([known.setdefault(words.data[s:e].tobytes(), len(known)) for s, e in zip(words.start, words.end, strict=True)])
+    number = number.astype(np.uint32)
+    number[number >= 0xD800] += np.uint32(0x800)  # there are no characters D800 to DFFF
+    whole = number.tobytes().decode("utf-32-le")
+    return [whole[a:b] for a, b in zip(words.first.tolist(), words.first[1:].tolist(), strict=False)]
 
 
 def locate(width: int):
     """The method: which windows of a block of pieces occur earlier, as (pieces, first words).
 
-    Recurring phrases are confirmed first: windows whose hash occurs twice in the block (equal pieces are worked on once,
-    with several places). From them automata of at most AUTOMATON_PHRASES phrases are compiled (a letter stands for a word),
-    and all pieces are streamed through them, which locates every occurrence exactly. Of a phrase's places all but the first by
-    (id, place) are returned.
+    Recurring passages are confirmed first, by the hashes of windows: a window that two different pieces have, or one twice, is
+    a phrase; a piece with several places is one as a whole, for its windows that no other has. From these automata of at most
+    AUTOMATON_PHRASES phrases are compiled (a letter stands for a word), and all pieces are streamed through them, which
+    locates every occurrence exactly. Of a window's places all but the first by (id, place) are returned.
     """
 
     def confirm(pieces: list[bytes], anchor: np.ndarray, id_: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -42,23 +47,27 @@ def locate(width: int):
         at = np.arange(len(hashes))
         piece = np.searchsorted(words.first, at, side="right") - 1
         inside = at + width <= words.first[piece + 1]
-        at, piece, hashes = at[inside], piece[inside], hashes[inside]
-        _, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        counts = np.bincount(inverse, weights=own.n[piece], minlength=len(index))
-        recurring = np.flatnonzero(counts > 1)
-        letters = _letters(words, {})
-        streamed = sorted(set(piece[counts[inverse] > 1].tolist()))
-        for low in range(0, len(recurring), AUTOMATON_PHRASES):
+        at, piece, hashes = at[inside] - words.first[piece[inside]], piece[inside], hashes[inside]
+        _, index, inverse, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        shared, several = counts[inverse] > 1, own.n[piece] > 1
+        letters = _letters(words)
+        phrases = [letters[p][a : a + width] for p, a in zip(piece[index[counts > 1]].tolist(), at[index[counts > 1]].tolist(), strict=True)]
+        whole = set(phrases)
+        phrases += [x for x in (letters[p] for p in np.unique(piece[several & ~shared]).tolist()) if x not in whole]
+        streamed = np.unique(piece[shared | several]).tolist()
+        for low in range(0, len(phrases), AUTOMATON_PHRASES):
             automaton = ahocorasick.Automaton()
-            for k, i in enumerate(index[recurring[low : low + AUTOMATON_PHRASES]].tolist()):
-                p = int(piece[i])
-                a = int(at[i] - words.first[p])
-                automaton.add_word(letters[p][a : a + width], k)
+            for k, phrase in enumerate(phrases[low : low + AUTOMATON_PHRASES]):
+                automaton.add_word(phrase, (k, len(phrase)))
             automaton.make_automaton()
-            found = [(phrase, p, end - width + 1) for p in streamed for end, phrase in automaton.iter(letters[p])]
+            found = [(k, n, p, end - n + 1) for p in streamed for end, (k, n) in automaton.iter(letters[p])]
             if not found:
                 continue
-            phrase, text, unit = np.array(found, np.int64).T
+            phrase, size, text, unit = np.array(found, np.int64).T
+            n = size - width + 1  # windows of a phrase: one, or those of a whole piece
+            row = np.repeat(np.arange(len(n)), n)
+            offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            phrase, text, unit = phrase[row] * (int(n.max()) + 1) + offset, text[row], unit[row] + offset
             row, where, unit = own.places(text, unit)
             phrase, doc, place = phrase[row], id_[where], start[where] + unit
             by = np.lexsort((place, doc, phrase))
@@ -101,5 +110,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = numbered(docs, id_col, text_col)
     spans = repeated_spans(rows.select("id", "th", "text"), Scheme(width, gram, of_words=True), locate(width))
+    release(docs.sparkSession)
     cut = with_spans(rows, spans).mapInArrow(_cut, "row long, text string, n_words long, n_removed long, kept_sha256 string")
     return cut.withColumnRenamed("row", id_col)

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from corvella.llm.common import release
 from corvella.llm.induced import MEMORY_ITEMS, sorted_suffixes
 from corvella.llm.windows import Pieces, Scheme, numbered, removed_mask, repeated_spans, with_spans
 
@@ -25,21 +26,20 @@ def later_windows(width: int, memory: int = MEMORY_ITEMS):
     def confirm(pieces: list[bytes], anchor: np.ndarray, id_: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         own = Pieces(pieces)
         data = np.frombuffer(b"\0".join(own.text) + b"\0", np.uint8)
-        begins = np.cumsum([0, *(len(p) + 1 for p in own.text)])
+        sizes = np.array([len(p) + 1 for p in own.text])
+        begins = np.cumsum(sizes) - sizes
         text = data.astype(np.uint16) + np.uint16(1)
-        text[begins[1:] - 1] = 0
-        several = bool((own.n > 1).any())
+        text[begins + sizes - 1] = 0
+        of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        again = (own.n > 1)[of] & (np.arange(len(of)) + width < (begins + sizes)[of])  # windows with several places, whatever their neighbours are
         with tempfile.TemporaryDirectory() as folder:
             for _, position, prefix in sorted_suffixes(text, 257, width, folder, memory):
                 joined = prefix >= width
-                member = joined | np.append(joined[1:], False)
-                if several:
-                    piece = np.searchsorted(begins, position, side="right") - 1
-                    member |= (own.n[piece] > 1) & (begins[piece + 1] - 1 - position >= width)
+                member = joined | np.append(joined[1:], False) | again[position]
                 if not member.any():
                     continue
                 position, group = position[member], np.cumsum(~joined)[member]
-                piece = np.searchsorted(begins, position, side="right") - 1
+                piece = of[position]
                 row, piece, at = own.places(piece, position - begins[piece])
                 doc, place, group = id_[piece], start[piece] + at, group[row]
                 by = np.lexsort((place, doc, group))
@@ -82,5 +82,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = numbered(docs, id_col, text_col)
     spans = repeated_spans(rows.select("id", "th", "text"), Scheme(width, gram, of_words=False), later_windows(width))
+    release(docs.sparkSession)
     cut = with_spans(rows, spans).mapInArrow(_cut, "row long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return cut.withColumnRenamed("row", id_col)

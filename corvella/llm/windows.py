@@ -51,11 +51,13 @@ class Scheme:
             return words.hash, words.first.astype(np.int64)
         return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
-    def piece(self, text: bytes) -> Callable[[int, int], bytes]:
-        """A function that gives units [start, stop) of a text as bytes; words are joined by one space."""
+    def cutter(self, text: bytes) -> tuple[bytes, np.ndarray, int]:
+        """(whole, begin, gap): units [a, b) of a text are whole[begin[a] : begin[b] - gap]; words are joined by one space."""
         if not self.of_words:
-            return lambda start, stop: text[start:stop]
-        return Words([text], NOT_SPACE, lower=False).text
+            return text, np.arange(len(text) + 1), 0
+        words = Words([text], NOT_SPACE, lower=False)
+        begin = np.concatenate([[0], np.cumsum(words.end - words.start + 1)])
+        return words.text(0, len(words.start)) + b" ", begin, 1
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -169,23 +171,31 @@ def _meeting(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extract(scheme: Scheme):
+    """The texts of documents' contexts."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {n: [] for n in ("anchor", "id", "th", "start", "piece")}
-            size = 0
-            for id_, th, text, places in zip(*(batch[n] for n in ("id", "th", "text", "places")), strict=True):
-                piece = scheme.piece((text.as_py() or "").encode())
-                for p in places.as_py():
-                    out["anchor"].append(p["anchor"])
-                    out["id"].append(id_.as_py())
-                    out["th"].append(th.as_py())
-                    out["start"].append(p["start"])
-                    out["piece"].append(x := piece(p["start"], p["stop"]))
-                    size += len(x)
+            places = batch["places"]
+            edges = places.offsets.to_numpy() - places.offsets[0].as_py()
+            flat = places.flatten()
+            anchor, start, stop = (flat.field(n).to_numpy() for n in ("anchor", "start", "stop"))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(edges))
+            pieces: list[bytes] = []
+            size = done = 0
+
+            def told(upto: int, done: int, pieces: list[bytes]) -> pa.RecordBatch:
+                own, picked = slice(done, upto), pa.array(row[done:upto])
+                return pa.RecordBatch.from_pydict({"anchor": pa.array(anchor[own]), "id": batch["id"].take(picked), "th": batch["th"].take(picked), "start": pa.array(start[own]), "piece": pa.array(pieces, pa.binary())})  # noqa: B023
+
+            for i, text in enumerate(batch["text"]):
+                whole, begin, gap = scheme.cutter((text.as_py() or "").encode())
+                own = slice(edges[i], edges[i + 1])
+                pieces += [whole[x:y] for x, y in zip(begin[start[own]].tolist(), (begin[stop[own]] - gap).tolist(), strict=True)]
+                size += int((begin[stop[own]] - begin[start[own]]).sum())
                 if size > BLOCK_BYTES:
-                    yield pa.RecordBatch.from_pydict(out)
-                    out, size = {n: [] for n in out}, 0
-            yield pa.RecordBatch.from_pydict(out | {"piece": pa.array(out["piece"], pa.binary()), **{n: pa.array(out[n], pa.int64()) for n in ("anchor", "id", "th", "start")}})
+                    yield told(int(edges[i + 1]), done, pieces)
+                    pieces, size, done = [], 0, int(edges[i + 1])
+            yield told(int(edges[-1]), done, pieces)
 
     return run
 
@@ -249,9 +259,9 @@ def _window_rows(scheme: Scheme):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for id_, th, start, piece in zip(batch["id"].to_pylist(), batch["th"].to_pylist(), batch["start"].to_pylist(), batch["piece"].to_pylist(), strict=True):
-                units, first = scheme.units([piece])
-                n, part = int(first[-1]) - scheme.window + 1, scheme.piece(piece)
-                windows = pa.array([part(i, i + scheme.window) for i in range(n)], pa.binary())
+                whole, begin, gap = scheme.cutter(piece)
+                n = len(begin) - scheme.window
+                windows = pa.array([whole[begin[i] : begin[i + scheme.window] - gap] for i in range(n)], pa.binary())
                 yield pa.RecordBatch.from_pydict({"window": windows, "id": pa.array(np.full(n, id_, np.int64)), "th": pa.array(np.full(n, th, np.int64)), "start": pa.array(start + np.arange(n))})
 
     return run
