@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,9 +57,12 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of steps that are over: it does when their plans have been collected as garbage, here and in the JVM."""
+    """Let Spark remove the shuffle files of steps that are over: it does when their plans have been collected as garbage, here
+    and then in the JVM, where the first collection only finds what the second one frees."""
     gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
+    for _ in range(2):
+        time.sleep(0.3)  # references are dropped in the background
+        spark.sparkContext._jvm.java.lang.System.gc()
 
 
 def clean_up(spark: SparkSession) -> int:

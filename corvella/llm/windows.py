@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvella.llm.common import bounded_batches, join_facts, materialize, safe_id
+from corvella.llm.common import bounded_batches, join_facts, materialize, release, safe_id
 from corvella.llm.textops import NOT_SPACE, Runs, Words, slices
 
 #: Contexts of one anchor that one task may get; those of anchors with more are compared window by window, byte by byte, in as many tasks as it takes.
@@ -274,6 +274,7 @@ def repeated_spans(docs: DataFrame, scheme: Scheme, confirm: Confirm) -> DataFra
     more = F.col("kind") == MORE
     dealt = scanned.repartition(F.when(more, F.xxhash64("id", "start")).otherwise(F.col("anchor")))
     met = materialize(dealt.sortWithinPartitions(more, "anchor").mapInArrow(_meeting, CONTEXTS).drop("kind"))
+    release(docs.sparkSession)
     crowds = met.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_LIMIT)
     n_crowds = crowds.count()
     wanted = met.groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "start", "stop")).alias("places"))  # a document's own
