@@ -112,7 +112,9 @@ def _types(text: np.ndarray) -> np.ndarray:
     n = len(text)
     up = np.ones(n, bool)
     change = np.flatnonzero(text[1:] != text[:-1])  # the type of i is that of the last of its run of equal symbols
-    nxt = np.searchsorted(change, np.arange(n))
+    differs = np.zeros(n, np.int64)
+    differs[change] = 1
+    nxt = np.cumsum(differs) - differs  # which change is the next one from here
     inside = nxt < len(change)
     at = change[nxt[inside]]
     up[inside] = text[at] < text[at + 1]
@@ -208,7 +210,7 @@ def _by_doubling(names: np.ndarray, symbols: int) -> np.ndarray:
         after = np.full(len(rank), -1, np.int64)
         after[: len(rank) - step] = rank[step:] if step < len(rank) else after[: max(len(rank) - step, 0)]
         key = (rank + 1) * (int(rank.max()) + 2) + after + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal ones stand together in any order
         rank = np.zeros(len(key), np.int64)
         rank[order] = np.cumsum(np.append(0, np.diff(key[order]) != 0))
         step *= 2

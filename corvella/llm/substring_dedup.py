@@ -32,7 +32,7 @@ def _letters(words: Words) -> list[str]:
 
 
 def locate(width: int):
-    """The method: which windows of a block of pieces occur earlier, as (pieces, first words).
+    """The method: which windows of a block of pieces occur earlier, as (pieces, first words, numbers of windows).
 
     Recurring passages are confirmed first, by the hashes of windows: a window that two different pieces have, or one twice, is
     a phrase; a piece with several places is one as a whole, for its windows that no other has. From these automata of at most
@@ -40,7 +40,7 @@ def locate(width: int):
     locates every occurrence exactly. Of a window's places all but the first by (id, place) are returned.
     """
 
-    def confirm(pieces: list[bytes], anchor: np.ndarray, id_: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def confirm(pieces: list[bytes], anchor: np.ndarray, id_: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         own = Pieces(pieces)
         words = Words(own.text, NOT_SPACE, lower=False)
         hashes = Runs(words.hash).grams(width)
@@ -74,7 +74,7 @@ def locate(width: int):
             new = np.diff(phrase[by], prepend=-1) != 0
             lead = by[np.flatnonzero(new)][np.cumsum(new) - 1]
             late = by[(doc[by] != doc[lead]) | (place[by] != place[lead])]
-            yield where[late], unit[late]
+            yield where[late], unit[late], np.ones(len(late), np.int64)
 
     return confirm
 

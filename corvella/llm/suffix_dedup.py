@@ -15,15 +15,23 @@ from corvella.llm.induced import MEMORY_ITEMS, sorted_suffixes
 from corvella.llm.windows import Pieces, Scheme, numbered, removed_mask, repeated_spans, with_spans
 
 
+def _later(group: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which members of each group come after its first one by (doc, place)."""
+    by = np.lexsort((place, doc, group))
+    new = np.diff(group[by], prepend=-1) != 0
+    lead = by[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return by[(doc[by] != doc[lead]) | (place[by] != place[lead])]
+
+
 def later_windows(width: int, memory: int = MEMORY_ITEMS):
-    """The method: which windows of a block of pieces occur earlier, as (pieces, first bytes).
+    """The method: which windows of a block of pieces occur earlier, as (pieces, first bytes, numbers of windows).
 
     The different pieces, each ended by symbol 0, are one string. Where neighbours in its suffix array share `width` bytes
     or more, their windows are equal, and those of a piece with several places are equal to themselves elsewhere; of such
     a run's places all but the first by (id, place) are returned.
     """
 
-    def confirm(pieces: list[bytes], anchor: np.ndarray, id_: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def confirm(pieces: list[bytes], anchor: np.ndarray, id_: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         own = Pieces(pieces)
         data = np.frombuffer(b"\0".join(own.text) + b"\0", np.uint8)
         sizes = np.array([len(p) + 1 for p in own.text])
@@ -32,21 +40,25 @@ def later_windows(width: int, memory: int = MEMORY_ITEMS):
         text[begins + sizes - 1] = 0
         of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         again = (own.n > 1)[of] & (np.arange(len(of)) + width < (begins + sizes)[of])  # windows with several places, whatever their neighbours are
+        alone = np.zeros(len(text) + 1, bool)  # of these, the ones that no neighbour in the suffix array shares
         with tempfile.TemporaryDirectory() as folder:
             for _, position, prefix in sorted_suffixes(text, 257, width, folder, memory):
                 joined = prefix >= width
-                member = joined | np.append(joined[1:], False) | again[position]
+                member = joined | np.append(joined[1:], False)
+                alone[position] = again[position] & ~member
                 if not member.any():
                     continue
                 position, group = position[member], np.cumsum(~joined)[member]
                 piece = of[position]
                 row, piece, at = own.places(piece, position - begins[piece])
-                doc, place, group = id_[piece], start[piece] + at, group[row]
-                by = np.lexsort((place, doc, group))
-                new = np.diff(group[by], prepend=-1) != 0
-                lead = by[np.flatnonzero(new)][np.cumsum(new) - 1]
-                late = by[(doc[by] != doc[lead]) | (place[by] != place[lead])]
-                yield piece[late], at[late]
+                late = _later(group[row], id_[piece], start[piece] + at)
+                yield piece[late], at[late], np.ones(len(late), np.int64)
+        edge = np.flatnonzero(np.diff(alone, prepend=False))
+        first, last = edge[0::2], edge[1::2]  # runs of windows end where their piece does, or before
+        piece = of[first]
+        row, piece, at = own.places(piece, first - begins[piece])
+        late = _later(row, id_[piece], start[piece] + at)
+        yield piece[late], at[late], (last - first)[row[late]]
 
     return confirm
 

@@ -154,7 +154,7 @@ def _scan(scheme: Scheme):
 
 
 def _meeting(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (kind is MORE, anchor) -> those whose anchor has several. It holds one batch, and the last row as long as its anchor is alone."""
+    """Rows sorted by anchor -> those whose anchor has several; an anchor that a row of kind MORE has is one of these. It holds one batch, and the last row as long as its anchor is alone."""
     held: pa.RecordBatch | None = None
     last: int | None = None
     for batch in batches:
@@ -219,18 +219,18 @@ class Pieces:
         return row, piece, at[row]
 
 
-Confirm = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], Iterable[tuple[np.ndarray, np.ndarray]]]
+Confirm = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
 
 def _confirm(scheme: Scheme, confirm: Confirm):
-    """Run an operator's method over blocks of whole anchors; its windows (piece, first unit) become spans."""
+    """Run an operator's method over blocks of whole anchors; its runs of windows (piece, first unit, number of windows) become spans."""
 
     def spans(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows)
         id_, th, start = (t[n].to_numpy() for n in ("id", "th", "start"))
         found = list(confirm(t["piece"].to_pylist(), t["anchor"].to_numpy(), id_, start))
-        piece, at = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-        i, h, a, b = merged(id_[piece], th[piece], start[piece] + at, start[piece] + at + scheme.window)
+        piece, at, n = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        i, h, a, b = merged(id_[piece], th[piece], start[piece] + at, start[piece] + at + n + (scheme.window - 1))
         return _batch({"id": i, "th": h, "start": a, "stop": b})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +273,7 @@ def repeated_spans(docs: DataFrame, scheme: Scheme, confirm: Confirm) -> DataFra
     scanned = docs.mapInArrow(_scan(scheme), CONTEXTS)
     more = F.col("kind") == MORE
     dealt = scanned.repartition(F.when(more, F.xxhash64("id", "start")).otherwise(F.col("anchor")))
-    met = materialize(dealt.sortWithinPartitions(more, "anchor").mapInArrow(_meeting, CONTEXTS).drop("kind"))
+    met = materialize(dealt.sortWithinPartitions("anchor").mapInArrow(_meeting, CONTEXTS).drop("kind"))
     release(docs.sparkSession)
     crowds = met.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_LIMIT)
     n_crowds = crowds.count()
@@ -288,7 +288,7 @@ def repeated_spans(docs: DataFrame, scheme: Scheme, confirm: Confirm) -> DataFra
         firsts = materialize(rows.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("id", "start")).alias("first")).where("n > 1"))
         late = join_facts(rows, firsts, "window", "n").where(F.struct("id", "start") > F.col("first"))
         known = late.select("id", "th", "start", (F.col("start") + scheme.window).alias("stop"))
-    confirmed = pieces.repartition("anchor").sortWithinPartitions("anchor", "id", "start").mapInArrow(_confirm(scheme, confirm), SPANS)
+    confirmed = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_confirm(scheme, confirm), SPANS)
     return materialize(confirmed if known is None else known.unionByName(confirmed))
 
 
