@@ -143,7 +143,7 @@ def _scan(scheme: Scheme):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in found(batches):
             id_, th, anchor, start, stop = (np.concatenate(p) for p in zip(*parts, strict=True))
-            by = np.argsort(anchor, kind="stable")
+            by = np.argsort(anchor)
             first = _first_flags([anchor[by]])
             alone = first & np.append(first[1:], True)
             kind = np.empty(len(by), np.int32)
