@@ -11,6 +11,7 @@ import pytest
 from compare import rows_of
 
 from corvella.functions.text import CITATIONS
+from corvella.operators import rules as R
 from corvella.plans import QUERIES, SQL
 from corvella.plans.decisions import SIM, TEXT_ELEMENTS
 from corvella.sources.domain import CLAIMS
@@ -132,6 +133,30 @@ def test_bootstrap_bounds_enclose_the_whole(spark, con):
     assert paired["delta"] == pytest.approx(paired["f1"] - paired["baseline_f1"], abs=2e-4) and paired["significant"] == (paired["ci_low"] > 0 or paired["ci_high"] < 0)
 
 
+@pytest.mark.parametrize("step", [1, -1])
+def test_top_rules_in_any_order_of_rows(spark, tmp_path, step):
+    """Brand#1 has a mean of 0.5265625, halfway at six digits and once scored at four; sums of doubles end above or below it by their order. Keys may be null."""
+    discounts = [(1, 0.05)] * 47 + [(1, 0.06)] * 17 + [(2, 0.052), (2, 0.053), (2, 0.053), (3, None), (4, None)]
+    lines = [(i, part, None if part == 3 else 1, 3, 1.0, d, "R", "O") for i, (part, d) in enumerate(discounts)][::step]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string, l_linestatus string").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, f"Brand#{k}", "PROMO", 1) for k in range(1, 5)], "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {tuple(r) for r in QUERIES["O01_top_rules"](spark, str(tmp_path)).collect()}
+    first = {part: f"FR_{min(o for o, p, *_ in lines if p == part) * 1000003 + part * 101 + 14}" for part in (1, 2, 4)}
+    assert got == {(first[1], 1), (first[2], 2), (first[4], 3), (None, 4)}
+    if step == 1:  # the order in which the SQL's doubles come out right
+        c = duckdb.connect()
+        for t in ("lineitem", "part"):
+            c.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+        assert got == set(c.sql(SQL["O01_top_rules"]).fetchall())
+
+
+def test_exact_mean_of_odd_scores(spark):
+    rows = [("tie", x) for x in [0.6] * 17 + [0.5] * 47] + [("negative", -x) for x in [0.6] * 17 + [0.5] * 47] + [("null", None), ("some", None), ("some", 0.25), ("nan", float("nan")), ("nan", 0.5), ("inf", float("inf")), ("large", 123456.5), ("large", 0.5), ("fine", 0.12345678), ("fine", 0.5)]
+    got = {r["k"]: r["x"] for r in spark.createDataFrame(rows, "k string, score double").coalesce(1).groupBy("k").agg(R.exact_mean("score").alias("x")).collect()}
+    assert str(got.pop("nan")) == "nan"
+    assert got == {"tie": 0.526563, "negative": -0.526563, "null": None, "some": 0.25, "inf": float("inf"), "large": 61728.5, "fine": 0.311728}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SF)
